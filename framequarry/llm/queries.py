@@ -11,8 +11,10 @@ from .exact_dedup import exact_dedup
 from .licenses import COPYRIGHT, HINT, LOWER, MARKS, RESERVED, UPPER, license_scan
 from .known_licenses import NOTICES, SPELLINGS, TEXTS
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .secret_scan import secret_scan, spans_text
 from .sharding import histogram_shards
+from .toxicity import fit, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +26,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_secret", "n_endpoint", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
@@ -33,6 +39,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), MIX_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(documents(spark, sf_dir), 24, "bytes")
 
@@ -47,8 +58,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_hyperminhash_dedup": op1_hyperminhash_dedup,
         "op3_secret_scan": op3_secret_scan,
         "op5_mix_sources": op5_mix_sources,
+        "op6_toxicity": op6_toxicity,
         "op7_histogram_shards": op7_histogram_shards,
         "op8_content_sort_dedup": op8_content_sort_dedup,
         "op9_license_scan": op9_license_scan,
