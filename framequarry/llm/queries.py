@@ -13,11 +13,14 @@ from .known_licenses import NOTICES, SPELLINGS, TEXTS
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .secret_scan import secret_scan, spans_text
+from .sentencepiece_codec import Vocabulary, encode
 from .sharding import histogram_shards
 from .toxicity import fit, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The tokenizer of op10 and of the pipeline; read on the driver only.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weights of op5's sources, in code point order, repeating.
 MIX_WEIGHTS = [3, 1, 2]
 
@@ -56,6 +59,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(documents(spark, sf_dir), Vocabulary.load(MODEL))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_hyperminhash_dedup": op1_hyperminhash_dedup,
@@ -65,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op7_histogram_shards": op7_histogram_shards,
         "op8_content_sort_dedup": op8_content_sort_dedup,
         "op9_license_scan": op9_license_scan,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
