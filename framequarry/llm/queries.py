@@ -15,6 +15,7 @@ from .near_dedup import near_duplicates
 from .secret_scan import secret_scan, spans_text
 from .sentencepiece_codec import Vocabulary, encode
 from .sharding import histogram_shards
+from .suffix_dedup import suffix_dedup
 from .toxicity import fit, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_secret", "n_endpoint", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), MIX_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_hyperminhash_dedup": op1_hyperminhash_dedup,
         "op3_secret_scan": op3_secret_scan,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_mix_sources": op5_mix_sources,
         "op6_toxicity": op6_toxicity,
         "op7_histogram_shards": op7_histogram_shards,
