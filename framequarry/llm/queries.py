@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .licenses import COPYRIGHT, HINT, LOWER, MARKS, RESERVED, UPPER, license_scan
+from .image_copies import image_copies, vectors_as_images
 from .known_licenses import NOTICES, SPELLINGS, TEXTS
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -34,6 +35,12 @@ def op1_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no pictures; each vector of ``embeddings`` is drawn as one."""
+    pictures = vectors_as_images(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return image_copies(pictures).withColumnRenamed("id", "vec_id")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_secret", "n_endpoint", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
@@ -71,6 +78,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_hyperminhash_dedup": op1_hyperminhash_dedup,
+        "op2_image_copies": op2_image_copies,
         "op3_secret_scan": op3_secret_scan,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_mix_sources": op5_mix_sources,
