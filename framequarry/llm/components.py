@@ -27,4 +27,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped
         if labels.filter("label <> was").isEmpty():
             discard(both)
-            return labels.select("id", "label")
+            out = labels.select("id", "label")
+            out._fq_path = labels._fq_path
+            return out

@@ -1,14 +1,15 @@
 """Near duplicates by HyperMinHash.
 
-A document's set of word shingles falls into 128 buckets by the leading bits of the shingles' hashes. Of each bucket's
-smallest hash only the number of leading zeros (6 bits) and the 10 bits after the leading one are stored; an empty
-bucket borrows from a full one that a fixed random order decides. Four registers make a band of 64 bits: at a
-similarity of 0.75 a pair misses all 32 bands with a chance of 5e-6.
+A document's set of word shingles falls into buckets by the leading bits of the shingles' hashes. Of each bucket's
+smallest hash only the number of leading zeros and some bits after the leading one (the mantissa) are stored. Two
+sketches serve two purposes: 128 registers of 6 + 10 bits, where an empty bucket borrows from a full one that a fixed
+random order decides, are banded by four (at a similarity of 0.75 a pair misses all 32 bands with a chance of 5e-6);
+512 registers of 3 + 5 bits, empty where the bucket is, estimate the similarity, corrected for chance collisions.
 
 Documents of equal sets become one node first. Documents of a band are then compared in three rounds, each round only
-between documents that earlier rounds have not connected: with the smallest document among all their bands' smallest;
-with each band's smallest; and, exactly, every remaining pair in a band. Before texts are read, exact set sizes and
-the collision-corrected estimate of the similarity rule out pairs; texts then confirm every link on the full sets.
+between documents that earlier rounds have not connected: with the most central document of all their bands (the one
+with most company); with each band's most central; and, exactly, every remaining pair in a band, block by block.
+Before texts are read, exact set sizes and the estimate rule out pairs; texts then confirm every link on the full sets.
 """
 
 from __future__ import annotations
@@ -25,21 +26,31 @@ from .text_kernels import U, chunks, mix64, shingle_sets, string_bytes
 BUCKETS, BAND = 128, 4
 BANDS = BUCKETS // BAND
 MANTISSA = 10
-#: Standard deviations by which an estimate may fall short; documents of fewer shingles are never ruled out by it.
-SLACK, FEW = 5.0, 256
-#: Identifiers and pairs that are broadcast to fetch texts; beyond that, a shuffled join does it.
+#: Registers of the estimate, of 8 bits, eight in a long; chance that those of different shingles agree.
+FINE, FINE_MANTISSA = 512, 5
+CHANCE = 2.0**-FINE_MANTISSA / 3
+#: Standard deviations by which an estimate may fall short of the threshold.
+SLACK = 4.0
+#: Pairs that are broadcast to fetch texts; beyond that, a shuffled join does it.
 MOST_BROADCAST = 300_000
+#: Documents of a band that one task compares with as many others.
+BLOCK = 4096
 #: Stands for a null identifier: sorts last.
 NO_ID = (1 << 63) - 1
 
 
-def registers(shingles: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The 128 registers of a sorted set of mixed hashes; ``order[b, e]`` ranks full buckets that bucket b may borrow."""
-    shift = 64 - int(BUCKETS).bit_length() + 1
-    first = np.searchsorted(shingles, np.arange(BUCKETS, dtype=U) << U(shift))
+def _minima(shingles: np.ndarray, buckets: int, mantissa: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that are full, and the code of each one's smallest hash: leading zeros, then mantissa."""
+    shift = 65 - int(buckets).bit_length()
+    first = np.searchsorted(shingles, np.arange(buckets, dtype=U) << U(shift))
     full = np.flatnonzero(np.diff(np.append(first, len(shingles))))
     rest = (shingles[first[full]] & U((1 << shift) - 1)) | U(1)
-    code = (rest.astype(np.float64).view(np.uint64) >> U(52 - MANTISSA)) - U(1023 << MANTISSA)
+    return full, (rest.astype(np.float64).view(np.uint64) >> U(52 - mantissa)) - U(1023 << mantissa)
+
+
+def registers(shingles: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The 128 banded registers of a sorted set of mixed hashes; ``order[b, e]`` ranks full buckets that b may borrow."""
+    full, code = _minima(shingles, BUCKETS, MANTISSA)
     out = np.zeros(BUCKETS, U)
     out[full] = code
     if len(full) < BUCKETS:
@@ -48,8 +59,16 @@ def registers(shingles: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine_registers(shingles: np.ndarray) -> np.ndarray:
+    """The 512 registers of the estimate as bytes; 0 is an empty bucket."""
+    full, code = _minima(shingles, FINE, FINE_MANTISSA)
+    out = np.zeros(FINE, np.uint8)
+    out[full] = np.maximum((code & U(0xFF)).astype(np.uint8), 1)
+    return out
+
+
 def _sketch(words: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("regs", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("regs", pa.list_(pa.int64()))])
 
     def run(batches):
         order = mix64(np.arange(1, BUCKETS * BUCKETS + 1, dtype=U) * U(0x8CB92BA72F3D8DD7)).reshape(BUCKETS, BUCKETS)
@@ -61,45 +80,76 @@ def _sketch(words: int):
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
                 sets = shingle_sets(data[part[0] : part[-1]], part - part[0], words)
-                regs = np.zeros((len(sets), BANDS), U)
+                bands, regs = np.zeros((len(sets), BANDS), U), np.zeros((len(sets), FINE), np.uint8)
                 sums = np.zeros((len(sets), 2), U)
                 for n, s in enumerate(sets):
                     if len(s):
-                        regs[n] = (registers(s, order)[spread].reshape(BANDS, BAND) << lanes).sum(axis=1, dtype=U)
+                        bands[n] = (registers(s, order)[spread].reshape(BANDS, BAND) << lanes).sum(axis=1, dtype=U)
+                        regs[n] = fine_registers(s)
                         sums[n] = s.sum(dtype=U), mix64(s + U(0x632BE59BD9B4E019)).sum(dtype=U)
-                flat = pa.array(regs.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy().view(np.int64)), pa.array(sums[:, 1].copy().view(np.int64)), lists], schema=schema)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (x.size // max(len(sets), 1))), pa.array(x.ravel())) for x in (bands.view(np.int64), regs.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy().view(np.int64)), pa.array(sums[:, 1].copy().view(np.int64)), *lists], schema=schema)
 
     return run
 
 
 def sketches(df: DataFrame, words: int) -> DataFrame:
-    """id, n (set size), s1, s2 (the set's digest), regs (32 bands of four 16-bit registers) of df's id and t."""
-    return df.select("id", "t").mapInArrow(_sketch(words), "id long, n long, s1 long, s2 long, regs array<long>")
+    """id, n (set size), s1, s2 (the set's digest), bands, regs of df's id and t."""
+    return df.select("id", "t").mapInArrow(_sketch(words), "id long, n long, s1 long, s2 long, bands array<long>, regs array<long>")
 
 
-def _same_lanes(a: Column, b: Column) -> Column:
-    """How many of the 16-bit lanes of two longs are equal: the lowest bit of a lane gathers all of its bits."""
-    x = a.bitwiseXOR(b)
-    for k in (8, 4, 2, 1):
+def _full_lanes(x: Column) -> Column:
+    """How many of the eight bytes of a long are not 0: the lowest bit of each gathers all of its bits."""
+    for k in (4, 2, 1):
         x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-    return BAND - F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
-def estimate_at_least(percent: int) -> tuple[float, float]:
-    """Chance that registers of disjoint sets collide, and how many of all registers must agree."""
-    chance = 2.0**-MANTISSA / 2  # equal leading zeros (1/3) and mantissa (2 ** -10, weighted by density)
+def least_matches(full, sizes, percent: int, sqrt=np.sqrt, greatest=np.maximum):
+    """Of ``full`` registers that either of two sets fills, how many must agree; ``sizes``: both sets' sizes summed.
+
+    The registers are a sample without replacement of the union, whose size follows from the sizes at the threshold.
+    """
     j = percent / 100
-    expected = BUCKETS * (j + (1 - j) * chance)
-    return chance, expected - SLACK * float(np.sqrt(BUCKETS * j * (1 - j)))
+    left = greatest(1 - full * (1 + j) / sizes, 0.02)
+    return full * (j + (1 - j) * CHANCE) - SLACK * sqrt(full * (j * (1 - j)) * left) - 1
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
-    """Whether two nodes can reach the threshold by their set sizes and, if large enough, by the estimate."""
+    """Whether two nodes can reach the threshold by their set sizes and by the estimate."""
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    agree = F.aggregate(F.zip_with(f"{x}.regs", f"{y}.regs", _same_lanes), F.lit(0), lambda a, k: a + k)
-    return (small * 100 >= large * percent) & ((small < FEW) | (agree >= estimate_at_least(percent)[1]))
+    add = lambda lanes: F.aggregate(F.zip_with(f"{x}.regs", f"{y}.regs", lanes), F.lit(0), lambda a, k: a + k)
+    full = add(lambda a, b: _full_lanes(a.bitwiseOR(b)))
+    differ = add(lambda a, b: _full_lanes(a.bitwiseXOR(b)))
+    least = least_matches(full, F.col(f"{x}.n") + F.col(f"{y}.n"), percent, F.sqrt, lambda a, b: F.greatest(a, F.lit(b)))
+    return (small * 100 >= large * percent) & (full - differ >= least)
+
+
+def _pairs_of_block(percent: int):
+    """Rows of one band's block -> pairs that the sketches do not rule out, each in the first band that they share."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {name: table.column(name).combine_chunks() for name in ("id", "label", "n", "minor", "left")}
+        ident, label, n = (cols[k].to_numpy() for k in ("id", "label", "n"))
+        minor, left = (cols[k].to_numpy(zero_copy_only=False).astype(bool) for k in ("minor", "left"))
+        band = int(table.column("band")[0].as_py())
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ident), BANDS)
+        regs = table.column("regs").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(ident), FINE)
+        rights = np.flatnonzero(~left)
+        found = []
+        for i in np.flatnonzero(left).tolist():
+            ok = (label[rights] != label[i]) & (~minor[rights] | (ident[rights] > ident[i]))
+            ok &= (np.minimum(n[rights], n[i]) * 100 >= np.maximum(n[rights], n[i]) * percent)
+            r = rights[ok]
+            r = r[~(bands[r, :band] == bands[i, :band]).any(axis=1)]
+            same = (regs[r] == regs[i]) & (regs[i] > 0)
+            full = ((regs[r] > 0) | (regs[i] > 0)).sum(1)
+            r = r[same.sum(1) >= least_matches(full, n[r] + n[i], percent)]
+            found.append(np.stack([np.minimum(ident[r], ident[i]), np.maximum(ident[r], ident[i])]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return run
 
 
 def _compare(words: int, percent: int):
@@ -143,52 +193,68 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = df.select(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("t"))
     sketch = materialise(sketches(docs, words), "sketch")
+    sizes = materialise(sketch.select("id", "n"), "sizes")
     filled = sketch.filter("n > 0")
-    nodes = materialise(filled.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs")), "nodes")
+    nodes = materialise(filled.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "regs"), "id").alias("x")).select("s1", "s2", "n", "id", "x.*"), "nodes")
     members = filled.select("id", "s1", "s2", "n").join(nodes.select("s1", "s2", "n", F.col("id").alias("node")), ["s1", "s2", "n"])
-    copies = members.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-
-    banded = nodes.select("id", F.posexplode("regs").alias("band", "v")).select("id", F.xxhash64("v", "band").alias("key"))
-    heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = materialise(banded.join(heads.select("key", "head"), "key"), "bands")
+    copies = materialise(members.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")), "copies")
+    discard(sketch)
+
+    banded = nodes.select("id", F.posexplode("bands").alias("band", "v")).select("id", "band", F.xxhash64("v", "band").alias("key"))
+    company = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    met = materialise(banded.join(company, "key"), "met")
+    rank = met.groupBy("id").agg(F.sum("m").alias("rank"))  # how much company a node has in all its bands
+    ranked = met.join(rank, "id")
+    heads = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("neg"))).alias("x")).select("key", (-F.col("x.neg")).alias("head"), F.col("x.rank").alias("head_rank"))
+    shared = materialise(met.join(heads, "key"), "bands")
     brief = nodes.select("id", "n", "regs")
+    texts = docs.join(rank.select("id"), "id", "left_semi")
+    texts = materialise(texts, "texts")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        """Links among candidate pairs (a, b), a < b."""
-        x = pairs.join(brief.select(F.col("id").alias("a"), F.struct("n", "regs").alias("x")), "a")
-        x = x.join(brief.select(F.col("id").alias("b"), F.struct("n", "regs").alias("y")), "b")
-        kept = materialise(x.filter(_possible("x", "y", percent)).select("a", "b").distinct(), f"{tag}-pairs")
-        out = materialise(confirm(kept, docs, words, percent), f"{tag}-links")
-        discard(kept)
+        """Links among candidate pairs (a, b)."""
+        out = materialise(confirm(pairs, texts, words, percent), f"{tag}-links")
+        discard(pairs)
         return out
 
-    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        return rows.join(labels.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-    # 1: the smallest of all its bands' smallest
-    first = shared.filter("id <> head").groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a"))
-    links = [confirmed(first, "first")]
+    def with_head(pairs: DataFrame, tag: str) -> DataFrame:
+        """The pairs (a, b) that sizes and estimate allow."""
+        x = pairs.join(brief.select(F.col("id").alias("a"), F.struct("n", "regs").alias("x")), "a")
+        x = x.join(brief.select(F.col("id").alias("b"), F.struct("n", "regs").alias("y")), "b")
+        return materialise(x.filter(_possible("x", "y", percent)).select("a", "b").distinct(), f"{tag}-pairs")
+
+    def apart(labels: DataFrame) -> DataFrame:
+        """The bands' rows with the labels of the node and of the band's head."""
+        out = shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        out = out.join(labels.select(F.col("id").alias("head"), F.col("label").alias("head_label")), "head", "left")
+        return out.withColumn("head_label", F.coalesce("head_label", "head"))
+
+    # 1: the most central of all its bands' heads
+    best = F.max(F.struct("head_rank", (-F.col("head")).alias("neg"))).alias("x")
+    first = shared.filter("id <> head").groupBy(F.col("id").alias("b")).agg(best).select((-F.col("x.neg")).alias("a"), "b")
+    links = [confirmed(with_head(first, "first"), "first")]
     labels = components(links[0])
-    # 2: every band's smallest that is not connected yet
-    heads_of = labels.select(F.col("id").alias("head"), F.col("label").alias("head_label"))
-    apart = lambda labels, heads_of: labelled(shared, labels).join(heads_of, "head", "left").withColumn("head_label", F.coalesce("head_label", "head"))
-    second = apart(labels, heads_of).filter("label <> head_label").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    second = materialise(second, "second")
-    links.append(confirmed(second, "second"))
+    # 2: every band's head that is not connected yet
+    second = apart(labels).filter("label <> head_label").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    links.append(confirmed(with_head(second, "second"), "second"))
+    discard(labels)
     labels = components(links[0].union(links[1]))
-    # 3: every pair of a band, one of which is not connected with the band's smallest
-    heads_of = labels.select(F.col("id").alias("head"), F.col("label").alias("head_label"))
-    state = materialise(apart(labels, heads_of), "state")
-    minor = state.filter("label <> head_label").join(brief, "id").select("key", "label", "id", F.struct("n", "regs").alias("x"))
-    mixed = state.join(minor.select("key").distinct(), "key", "left_semi").filter("id <> head").join(brief, "id").select("key", F.col("label").alias("label2"), F.col("id").alias("id2"), (F.col("label") != F.col("head_label")).alias("minor2"), F.struct("n", "regs").alias("y"))
-    third = minor.join(mixed, (minor.key == mixed.key) & (F.col("label") != F.col("label2")) & (~F.col("minor2") | (F.col("id") < F.col("id2"))) & _possible("x", "y", percent))
-    third = third.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    links.append(confirmed(third.distinct(), "third"))
-    every = links[0].union(links[1]).union(links[2])
-    labels = materialise(components(every.union(copies)), "labels")
-    discard(*links, second, state, shared)
-
-    rows = sketch.select("id", "n").join(labels, "id", "left")
+    # 3: every pair of a band, one of which is not connected with the band's head; the other side has all but the head
+    state = materialise(apart(labels).filter("id <> head").withColumn("minor", F.col("label") != F.col("head_label")), "state")
+    mixed = state.join(state.filter("minor").groupBy("key").agg(F.count(F.lit(1)).alias("minors")), "key").join(nodes.select("id", "n", "bands", "regs"), "id")
+    cols = ["key", "band", "id", "label", "n", "minor", "bands", "regs"]
+    blocks = lambda m: F.ceil(F.col(m) / BLOCK).cast("int")
+    own = lambda m: F.pmod(F.xxhash64("id"), blocks(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), blocks(m) - 1))
+    lefts = mixed.filter("minor").select(*cols, F.lit(True).alias("left"), own("minors").alias("i"), every("m").alias("j"))
+    rights = mixed.select(*cols, F.lit(False).alias("left"), every("minors").alias("i"), own("m").alias("j"))
+    third = lefts.union(rights).groupBy("key", "i", "j").applyInArrow(_pairs_of_block(percent), "a long, b long")
+    links.append(confirmed(materialise(third.distinct(), "third-pairs"), "third"))
+    discard(labels)
+    labels = components(links[0].union(links[1]).union(links[2]).union(copies))
+    discard(*links, state, shared, met, texts, copies, nodes)
+
+    rows = sizes.join(labels, "id", "left")
     label = F.coalesce("label", "id")
     out = lambda c: F.when(c != NO_ID, c)
     return rows.select(out(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), out(label).alias("component_id"), (label == F.col("id")).alias("kept"))
