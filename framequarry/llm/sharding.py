@@ -49,8 +49,9 @@ def _refine(slim: DataFrame, targets: list[int], slack: float) -> list[str]:
         for n, (k, lo, hi) in enumerate(deep):
             here = (F.col("k") == k) & F.col("i").between(lo, hi)
             span, hit = F.when(here, F.lit(len(spans) + n)).otherwise(span), hit | here
-            # identifiers may span more than 63 bits, so halves are compared
-            probe = F.when(here, F.expr(f"(shiftright(i, 1) - {lo >> 1}L) div {((hi >> 1) - (lo >> 1)) // FANOUT + 1}L")).otherwise(probe)
+            # the whole range of identifiers has more than 63 bits; halves tell wide intervals apart
+            at = f"(i - {lo}L) div {(hi - lo) // FANOUT + 1}L" if hi - lo < 1 << 62 else f"(shiftright(i, 1) - {lo >> 1}L) div {((hi >> 1) - (lo >> 1)) // FANOUT + 1}L"
+            probe = F.when(here, F.expr(at)).otherwise(probe)
         got = slim.filter(hit).groupBy(span.alias("s"), probe.alias("p")).agg(F.sum("w").alias("w"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("i").alias("i0"), F.max("i").alias("i1")).collect()
         bins: dict[int, list] = {}
         for r in sorted(got, key=lambda r: (r.s, r.p)):
