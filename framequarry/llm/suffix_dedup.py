@@ -18,13 +18,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise
 from .suffix_kernels import first_owner, pieces, runs_of
-from .text_kernels import U, mix64, string_bytes
+from .text_kernels import U, chunks, mix64, string_bytes
 
 WIDTH, GRAM = 50, 24
-#: Shards and groups of documents for each shuffle partition.
-SPREAD = 3
+#: Bytes of text in a group of documents, on average; there are as many shards of runs as groups.
+GROUP_BYTES = 8 << 20
 #: Stands for a null identifier: larger than any other.
 NO_ID = (1 << 63) - 1
 _RUNS = "shard int, ids binary, keys binary, doc binary, start binary, windows binary, anchor binary, digest binary, done boolean"
@@ -63,6 +63,34 @@ def _least_of_equal(anchor: np.ndarray, digest: np.ndarray, ids: np.ndarray) ->
     return by, i > least
 
 
+def _runs_by_shard(ids, keys, offsets, data, width: int, gram: int, shards: int) -> list[tuple]:
+    got = []
+    for group in pieces(offsets, width):
+        parts = [data[a:b] for _, a, b in group]
+        bounds = np.cumsum([0, *map(len, parts)])
+        text, start, windows, anchor, digest = runs_of(np.concatenate(parts), bounds, width, gram)
+        rows = np.array([r for r, _, _ in group])
+        base = np.array([a for _, a, _ in group]) - offsets[rows]
+        got.append((rows[text].astype(np.uint32), (start + base[text]).astype(np.uint32), windows.astype(np.uint8), anchor, digest))
+    if not got:
+        return []
+    doc, start, windows, anchor, digest = (np.concatenate(x) for x in zip(*got, strict=True))
+    by, done = _least_of_equal(anchor, digest, ids[doc])
+    flag = np.zeros(len(by), bool)
+    flag[by] = done
+    shard = (anchor % U(shards)).astype(np.int64)
+    order = np.lexsort((flag, shard))
+    cut = shard[order] * 2 + flag[order]
+    edges = np.append(np.flatnonzero(np.append(True, cut[1:] != cut[:-1])), len(cut))
+    rows = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        o = order[a:b]
+        used, at = np.unique(doc[o], return_inverse=True)
+        is_done = bool(flag[o[0]])
+        rows.append((int(shard[o[0]]), _i64(ids[used]), _i64(keys[used]), at.astype(np.uint32).tobytes(), start[o].tobytes(), windows[o].tobytes(), b"" if is_done else anchor[o].tobytes(), b"" if is_done else digest[o].tobytes(), is_done))
+    return rows
+
+
 def _deal(width: int, gram: int, shards: int):
     """Documents (id, key, text) -> their runs by shard; those that the batch already decides are marked done."""
     names = [x.split()[0] for x in _RUNS.split(", ")]
@@ -71,31 +99,10 @@ def _deal(width: int, gram: int, shards: int):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offsets, data = string_bytes(batch.column(2))
-            got = []
-            for group in pieces(offsets, width):
-                parts = [data[a:b] for _, a, b in group]
-                bounds = np.cumsum([0, *map(len, parts)])
-                text, start, windows, anchor, digest = runs_of(np.concatenate(parts), bounds, width, gram)
-                rows = np.array([r for r, _, _ in group])
-                base = np.array([a for _, a, _ in group]) - offsets[rows]
-                got.append((rows[text], start + base[text], windows, anchor, digest))
-            if not got:
-                continue
-            doc, start, windows, anchor, digest = (np.concatenate(x) for x in zip(*got, strict=True))
-            by, done = _least_of_equal(anchor, digest, ids[doc])
-            flag = np.zeros(len(by), bool)
-            flag[by] = done
-            shard = (anchor % U(shards)).astype(np.int64)
-            order = np.lexsort((flag, shard))
-            cut = shard[order] * 2 + flag[order]
-            edges = np.append(np.flatnonzero(np.append(True, cut[1:] != cut[:-1])), len(cut))
-            rows = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                o = order[a:b]
-                used, at = np.unique(doc[o], return_inverse=True)
-                is_done = bool(flag[o[0]])
-                rows.append((int(shard[o[0]]), _i64(ids[used]), _i64(keys[used]), at.astype(np.uint32).tobytes(), start[o].astype(np.uint32).tobytes(), windows[o].astype(np.uint8).tobytes(), b"" if is_done else anchor[o].tobytes(), b"" if is_done else digest[o].tobytes(), is_done))
-            yield _table(names, rows)
+            for a, b in chunks(offsets, GROUP_BYTES):
+                rows = _runs_by_shard(ids[a:b], keys[a:b], offsets[a : b + 1], data, width, gram, shards)
+                if rows:
+                    yield _table(names, rows)
 
     return run
 
@@ -249,14 +256,14 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are UTF-8 bytes, null is empty; texts under ``width`` bytes stay whole. Matches never cross documents, and a
     document does not cover itself: rows that repeat an identifier do not cover each other. A null identifier counts as
-    larger than any other and stays null. ``groups`` (default: SPREAD for each shuffle partition) bounds what a task
-    holds: a group's texts, or a shard's runs. Empty input gives no rows.
+    larger than any other and stays null. ``groups`` (default: one for each GROUP_BYTES) bounds what a task holds: a
+    group's texts, or a shard's runs. Empty input gives no rows.
     """
     if not 0 < width - gram < 255 - width:
         raise ValueError("gram must be shorter than width, and a run's windows must fit a byte")
-    groups = groups or SPREAD * partitions(df.sparkSession)
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     docs = df.select(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("t"))
+    groups = groups or 1 + (docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // GROUP_BYTES
     # only a document's own group knows its texts; buckets follow mix64 of the key as in _bucket
     bucketed = docs.mapInArrow(_with_bucket(groups), "id long, key long, t string, bucket int")
     marks = materialise(docs.mapInArrow(_deal(width, gram, groups), _RUNS).groupBy("shard").applyInArrow(_decide(groups), _MARKS), "marks")
