@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
+from . import images, records, series, structures
+from .registry import oracle_sql, queries
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["images", "oracle_sql", "queries", "records", "series", "structures"]
