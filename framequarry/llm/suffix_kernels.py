@@ -11,6 +11,8 @@ from .text_kernels import U, powers, prefix_hash, span_hash, mix64
 
 #: A piece of a very long text that is worked on at once; pieces overlap so that every window is whole in one.
 PIECE = 4 << 20
+#: Suffixes that are induced from at once.
+BATCH = 1 << 20
 _BITS = 26
 
 
@@ -100,22 +102,28 @@ class Queues:
             self.held = 0
 
     def take(self, symbol: int):
-        """Batches of the queue, also those that arrive meanwhile."""
+        """Batches of the queue, also those that arrive meanwhile; short entries are taken together."""
         queue = self.parts[symbol]
         while queue:
-            x = queue.pop(0)
-            if isinstance(x, str):
-                name, x = x, np.load(x)
+            if isinstance(queue[0], str):
+                name = queue.pop(0)
+                x = np.load(name)
                 os.unlink(name)
             else:
-                self.held -= len(x)
+                k, size = 0, 0
+                while k < len(queue) and size < BATCH and not isinstance(queue[k], str):
+                    size += len(queue[k])
+                    k += 1
+                x = np.concatenate(queue[:k]) if k > 1 else queue[0]
+                del queue[:k]
+                self.held -= size
             yield x
 
 
 def _kinds(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one (type S); the last one is."""
     n = len(text)
-    step = np.sign(text[1:].astype(np.int64) - text[:-1])
+    step = np.sign(text[1:].astype(np.int32) - text[:-1])
     at = np.where(step != 0, np.arange(n - 1), n)
     following = np.minimum.accumulate(at[::-1])[::-1]  # where the run of equal symbols ends
     out = np.ones(n, bool)
@@ -157,7 +165,7 @@ def _induce(text: np.ndarray, seeds: np.ndarray, symbols: int, limit: int, folde
             s = text[q]
             smaller.put(s[s < c], q[s < c])
         if c == 0 and not own:
-            own = [np.array([len(text) - 1])]  # the end mark
+            own = [np.array([len(text) - 1], seeds.dtype)]  # the end mark
         out += own + [p[::-1] for p in reversed(left_part[c])]
         left_part[c] = []
     return [p[::-1] for p in reversed(out)]
@@ -173,8 +181,9 @@ def suffix_array(text: np.ndarray, depth: int, symbols: int = 258, limit: int =
     n = len(text)
     if n < 2:
         return np.arange(n)
+    text = text.astype(np.uint16)  # stable sorts of short integers are radix sorts
     small = _kinds(text)
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32 if n < 1 << 31 else np.int64)
     with tempfile.TemporaryDirectory(prefix="fq-suffix-") as folder:
         if len(seeds) > 1:
             order = np.concatenate(_induce(text, seeds, symbols, limit, folder))
