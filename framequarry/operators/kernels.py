@@ -28,16 +28,25 @@ def phase_shift_1d(ref: np.ndarray, row: np.ndarray, alpha: float = 0.5) -> tupl
 
 
 def phase_shift_2d(ref: np.ndarray, img: np.ndarray, alpha: float = 0.5, window: bool = True) -> tuple[float, float, float]:
-    """dy, dx of ``img`` against ``ref`` and the peak's height, with a Hann window against the border."""
+    """dy, dx of ``img`` against ``ref`` and the peak's height, with a Hann window against the border.
+
+    The whole-pixel peak is refined on a grid of 1/20 pixel, where the correlation is summed from its spectrum.
+    """
     w = np.outer(np.hanning(ref.shape[0]), np.hanning(ref.shape[1])) if window else 1.0
-    x = np.conj(np.fft.rfft2((ref - ref.mean()) * w)) * np.fft.rfft2((img - img.mean()) * w)
+    x = np.conj(np.fft.fft2((ref - ref.mean()) * w)) * np.fft.fft2((img - img.mean()) * w)
     size = np.abs(x)
     x = np.where(size > 1e-12, x / np.maximum(size, 1e-12) ** alpha, 0)
-    c = np.fft.irfft2(x, ref.shape)
+    c = np.fft.ifft2(x).real
     y, z = np.unravel_index(int(np.argmax(c)), c.shape)
-    dy, dx = subpixel_peak(c[:, z], int(y)), subpixel_peak(c[y], int(z))
+    fine = np.arange(-20, 21) / 20
+    fy, fx = np.fft.fftfreq(c.shape[0]), np.fft.fftfreq(c.shape[1])
+    up = (np.exp(2j * np.pi * np.outer(y + fine, fy)) @ x @ np.exp(2j * np.pi * np.outer(fx, z + fine))).real
+    p, q = np.unravel_index(int(np.argmax(up)), up.shape)
+    dy, dx = y + fine[p], z + fine[q]
+    if 0 < p < 40 and 0 < q < 40:
+        dy, dx = dy + (subpixel_peak(up[:, q], p) - p) / 20, dx + (subpixel_peak(up[p], q) - q) / 20
     h, v = c.shape
-    return (dy - h if dy > h / 2 else dy), (dx - v if dx > v / 2 else dx), float(c[y, z])
+    return float(dy - h if dy > h / 2 else dy), float(dx - v if dx > v / 2 else dx), float(c[y, z])
 
 
 def laplacian(a: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import images, records, series, structures
+from . import images, live, records, series, structures
 from .registry import oracle_sql, queries
 
-__all__ = ["images", "oracle_sql", "queries", "records", "series", "structures"]
+__all__ = ["images", "live", "oracle_sql", "queries", "records", "series", "structures"]

@@ -142,7 +142,7 @@ def arg_max_reference(spark, sf_dir):
 
 
 @query(f"""with {EVENTS} select event_id, case when event_type = 'view' then 12 else 8 end as bits, ((1 << case when event_type = 'view' then 12 else 8 end) - 1)::bigint as full_scale,
- (cast(value * 1000 as bigint) >> 4) as shifted, least(greatest(value, 2.0), 18.0) as clipped, case when value >= 15 then 0.5 else 1.0 end as working_scale,
+ (cast(value * 1000 as bigint) >> 4) as shifted, least(greatest(value, 2.0), 18.0) as clipped, cast(case when value >= 15 then 0.5 else 1.0 end as double) as working_scale,
  round(degrees(atan2(value, 10.0)), 6) as angle, round(acos(least(1.0, greatest(-1.0, value / 10.0 - 1.0))), 6) as turn from e""")
 def scalar_functions(spark, sf_dir):
     """Bits, shifts, clips and angles."""

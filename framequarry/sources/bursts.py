@@ -34,10 +34,19 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def frames_meta(spark: SparkSession, root: str) -> DataFrame:
-    """burst and the columns of frames.csv, by name; columns that a file lacks are null."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "frames.csv").option("header", "true").option("enforceSchema", "false")
-    raw = lines.schema(schemas.FRAMES_META).csv(root)
-    return raw.withColumn("burst", _burst("_metadata.file_path"))
+    """burst and the columns of frames.csv by their names in each file's header; what a file lacks or leaves empty is null.
+
+    Recordings of different cameras have different columns, which a CSV reader with one schema cannot take. Fields hold
+    no quotes or commas.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "frames.csv").text(root, wholetext=True)
+    lines = text.select(_burst("_metadata.file_path").alias("burst"), F.split("value", r"\r?\n").alias("lines"))
+    head = lines.select("burst", F.split(F.element_at("lines", 1), ",").alias("head"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line")).filter("line <> ''")
+    fields = F.slice(F.concat(F.split("line", ",", -1), F.array_repeat(F.lit(""), F.size("head"))), F.lit(1), F.size("head"))
+    rows = head.select("burst", F.map_from_arrays("head", fields).alias("m"))
+    columns = [c.strip().rsplit(" ", 1) for c in schemas.FRAMES_META.split(",")]
+    value = lambda name: F.try_element_at("m", F.lit(name))
+    return rows.select("burst", *[F.when(value(n.strip("`")) != "", value(n.strip("`"))).cast(kind).alias(n.strip("`")) for n, kind in columns])
 
 
 def frame_times(files: DataFrame, meta: DataFrame, bursts: DataFrame) -> DataFrame:
