@@ -67,3 +67,32 @@ def test_live_stream_locks_loses_and_locks_again(spark, tmp_path):
     assert rows[10].state == "locking" and rows[28].registered and abs(rows[28].offset) < 1e-9
     assert not rows[31].registered and rows[37].state == "lost" and rows[66].registered and abs(rows[66].offset) < 1e-9
     assert rows[70].offset is None
+
+
+def plain_write(spark):
+    return lambda df: spark.createDataFrame(df.collect(), df.schema)
+
+
+def test_graph_fix_points(spark):
+    write = plain_write(spark)
+    chain = spark.createDataFrame([(k + 1, k) for k in range(20)] + [(50, 60)], "u int, v int")
+    assert {r.node: r.label for r in graph.components(chain, "u", "v", write).collect()} == {**dict.fromkeys(range(21), 0), 50: 50, 60: 50}
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 2.0, 0.0), (3, 4.0, 3.0), (9, 7.0, 7.0)], "node int, x double, y double")
+    got = {r.node: (r.into, r.x, r.y) for r in graph.merged_nodes(spark.createDataFrame([(1, 2), (2, 3)], "a int, b int"), nodes, write).collect()}
+    assert got == {1: (1, 2.0, 1.0), 2: (1, 2.0, 1.0), 3: (1, 2.0, 1.0), 9: (9, 7.0, 7.0)}
+    edges = spark.createDataFrame([(1, 2, 30.0), (2, 3, 30.0), (2, 4, 5.0), (3, 5, 40.0), (3, 6, 3.0)], "u int, v int, len double")
+    assert {(r.u, r.v) for r in graph.without_spurs(edges, "u", "v", "len", 10, write=write).collect()} == {(1, 2), (2, 3), (3, 5)}
+    pairs = graph.passed_through(spark.createDataFrame([(1, 1, 2, 3.0), (2, 2, 3, 4.0), (3, 3, 4, 1.0), (4, 3, 5, 1.0)], "e int, u int, v int, len double"), "e", "u", "v", "len")
+    assert [tuple(r) for r in pairs.collect()] == [(2, 1, 2, 7.0)]
+
+
+def test_flow_is_inferred_by_conservation(spark):
+    rows = [(1, 1, 2, 10.0), (2, 2, 3, 6.0), (3, 2, 4, None), (4, 5, 4, 1.0), (5, 4, 6, None), (6, 7, 8, None)]
+    got = {r.edge: (r.q, r.inferred) for r in graph.oriented(spark.createDataFrame(rows, "e int, u int, v int, q double"), "e", "u", "v", "q", write=plain_write(spark)).collect()}
+    assert got == {1: (10.0, False), 2: (6.0, False), 3: (4.0, True), 4: (1.0, False), 5: (5.0, True), 6: (None, False)}
+
+
+def test_matching(spark):
+    rows = [(1, 2, 1.0), (2, 3, 0.5), (3, 4, 1.0), (1, 4, 3.0), (5, 6, 2.0), (6, 5, 1.5), (7, 7, 0.1)]
+    got = {(r.a, r.b, r.cost) for r in graph.greedy_matching(spark.createDataFrame(rows, "a int, b int, c double"), "a", "b", "c", write=plain_write(spark)).collect()}
+    assert got == {(2, 3, 0.5), (1, 4, 3.0), (5, 6, 1.5)}
