@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .kernels import ncc, phase_shift_2d
 from .synthetic import shifted
 
@@ -61,18 +62,16 @@ def shifts(frames: DataFrame, tpl: DataFrame) -> DataFrame:
     return rows.select("burst", *cols, "template").mapInArrow(_match, "burst string, `index` int, dy double, dx double, response double, ncc double")
 
 
-def register(frames: DataFrame, rounds: int = 3, write=None) -> DataFrame:
+def register(frames: DataFrame, rounds: int = 3, write=cut) -> DataFrame:
     """burst, index, dy, dx, response, ncc: frames against a template that their own alignment sharpens, round by round.
 
-    The first template is each recording's first frame. ``write`` (default: checkpoint()) cuts the lineage between
-    rounds; frames whose pixels do not fit are left out.
+    The first template is each recording's first frame. ``write`` cuts the lineage between rounds; frames whose pixels do not fit are left out.
     """
-    cut = write or (lambda df: df.checkpoint())
     bytes_ = F.col("height") * F.col("width") * F.when(F.col("bit_depth") > 8, 2).otherwise(1)
     frames = frames.filter(F.col("pixels").isNotNull() & (F.octet_length("pixels") == bytes_))
     none = F.lit(None).cast("double")
     first = frames.groupBy("burst").agg(F.min("index").alias("index")).join(frames, ["burst", "index"]).withColumn("dy", none).withColumn("dx", none)
-    found = cut(shifts(frames, templates(first)))
+    found = write(shifts(frames, templates(first)))
     for _ in range(rounds - 1):
-        found = cut(shifts(frames, templates(frames.join(found.select("burst", "index", "dy", "dx"), ["burst", "index"]))))
+        found = write(shifts(frames, templates(frames.join(found.select("burst", "index", "dy", "dx"), ["burst", "index"]))))
     return found

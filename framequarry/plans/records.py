@@ -22,10 +22,10 @@ def manifest_verify(spark, sf_dir):
     return integrity.verify(m, f, "doc_id")
 
 
-@query("select url, count(*) as n from (select regexp_replace(url, '[?].*', '') as url from pages) group by 1 having count(*) > 1")
+@query("select host, count(*) as n from (select regexp_extract(url, '^https?://([^/]+)', 1) as host from pages) group by 1 having count(*) > 1")
 def duplicate_keys(spark, sf_dir):
     """Names that occur more than once."""
-    return integrity.duplicates(table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[?].*", "").alias("url")), "url")
+    return integrity.duplicates(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")), "host")
 
 
 @query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id, role order by turn, text) as n from conversations) where n = 1")

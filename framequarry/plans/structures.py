@@ -109,3 +109,42 @@ def cheapest_pair(spark, sf_dir):
     """The cheapest candidate of each unordered pair."""
     c = table(spark, sf_dir, "lineitem").filter("l_partkey < 100").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), F.col("l_extendedprice").alias("cost"))
     return c.groupBy("a", "b").agg(F.min("cost").alias("cost"))
+
+
+@query(f"""with recursive {_EDGES}, b as (select u as a, v as b from g union select v, u from g),
+ t(node, root) as (select a, a from b union select b.b, t.root from t join b on t.node = b.a)
+ select node, min(root) as label from t group by 1""")
+def graph_components(spark, sf_dir):
+    """Connected components by smallest labels."""
+    return graph.components(_edges(spark, sf_dir), "u", "v")
+
+
+@query(f"""with {_EDGES}, i as (select u * 1000 + v as e, u, v, cast(u % 13 + v % 7 + 1 as bigint) as len from g where (u + v) % 6 = 0),
+ n as (select e, u as node, len from i union all select e, v, len from i)
+ select node, min(e) as a, max(e) as b, cast(sum(len) as bigint) as length from n group by 1 having count(*) = 2 and min(e) <> max(e)""")
+def merge_degree_two(spark, sf_dir):
+    """Pairs of edges that a node of degree two makes one (M3, M4, M6, M7)."""
+    e = _edges(spark, sf_dir).filter("(u + v) % 6 = 0").withColumn("e", F.col("u") * 1000 + F.col("v")).withColumn("len", F.col("u") % 13 + F.col("v") % 7 + 1)
+    return graph.passed_through(e, "e", "u", "v", "len")
+
+
+@query(f"""with {_EDGES}, i as (select u * 1000 + v as e, u, v, cast(u % 13 + v % 7 + 1 as double) as len from g),
+ d as (select node, count(*) as d from (select u as node from i union all select v from i) group by 1)
+ select i.e as edge, i.len as length from i join d a on a.node = i.u join d b on b.node = i.v where not (len < 6 and least(a.d, b.d) = 1 and greatest(a.d, b.d) > 2)""")
+def spur_pruning(spark, sf_dir):
+    """One round of spur pruning (M3)."""
+    e = _edges(spark, sf_dir).withColumn("e", F.col("u") * 1000 + F.col("v")).withColumn("len", (F.col("u") % 13 + F.col("v") % 7 + 1).cast("double"))
+    return graph.without_spurs(e, "u", "v", "len", 6, rounds=1).select(F.col("e").alias("edge"), F.col("len").alias("length"))
+
+
+@query("""with s as (select l_partkey as edge, cast(sum(cast(l_quantity as bigint) * case when l_returnflag = 'A' then -1 else 1 end) as bigint) as net, count(*) as n from lineitem group by 1),
+ k as (select l_partkey as edge, cast(sum(cast(l_quantity as bigint)) as bigint) as w, cast(sum(cast(l_quantity as bigint) * l_linenumber) as bigint) as vw
+       from lineitem join s on s.edge = l_partkey where (case when l_returnflag = 'A' then -1 else 1 end) = sign(net) group by 1)
+ select s.edge, net, n, round(vw / w * sign(net), 6) as flow, net * net > 40 * n as kept from s join k using (edge)""")
+def dominant_flow(spark, sf_dir):
+    """Weighted mean of the dominant sign, and the gain test that keeps an edge."""
+    q = F.col("l_quantity").cast("long")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("edge"), q.alias("q"), F.when(F.col("l_returnflag") == "A", -1).otherwise(1).alias("sign"), "l_linenumber")
+    s = li.groupBy("edge").agg(F.sum(F.col("q") * F.col("sign")).alias("net"), F.count(F.lit(1)).alias("n"))
+    k = li.join(s, "edge").filter(F.col("sign") == F.signum("net")).groupBy("edge").agg(F.sum("q").alias("w"), F.sum(F.col("q") * F.col("l_linenumber")).alias("vw"))
+    return s.join(k, "edge").select("edge", "net", "n", F.round(F.col("vw") / F.col("w") * F.signum("net"), 6).alias("flow"), (F.col("net") * F.col("net") > 40 * F.col("n")).alias("kept"))
