@@ -13,7 +13,7 @@ from .image_copies import image_copies, vectors_as_images
 from .known_licenses import NOTICES, SPELLINGS, TEXTS
 from .mixing import mix
 from .near_dedup import near_duplicates
-from .secret_scan import secret_scan, spans_text
+from .secret_scan import ACCESS, ASSIGN, ENDPOINT, secret_scan, spans_text
 from .sentencepiece_codec import Vocabulary, encode
 from .sharding import histogram_shards
 from .suffix_dedup import suffix_dedup
@@ -108,8 +108,64 @@ def _known_sql(texts: dict[str, str]) -> str:
     return f"(select sha256({_canonical_sql('t')}) as known_digest, min(id) as license_id from (values {rows}) as v(id, t) group by 1)"
 
 
+def _spans_sql(rank: int, pattern: str, keep: str, group: int = 0, where: str = "true") -> str:
+    """doc_id, rank, start, stop of matches, from what ``regexp_extract_all`` and ``string_split_regex`` give."""
+    return f"""
+        select doc_id, {rank} as rank, start, start + length(mm) as stop from (
+          select doc_id, m[i] as mm, q[i] as qq,
+                 cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as start
+          from (select doc_id, regexp_extract_all(t, {pattern}, 0) as m, regexp_extract_all(t, {pattern}, {group}) as q, string_split_regex(t, {pattern}) as g from d where {where}) as p,
+               unnest(range(1, len(p.m) + 1)) as u(i)) where {keep}"""
+
+
+def _secret_sql() -> str:
+    near = lambda a, b: f"{a}.doc_id = {b}.doc_id and {b}.start - {a}.stop <= 300 and {a}.start - {b}.stop <= 300"
+    text = "string_agg((['assign', 'access', 'hex', 'secret', 'endpoint'])[rank + 1] || ':' || start || ':' || stop, ',' order by start, rank, stop)"
+    return f"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        base as ({_spans_sql(0, _sql(ASSIGN), "length(qq) >= 6", 1)} union all {_spans_sql(1, _sql(ACCESS), "length(mm) >= 20")} union all {_spans_sql(2, _sql("[0-9a-f]+"), "length(mm) >= 24")}),
+        ids as (select * from base where rank = 1),
+        weak as ({_spans_sql(3, _sql("[A-Za-z0-9+/=]+"), "length(mm) = 40 and not contains(mm, '=')", where="contains(t, 'AKIA')")}),
+        ends as ({_spans_sql(4, _sql(ENDPOINT), "length(mm) >= 8", where="contains(t, 'AKIA')")}),
+        secret as (select * from weak w where exists (select 1 from ids i where {near("w", "i")})),
+        linked as (select * from secret union all select * from ends e where exists (select 1 from ids i where {near("e", "i")}) and exists (select 1 from secret s where {near("e", "s")})),
+        b as (select doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex, {text} as x from base group by 1),
+        l as (select doc_id, count(*) filter (rank = 3) as n_secret, count(*) filter (rank = 4) as n_endpoint from linked group by 1),
+        a as (select doc_id, {text} as spans from (select * from base union all select * from linked) group by 1)
+        select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_secret, 0) as n_secret,
+               coalesce(n_endpoint, 0) as n_endpoint, sha256(coalesce(x, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join b using (doc_id) left join l using (doc_id) left join a using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    """Those of op1, op3, op4 compare everything with everything, so they are for small tables only."""
     return {
+        "op1_hyperminhash_dedup": rf"""
+            with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+            s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+            n as (select doc_id, count(*) as n from s group by 1),
+            p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+            l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+            e as (select x as a, y as b from l union all select y, x from l),
+            r(a, b) as (select doc_id, doc_id from d union select r.a, e.b from r join e on r.b = e.a),
+            k as (select a as doc_id, min(b) as component_id from r group by 1)
+            select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from k left join n using (doc_id)""",
+        "op3_secret_scan": _secret_sql(),
+        "op4_suffix_array_dedup": """
+            with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+            w as (select doc_id, i, array_slice(b, i, i + 49) as s from d, unnest(range(1, octet_length(b) - 48)) as u(i)),
+            c as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as f from w) where f < doc_id),
+            g as (select *, i - lag(i) over (partition by doc_id order by i) as gap from c),
+            r as (select *, sum(case when gap is null or gap > 50 then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) as run from g),
+            p as (select doc_id, run, min(i) as a, max(i) + 49 as z from r group by 1, 2),
+            k as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 as x, a - 1 as y from p
+                  union all select doc_id, max(z) + 1, 1000000000 from p group by 1),
+            h as (select k.doc_id, string_agg(hex(array_slice(b, x, y)), '' order by x) as kept from k join d using (doc_id) where x <= y group by 1),
+            t as (select doc_id, cast(sum(z - a + 1) as bigint) as n_removed, count(*) as n_spans from p group by 1)
+            select d.doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+                   sha256(case when t.doc_id is null then b else unhex(coalesce(kept, '')) end) as kept_sha256
+            from d left join t using (doc_id) left join h using (doc_id)""",
         "op8_content_sort_dedup": """
             with d as (select doc_id, coalesce(text, '') as t from documents)
             select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
