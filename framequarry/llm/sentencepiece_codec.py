@@ -24,9 +24,9 @@ from .text_kernels import chunks, string_bytes
 
 SPACE = "▁"
 #: Words whose ids a worker remembers; then it starts anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 #: Words matched at once, and bytes of text taken at once.
-BATCH_WORDS, BATCH_BYTES = 200_000, 8 << 20
+BATCH_WORDS, BATCH_BYTES = 20_000, 2 << 20
 NEVER = np.int64(1) << 40
 #: A line break is no part of any piece; words begin with at most one blank, and further blanks are a run.
 _WORDS = re.compile(r" {2,}[^ \n]+| ?[^ \n]+|\n| +")

@@ -10,7 +10,7 @@ import numpy as np
 from .text_kernels import U, powers, prefix_hash, span_hash, mix64
 
 #: A piece of a very long text that is worked on at once; pieces overlap so that every window is whole in one.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Suffixes that are induced from at once.
 BATCH = 1 << 20
 _BITS = 26

@@ -78,7 +78,7 @@ def _count(batches):
     for batch in batches:
         offsets, data = string_bytes(batch.column(1))
         y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b in chunks(offsets, 4 << 20):
+        for a, b in chunks(offsets, 1 << 20):
             part = offsets[a : b + 1]
             h, r, times = _counted(*terms_of(data[part[0] : part[-1]], part - part[0]))
             for level in range(1, LEVELS + 1):
