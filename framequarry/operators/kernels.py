@@ -149,3 +149,40 @@ def phase_shift(df: DataFrame, ref: str, row: str, alpha: float = 0.5) -> DataFr
         return pyarrow.array(out, kind)
 
     return df.withColumn("_p", shifted(F.col(ref), F.col(row))).select("*", "_p.*").drop("_p")
+
+
+def fwhm(profile: np.ndarray) -> tuple[float, float]:
+    """(width at half depth, centre) of the dark dip around a profile's middle, between samples; NaN where it is open."""
+    p = np.asarray(profile, float)
+    mid = len(p) // 2
+    lo = max(0, mid - len(p) // 4)
+    k = lo + int(np.argmin(p[lo : mid + len(p) // 4 + 1]))
+    base = float(np.median(np.concatenate([p[: max(1, len(p) // 6)], p[-max(1, len(p) // 6) :]])))
+    half = (base + p[k]) / 2
+    left = next((i + (half - p[i]) / (p[i + 1] - p[i]) for i in range(k - 1, -1, -1) if p[i] >= half > p[i + 1]), np.nan)
+    right = next((i - 1 + (half - p[i - 1]) / (p[i] - p[i - 1]) for i in range(k + 1, len(p)) if p[i] >= half > p[i - 1]), np.nan)
+    return float(right - left), float((right + left) / 2)
+
+
+def resampled(xy: np.ndarray, n: int) -> np.ndarray:
+    """n points at equal arc length along a polyline."""
+    s = np.append(0, np.cumsum(np.hypot(*np.diff(xy, axis=0).T)))
+    at = np.linspace(0, s[-1], n)
+    return np.column_stack([np.interp(at, s, xy[:, 0]), np.interp(at, s, xy[:, 1])])
+
+
+def curvature(xy: np.ndarray) -> np.ndarray:
+    """Signed curvature at the points of a curve, by differences along its own parameter."""
+    d = np.gradient(xy, axis=0)
+    dd = np.gradient(d, axis=0)
+    return (d[:, 0] * dd[:, 1] - d[:, 1] * dd[:, 0]) / np.maximum(np.hypot(d[:, 0], d[:, 1]) ** 3, 1e-12)
+
+
+def strip(image: np.ndarray, xy: np.ndarray, half: int) -> np.ndarray:
+    """Pixels across a curve: one row a point, 2 * half + 1 places along its normal; NaN outside the picture."""
+    from .masks import sampled
+
+    d = np.gradient(xy, axis=0)
+    n = np.column_stack([-d[:, 1], d[:, 0]]) / np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-12)[:, None]
+    off = np.arange(-half, half + 1)
+    return sampled(image, xy[:, 1:2] + n[:, 1:2] * off, xy[:, 0:1] + n[:, 0:1] * off)

@@ -82,3 +82,73 @@ def velocities(kymographs: DataFrame) -> DataFrame:
 
     long = kymographs.selectExpr("cast(vessel as string) as vessel", "cast(t as bigint) as t", "cast(s as bigint) as s", "cast(k as double) as k").filter("t is not null and s is not null")
     return long.groupBy("vessel").applyInArrow(run, "vessel string, velocity double, spread double, agree int, reliable boolean")
+
+
+def series(k: np.ndarray, window: int, step: int, lag: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(middle row, velocity) of sliding windows of rows, by correlation at a lag."""
+    a = centred(k)
+    starts = np.arange(0, len(a) - window + 1, step)
+    return starts + window / 2, np.array([by_lag(a[s : s + window], lag) for s in starts])
+
+
+def best_lag(k: np.ndarray, most: int) -> int:
+    """The longest lag whose correlation peak is still half of that of lag 1: slow flow is measured better over more rows."""
+    a, n, out = centred(k), k.shape[1], 1
+    f = np.fft.rfft(a, 2 * n, axis=1)
+    peak = [float(np.fft.irfft((np.conj(f[:-g]) * f[g:]).mean(0), 2 * n).max()) for g in range(1, most + 1)]
+    for g in range(2, most + 1):
+        if peak[g - 1] < 0.5 * peak[0]:
+            break
+        out = g
+    return out
+
+
+def time_of_flight(k: np.ndarray, gap: int, most: int) -> float:
+    """Velocity from the delay between places ``gap`` apart: the median over places of gap / delay, sub-row."""
+    a, out = centred(k), []
+    n = len(a)
+    for s in range(0, a.shape[1] - gap, gap):
+        c = np.fft.irfft(np.conj(np.fft.rfft(a[:, s], 2 * n)) * np.fft.rfft(a[:, s + gap], 2 * n), 2 * n)
+        at = np.concatenate([np.arange(-most, 0), np.arange(1, most + 1)])
+        d = int(at[int(np.argmax(c[at]))])
+        delay = subpixel_peak(c, d % (2 * n)) - (2 * n if d < 0 else 0)
+        if abs(delay) > 0.3:
+            out.append(gap / delay)
+    return float(np.median(out)) if out else float("nan")
+
+
+def pulsatility(v: np.ndarray, rate: float, low: float, high: float) -> tuple[float, float]:
+    """(dominant frequency in the band, (max - min) / mean) of a velocity series sampled ``rate`` times a second."""
+    v = v[np.isfinite(v)]
+    if len(v) < 8:
+        return float("nan"), float("nan")
+    power = np.abs(np.fft.rfft((v - v.mean()) * np.hanning(len(v)))) ** 2
+    f = np.fft.rfftfreq(len(v), 1 / rate)
+    band = (f >= low) & (f <= high)
+    mean = abs(v.mean())
+    return (float(f[band][int(np.argmax(power[band]))]) if band.any() else float("nan")), (float((v.max() - v.min()) / mean) if mean > 0 else float("nan"))
+
+
+def multi_scale(k: np.ndarray, scales: tuple[int, ...] = (1, 3, 9)) -> tuple[float, int]:
+    """(velocity, scale): rows binned by each scale; the first whose shift a row is between 1/2 and a quarter of the places."""
+    got = []
+    for s in scales:
+        n = len(k) // s
+        if n < 8:
+            break
+        a = centred(np.nanmean(k[: n * s].reshape(n, s, -1), axis=1))
+        got.append((by_lag(a, 1), s))
+    fits = [(v / s, s) for v, s in got if 0.5 <= abs(v) <= k.shape[1] / 4]
+    return fits[0] if fits else (got[0][0] / got[0][1], got[0][1])
+
+
+def beats_chance(k: np.ndarray, v: float, shuffles: int = 20, seed: int = 0) -> bool:
+    """Whether rows sheared by v agree better than rows in any shuffled order."""
+    a, rng = centred(k), np.random.default_rng(seed)
+
+    def score(x: np.ndarray) -> float:
+        s = np.arange(x.shape[1])
+        return float(np.mean([np.mean(x[t] * np.interp(s + v, s, x[t + 1], left=0, right=0)) for t in range(len(x) - 1)]))
+
+    own = score(a)
+    return all(own > score(a[rng.permutation(len(a))]) for _ in range(shuffles))

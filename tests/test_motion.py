@@ -49,3 +49,38 @@ def test_velocity_sign_and_noise(spark):
     got = {r.vessel: r for r in velocities(spark.createDataFrame(rows, "vessel string, t int, s int, k double")).collect()}
     assert abs(got["moving"].velocity - 2) < 0.3 and got["moving"].reliable and not got["noise"].reliable
     assert got["short"].velocity is None and got["empty"].velocity is None
+
+
+def test_velocity_series_and_scales():
+    from framequarry.operators import velocity
+
+    k = synthetic.kymograph(200, 160, 1.5, 8)
+    at, v = velocity.series(k, 40, 20)
+    assert len(at) == 9 and np.all(np.abs(v - 1.5) < 0.3)
+    assert abs(velocity.time_of_flight(k, 10, 30) - 1.5) < 0.3 and velocity.best_lag(k, 4) >= 2
+    slow, scale = velocity.multi_scale(synthetic.kymograph(270, 160, 0.2, 9))
+    assert scale > 1 and abs(slow - 0.2) < 0.05
+    assert velocity.beats_chance(k, 1.5) and not velocity.beats_chance(np.random.default_rng(1).normal(size=(60, 80)), 1.5)
+
+
+def test_pulsatility():
+    from framequarry.operators.velocity import pulsatility
+
+    t = np.arange(300) / 30
+    f, index = pulsatility(2 + 0.5 * np.sin(2 * np.pi * 1.2 * t), 30, 0.5, 3)
+    assert abs(f - 1.2) < 0.1 and abs(index - 0.5) < 0.02
+    assert np.isnan(pulsatility(np.ones(3), 30, 0.5, 3)[0])
+
+
+def test_widths_and_curves():
+    from framequarry.operators.kernels import curvature, fwhm, resampled, strip
+
+    x = np.arange(-20, 21)
+    width, centre = fwhm(1 - 0.4 * np.exp(-(((x - 1) / 4) ** 2)))
+    assert abs(width - 2 * 4 * np.sqrt(np.log(2))) < 0.1 and abs(centre - 21) < 0.05
+    a = np.linspace(0, np.pi, 60)
+    ring = np.column_stack([50 + 20 * np.cos(a), 50 + 20 * np.sin(a)])
+    assert np.allclose(curvature(ring)[3:-3], 1 / 20, atol=2e-3)
+    yy, xx = np.mgrid[:100, :100]
+    s = strip(np.hypot(yy - 50, xx - 50), resampled(ring, 40), 5)
+    assert s.shape == (40, 11) and np.allclose(np.abs(s[5:-5, 0] - s[5:-5, 10]), 10, atol=0.3)
