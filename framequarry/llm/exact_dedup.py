@@ -61,7 +61,7 @@ def exact_dedup(
     of_cut = base.filter(F.col("h").isin(cut)).groupBy("h").agg(F.count(F.lit(1)).alias("cn"), best("i").alias("ck"), F.max(F.when(F.col("i").isNotNull(), piece)).alias("hi"), F.min(F.when(F.col("i").isNotNull(), piece)).alias("lo"), F.max(piece).alias("any"))
     of_cut = of_cut.select(F.col("h").alias("ch"), "cn", "ck", F.coalesce(F.col("hi" if keep == "largest" else "lo"), F.col("any")).alias("cp"))
 
-    placed = base.withColumn("p", piece).repartition(pieces, "p")
+    placed = base.withColumn("p", piece.cast("int")).repartitionById(pieces, "p")
     run = Window.partitionBy("p", "t")
     runs = placed.select("*", F.row_number().over(run.orderBy(first)).alias("rn"), F.count(F.lit(1)).over(run).alias("n"), best("i").over(run).alias("k"))
     if cut:  # at most two rows a splitter
