@@ -285,10 +285,10 @@ def relock_epochs(spark, sf_dir):
 
 
 @query(f"""with {EVENTS}, r as (select *, row_number() over (partition by user_id order by us desc, event_id desc) as rn, count(*) over (partition by user_id) as n, min(us) over (partition by user_id) as t0, max(us) over (partition by user_id) as t1 from e)
- select user_id, event_id, round((n - rn) * ((t1 - t0) / 1e6 / greatest(n - 1, 1)), 6) as due_s from r where rn <= 20""")
+ select user_id, event_id, round((n - rn) * ((t1 - t0) / 1e6 / greatest(n - 1, 1)), 3) as due_s from r where rn <= 20""")
 def retimed_newest(spark, sf_dir):
     """The newest frames kept, timed by the rate that was reached."""
     w = Window.partitionBy("user_id")
     r = events(spark, sf_dir).withColumn("rn", F.row_number().over(w.orderBy(F.desc("us"), F.desc("event_id")))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("t0", F.min("us").over(w)).withColumn("t1", F.max("us").over(w))
     step = (F.col("t1") - F.col("t0")) / 1e6 / F.greatest(F.col("n") - 1, F.lit(1))
-    return r.filter("rn <= 20").select("user_id", "event_id", F.round((F.col("n") - F.col("rn")) * step, 6).alias("due_s"))
+    return r.filter("rn <= 20").select("user_id", "event_id", F.round((F.col("n") - F.col("rn")) * step, 3).alias("due_s"))
