@@ -24,7 +24,7 @@ from .text_kernels import U, chunks, mix64, string_bytes
 
 WIDTH, GRAM = 50, 24
 #: Bytes of text in a group of documents, on average; there are as many shards of runs as groups.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Stands for a null identifier: larger than any other.
 NO_ID = (1 << 63) - 1
 _RUNS = "shard int, ids binary, keys binary, doc binary, start binary, windows binary, anchor binary, digest binary, done boolean"
