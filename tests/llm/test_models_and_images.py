@@ -90,6 +90,19 @@ def test_image_copies(spark):
     assert image_copies(spark.createDataFrame([], IMAGES)).collect() == []
 
 
+def test_copies_are_found_beside_many_others(spark):
+    """Exact copies of another picture take no edited copy away."""
+    rng, rows = np.random.default_rng(11), []
+    for a in scenes(12, 11):
+        a = a[20:84, 20:84]
+        rows += [(len(rows) + k, 64, 64, np.rint(np.clip(v, 0, 255)).astype(np.uint8).tobytes()) for k, v in enumerate((a, a + rng.normal(0, 12, a.shape)))]
+    other = np.rint(next(scenes(1, 12))[20:84, 20:84]).astype(np.uint8).tobytes()
+    many = spark.range(1000, 17_000).select("id", F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(other).alias("pixels"))
+    few = spark.createDataFrame(rows, IMAGES)
+    alone, beside = ({r.id: r.component_id for r in image_copies(x).filter("id < 1000").collect()} for x in (few, few.union(many)))
+    assert alone == beside and sum(alone[k] == alone[k + 1] for k in range(0, 24, 2)) >= 6
+
+
 def test_vectors_as_images(spark):
     rng = np.random.default_rng(5)
     vectors = [rng.normal(size=64) for _ in range(12)]
