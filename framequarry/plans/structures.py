@@ -148,3 +148,52 @@ def dominant_flow(spark, sf_dir):
     s = li.groupBy("edge").agg(F.sum(F.col("q") * F.col("sign")).alias("net"), F.count(F.lit(1)).alias("n"))
     k = li.join(s, "edge").filter(F.col("sign") == F.signum("net")).groupBy("edge").agg(F.sum("q").alias("w"), F.sum(F.col("q") * F.col("l_linenumber")).alias("vw"))
     return s.join(k, "edge").select("edge", "net", "n", F.round(F.col("vw") / F.col("w") * F.signum("net"), 6).alias("flow"), (F.col("net") * F.col("net") > 40 * F.col("n")).alias("kept"))
+
+
+_ORDERS = "g as (select distinct o_custkey as u, o_orderkey as v from orders)"
+
+
+def _orders(spark, sf_dir):
+    """The edges of all orders, from customer to order, with their own identifiers as nodes."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("u"), F.col("o_orderkey").alias("v")).distinct()
+
+
+def _measured(spark, sf_dir):
+    """The same with a name u:v and a length."""
+    return _orders(spark, sf_dir).withColumn("e", F.concat_ws(":", "u", "v")).withColumn("len", F.col("u") % 13 + F.col("v") % 7 + 1)
+
+
+_MEASURED = f"{_ORDERS}, i as (select u || ':' || v as e, u, v, cast(u % 13 + v % 7 + 1 as bigint) as len from g)"
+
+
+@query(f"""with {_ORDERS}, n as (select u as node from g union all select v from g), d as (select node, count(*) as degree from n group by 1)
+ select node, degree, case degree when 1 then 'end' when 2 then 'link' when 3 then 'branch' else 'crossing' end as kind from d""")
+def degree_node_kind_whole(spark, sf_dir):
+    """Kind of a node by its degree, over all orders."""
+    return graph.degree_kinds(_orders(spark, sf_dir), "u", "v")
+
+
+@query()
+def bfs_depth_orientation_whole(spark, sf_dir):
+    """Depth of all nodes that can be reached from the smallest one, over all orders (M8)."""
+    e = _orders(spark, sf_dir)
+    return graph.depths(e, "u", "v", e.agg(F.min(F.least("u", "v")).alias("node")))
+
+
+@query()
+def graph_components_whole(spark, sf_dir):
+    """Connected components by smallest labels, over all orders."""
+    return graph.components(_orders(spark, sf_dir), "u", "v")
+
+
+@query(f"""with {_MEASURED}, n as (select e, u as node, len from i union all select e, v, len from i)
+ select node, min(e) as a, max(e) as b, cast(sum(len) as bigint) as length from n group by 1 having count(*) = 2 and min(e) <> max(e)""")
+def merge_degree_two_whole(spark, sf_dir):
+    """Pairs of edges that a node of degree two makes one, over all orders (M3, M4, M6, M7)."""
+    return graph.passed_through(_measured(spark, sf_dir), "e", "u", "v", "len")
+
+
+@query()
+def spur_pruning_whole(spark, sf_dir):
+    """Spur pruning until no spur is left, over all orders (M3)."""
+    return graph.without_spurs(_measured(spark, sf_dir), "u", "v", "len", 6, rounds=None).select(F.col("e").alias("edge"), F.col("len").alias("length"))

@@ -1,7 +1,10 @@
+from collections import Counter, defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from framequarry import plans
 from framequarry.functions import stats
 from framequarry.operators import curves, graph, integrity, series, spatial
 from framequarry.streaming import live
@@ -96,3 +99,48 @@ def test_matching(spark):
     rows = [(1, 2, 1.0), (2, 3, 0.5), (3, 4, 1.0), (1, 4, 3.0), (5, 6, 2.0), (6, 5, 1.5), (7, 7, 0.1)]
     got = {(r.a, r.b, r.cost) for r in graph.greedy_matching(spark.createDataFrame(rows, "a int, b int, c double"), "a", "b", "c", write=plain_write(spark)).collect()}
     assert got == {(2, 3, 0.5), (1, 4, 3.0), (5, 6, 1.5)}
+
+
+def test_graph_queries_read_all_orders(spark, sf):
+    """Against plain loops over every order."""
+    q = plans.queries()
+    edges = {(r.o_custkey, r.o_orderkey) for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    label, depth = {}, {}
+    for root in sorted(near):
+        if root in label:
+            continue
+        steps, front = {root: 0}, [root]
+        while front:
+            front = sorted({b for a in front for b in near[a]} - set(steps))
+            steps |= {b: max(steps.values()) + 1 for b in front}
+        label |= dict.fromkeys(steps, root)
+        depth = depth or steps
+    assert {r.node: r.label for r in q["graph_components_whole"](spark, sf).collect()} == label
+    assert {r.node: r.depth for r in q["bfs_depth_orientation_whole"](spark, sf).collect()} == depth and max(depth.values()) > 4
+    left = dict.fromkeys(edges, 0) | {(a, b): a % 13 + b % 7 + 1 for a, b in edges}
+    rounds = 0
+    while True:
+        d = Counter(x for e in left for x in e)
+        spurs = [e for e in left if left[e] < 6 and min(d[e[0]], d[e[1]]) == 1 and max(d[e[0]], d[e[1]]) > 2]
+        if not spurs:
+            break
+        rounds += 1
+        for e in spurs:
+            del left[e]
+    assert {r.edge: r.length for r in q["spur_pruning_whole"](spark, sf).collect()} == {f"{a}:{b}": n for (a, b), n in left.items()} and rounds >= 1
+
+
+def test_depths_go_to_the_end(spark):
+    path = spark.range(12).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    root = spark.range(1).select(F.col("id").alias("node"))
+    assert {r.node: r.depth for r in graph.depths(path, "u", "v", root).collect()} == {k: k for k in range(13)}
+
+
+def test_spurs_go_to_the_end(spark):
+    """A binary tree of twelve levels loses one a round, down to the two edges of its root."""
+    tree = spark.range(2, 1 << 13).select((F.col("id") / 2).cast("long").alias("u"), F.col("id").alias("v"), F.lit(1).alias("len"))
+    assert {(r.u, r.v) for r in graph.without_spurs(tree, "u", "v", "len", 5, rounds=None).collect()} == {(1, 2), (1, 3)}
