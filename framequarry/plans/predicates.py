@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .registry import EVENTS, events, query, r6, table
 
 
@@ -151,6 +152,23 @@ def place_along_edge(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", place.cast("long").alias("place"), F.concat(F.lit("V"), F.lpad((F.col("d") % 100).cast("string"), 2, "0")).alias("label"))
 
 
+@query("""select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_extendedprice, l_linenumber, l_partkey) as place,
+ 'V' || lpad(cast(dense_rank() over (order by l_orderkey) % 100 as varchar), 2, '0') as label from lineitem""")
+def place_along_edge_whole(spark, sf_dir):
+    """Places of nodes along an edge, and numbered labels, over all edges.
+
+    Edges are numbered by ranges of their keys: each range counts its own and starts where those before it end.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    keys = cut(li.select("l_orderkey").distinct().repartitionByRange("l_orderkey").withColumn("part", F.spark_partition_id()))
+    sizes = keys.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("least"))
+    before = sizes.alias("x").join(sizes.alias("y"), F.col("y.least") < F.col("x.least"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("l_orderkey"))
+    keys = keys.withColumn("own", own).join(before, "part").select("l_orderkey", (F.col("own") + F.col("before")).alias("d"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_linenumber", "l_partkey"))
+    return li.join(keys, "l_orderkey").select("l_orderkey", "l_linenumber", place.cast("long").alias("place"), F.concat(F.lit("V"), F.lpad((F.col("d") % 100).cast("string"), 2, "0")).alias("label"))
+
+
 @query("""with x as (select o_custkey, list(o_orderpriority order by o_orderkey) as p from orders group by 1),
  d as (select o_custkey, min(o_orderkey) as first, o_orderpriority as p from orders group by 1, 3)
  select o_custkey, string_agg(p, '>' order by first) as through from d group by 1""")

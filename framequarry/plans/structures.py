@@ -197,3 +197,17 @@ def merge_degree_two_whole(spark, sf_dir):
 def spur_pruning_whole(spark, sf_dir):
     """Spur pruning until no spur is left, over all orders (M3)."""
     return graph.without_spurs(_measured(spark, sf_dir), "u", "v", "len", 6, rounds=None).select(F.col("e").alias("edge"), F.col("len").alias("length"))
+
+
+@query("""with px as (select distinct l_suppkey as o, l_partkey as p from lineitem) select a.o as a, b.o as b, count(*) as n from px a join px b on a.p = b.p and a.o < b.o group by 1, 2 having count(*) >= 2""")
+def pixel_overlap_pairs_whole(spark, sf_dir):
+    """Owners that share pixels, over all owners."""
+    return spatial.shared_pixels(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", 2)
+
+
+@query("""with c as (select least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, l_extendedprice as cost, l_orderkey, l_linenumber from lineitem),
+ r as (select *, row_number() over (partition by a, b order by cost, l_orderkey, l_linenumber) as rn from c) select a, b, cost from r where rn = 1""")
+def cheapest_pair_whole(spark, sf_dir):
+    """The cheapest candidate of each unordered pair, over all pairs."""
+    c = table(spark, sf_dir, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), F.col("l_extendedprice").alias("cost"))
+    return c.groupBy("a", "b").agg(F.min("cost").alias("cost"))

@@ -144,3 +144,14 @@ def test_spurs_go_to_the_end(spark):
     """A binary tree of twelve levels loses one a round, down to the two edges of its root."""
     tree = spark.range(2, 1 << 13).select((F.col("id") / 2).cast("long").alias("u"), F.col("id").alias("v"), F.lit(1).alias("len"))
     assert {(r.u, r.v) for r in graph.without_spurs(tree, "u", "v", "len", 5, rounds=None).collect()} == {(1, 2), (1, 3)}
+
+
+def test_line_queries_read_all_lines(spark, sf):
+    """Every edge has its places, every pair its cheapest candidate, owners of any number share pixels."""
+    q, lines = plans.queries(), spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert q["place_along_edge_whole"](spark, sf).count() == lines.count()
+    pairs = lines.select(F.least("l_partkey", "l_suppkey"), F.greatest("l_partkey", "l_suppkey")).distinct().count()
+    assert q["cheapest_pair_whole"](spark, sf).count() == pairs > q["cheapest_pair"](spark, sf).count()
+    owners = lines.select("l_suppkey", "l_partkey").distinct().groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    met = q["pixel_overlap_pairs_whole"](spark, sf).agg(F.sum("n")).first()[0]
+    assert 0 < met <= owners.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0]
