@@ -2,8 +2,8 @@
 
 Three strong patterns are always reported. A key-shaped token alone is too weak to report: it counts only where an
 access identifier stands in the same scope, and an endpoint only where both do. Scopes are stretches of ``scope`` code
-points; identifiers, tokens and endpoints are put into blocks of that length and joined with the neighbouring blocks,
-so the join grows with the parts found, not with their pairs. Everything is a built-in expression.
+points; identifiers, tokens and endpoints are put into the blocks of that length that they touch and joined with all
+blocks within the scope, so the join grows with the parts found, not with their pairs. Everything is a built-in expression.
 """
 
 from __future__ import annotations
@@ -81,17 +81,20 @@ def find_spans(df: DataFrame) -> DataFrame:
 def link_parts(found: DataFrame, keys: list[str], scope: int) -> DataFrame:
     """keys, linked: the weak spans of each row that have their complementary parts within ``scope`` code points."""
     block = lambda c: F.floor(c / scope).cast("int")
+    # every block that a span or its scope touches, on either side: two spans within the scope share one at least
     part = lambda rank: found.filter(F.size(f"s{rank}") > 0).select(*keys, F.explode(f"s{rank}").alias("x")).distinct()
-    near = lambda df: df.select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("x").alias("y"), F.explode(F.sequence(block(F.col("x.start")) - 1, block(F.col("x.end")) + 1)).alias("b2"))
+    reach = lambda df, *names: df.select(*names, F.explode(F.sequence(block(F.col("x.start") - scope), block(F.col("x.end") + scope))).alias("b2"))
+    own = lambda df: df.select(*keys, "x", F.explode(F.sequence(block(F.col("x.start")), block(F.col("x.end")))).alias("b1"))
 
     def beside(a: DataFrame, b: DataFrame) -> DataFrame:
         """Rows of ``a`` with a row of ``b`` within the scope; a gap of over ``scope`` between them is too far."""
-        b = near(b)
-        on = [a[k].eqNullSafe(b[f"{k}2"]) for k in keys] + [block(a["x.start"]) == b["b2"], b["y.start"] - a["x.end"] <= scope, a["x.start"] - b["y.end"] <= scope]
+        a = own(a)
+        b = reach(b, *[F.col(k).alias(f"{k}2") for k in keys], F.col("x").alias("y"))
+        on = [a[k].eqNullSafe(b[f"{k}2"]) for k in keys] + [a["b1"] == b["b2"], b["y.start"] - a["x.end"] <= scope, a["x.start"] - b["y.end"] <= scope]
         cond = on[0]
         for c in on[1:]:
             cond = cond & c
-        return a.join(b, cond, "left_semi")
+        return a.join(b, cond, "left_semi").drop("b1").distinct()
 
     weak = found.filter((F.size("s1") > 0) & (F.size("s3") > 0))
     ids = weak.select(*keys, F.explode("s1").alias("x")).distinct()

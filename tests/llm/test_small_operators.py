@@ -157,6 +157,24 @@ def test_secret_links(spark):
     assert Counter((r.doc_id, r.s) for r in got) == Counter({(1, "access:0:20,secret:21:61,endpoint:62:84"): 2, (2, ""): 1, (3, "access:0:20"): 1, (4, "secret:0:40,access:41:61,secret:62:102,endpoint:105:116"): 1, (5, "access:12:32"): 1})
 
 
+def test_secret_links_at_every_offset(spark):
+    """A gap of 300 links and one of 301 does not, wherever the parts stand and however long the host is."""
+    key, weak, rows, want = "AKIA" + "Z9" * 8, "aB3" * 13 + "x", [], {}
+    for gap in (261, 299, 300, 301):
+        for at in range(300):
+            for a, b in ((weak, key), (key, weak)):
+                want[len(rows)] = (int(gap <= 300), 0)
+                rows.append((len(rows), " " * at + a + " " * gap + b))
+    for n in (100, 310, 700):
+        host = "https://" + "h" * n
+        for gap in (1, 150, 279, 280):  # the token stands 21 places behind the identifier's beginning
+            for at in range(0, 300, 7):
+                want[len(rows)] = (1, int(gap + 21 <= 300))
+                rows.append((len(rows), " " * at + host + " " * gap + key + " " + weak))
+    got = {r.doc_id: (r.n_secret, r.n_endpoint) for r in secret_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
+
+
 def test_licenses(spark):
     british = TEXTS["MIT"].replace("<year> <copyright holders>", "2020 Somebody").replace("license", "licence").upper()
     bsd = TEXTS["BSD-3-Clause"].replace("\n", "\r\n   ").replace('"', "”")
