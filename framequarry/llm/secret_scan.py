@@ -17,8 +17,9 @@ ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 #: Runs of 24 or more; shorter runs would be dropped afterwards, so they are not matched at all.
 HEX = r"[0-9a-f]{24,}"
-#: A token shaped like a secret key: 40 characters of base 64, none of its kind beside it.
-TOKEN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+#: A token shaped like a secret key: 40 characters of base 64, none of its kind beside it. "=" may stand before it, as in
+#: NAME=value; behind it, it is padding of something else.
+TOKEN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?"
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 SPAN = "array<struct<start:int,rank:int,end:int>>"

@@ -175,6 +175,20 @@ def test_secret_links_at_every_offset(spark):
     assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
 
 
+def test_secret_after_equals_sign(spark):
+    key, weak = "AKIA" + "Z9" * 8, "aB3" * 13 + "x"
+    rows = [
+        (1, f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={weak}\nS3=https://s3.example.com"),
+        (2, f"aws_access_key_id = {key}\naws_secret_access_key='{weak}'"),
+        (3, f"?AWSAccessKeyId={key}&Key={weak}&x=1"),
+        (4, f"{key} k={weak}="),
+        (5, f"{key} k={weak}a"),
+        (6, f"{key} k=b{weak}"),
+    ]
+    got = {r.doc_id: (r.n_secret, r.n_endpoint) for r in secret_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1, 1), 2: (1, 0), 3: (1, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
+
+
 def test_licenses(spark):
     british = TEXTS["MIT"].replace("<year> <copyright holders>", "2020 Somebody").replace("license", "licence").upper()
     bsd = TEXTS["BSD-3-Clause"].replace("\n", "\r\n   ").replace('"', "”")
