@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framequarry.llm import image_copies as module
 from framequarry.llm.image_copies import _resized, image_copies, vectors_as_images
 from framequarry.llm.toxicity import fit, held_out, label_model, toxicity
 
@@ -103,6 +104,37 @@ def test_copies_are_found_beside_many_others(spark):
     assert alone == beside and sum(alone[k] == alone[k + 1] for k in range(0, 24, 2)) >= 6
 
 
+def test_shared_entries_count_whoever_is_at_their_head(spark, monkeypatch):
+    """0 and 1 share two entries, one of them headed by 2, an image with more company."""
+    rng = np.random.default_rng(4)
+    far = lambda n: rng.integers(0, 256, (n, 32), dtype=np.uint8)
+    x = far(14)
+    y = x.copy()
+    y[:, ::4] ^= 1  # eight bits of each corner, one in each entry
+    y[0, 0] ^= 1
+    y[1, 4] ^= 1
+    hub, others = far(14), [far(14) for _ in range(3)]
+    hub[5, 4:8] = x[1, 4:8]
+    for k, o in enumerate(others):
+        o[k, :4] = hub[10 + k, :4]
+        o[k, 8:12] = hub[10 + k, 8:12] ^ 1
+    codes, place = [x, y, hub, *others], [float(v) for v in range(0, 140, 10)]
+    rows = [(k, place, place, [1.0] * 14, [0.0] * 14, c.tobytes(), k + 1) for k, c in enumerate(codes)]
+    told = spark.createDataFrame(rows, module._CORNERS)
+    monkeypatch.setattr(module, "image_corners", lambda df, id_col: told)
+    got = {r.id: (r.component_id, r.n_links) for r in image_copies(told).collect()}
+    assert got == {0: (0, 1), 1: (0, 1)} | {k: (k, 0) for k in range(2, 6)}
+
+
+def test_small_crop_of_a_large_picture(spark):
+    """A crop has its own corners in the whole picture's list, however many stronger ones stand elsewhere."""
+    tiles = [next(scenes(1, k))[:96, :96] for k in range(20, 36)]
+    whole = np.block([[t * (0.3 if k == r == 0 else 1) for k, t in enumerate(tiles[4 * r : 4 * r + 4])] for r in range(4)])
+    rows = [(k, *a.shape, np.rint(a).astype(np.uint8).tobytes()) for k, a in enumerate((whole, np.ascontiguousarray(whole[200:290, 100:190])))]
+    got = {r.id: (r.n_corners > 400, r.component_id) for r in image_copies(spark.createDataFrame(rows, IMAGES)).collect()}
+    assert got == {0: (True, 0), 1: (False, 0)}
+
+
 def test_vectors_as_images(spark):
     rng = np.random.default_rng(5)
     vectors = [rng.normal(size=64) for _ in range(12)]
