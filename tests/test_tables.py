@@ -155,3 +155,10 @@ def test_line_queries_read_all_lines(spark, sf):
     owners = lines.select("l_suppkey", "l_partkey").distinct().groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
     met = q["pixel_overlap_pairs_whole"](spark, sf).agg(F.sum("n")).first()[0]
     assert 0 < met <= owners.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0]
+
+
+def test_greedy_matching_goes_to_the_end(spark):
+    """On a path with rising costs only one pair a round is the cheapest at both ends: 51 rounds for 102 edges."""
+    path = spark.range(102).coalesce(1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.col("id").cast("double").alias("cost"))
+    got = {(r.a, r.b) for r in graph.greedy_matching(path, "a", "b", "cost").collect()}
+    assert got == {(k, k + 1) for k in range(0, 102, 2)}
