@@ -41,38 +41,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple, np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """base ** 0..n-1 modulo 2**64, or of the inverse base."""
-    name = "inverse" if inverse else "base"
+def powers(n: int, inverse: bool = False, which: int = 0) -> np.ndarray:
+    """base ** 0..n-1 modulo 2**64, or of the inverse base; ``which`` picks one of several independent bases."""
+    name = (inverse, which)
     if len(_powers.get(name, ())) < n:
         size = max(n, CHUNK + 4096)
-        steps = np.full(size, pow(_BASE, -1, 1 << 64) if inverse else _BASE, U)
+        base = (_BASE + which * 0x3C6EF372FE94F82A) & ((1 << 64) - 1) | 1
+        steps = np.full(size, pow(base, -1, 1 << 64) if inverse else base, U)
         steps[0] = 1
         _powers[name] = np.cumprod(steps, dtype=U)
     return _powers[name][:n]
 
 
-def byte_codes(lower: bool) -> np.ndarray:
+def byte_codes(lower: bool, which: int = 0) -> np.ndarray:
     """A random 64-bit code for each byte; with ``lower``, A-Z have the codes of a-z."""
-    codes = mix64(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+    codes = mix64(np.arange(1 + which * 256, 257 + which * 256, dtype=U) * U(0xD1342543DE82EF95))
     if lower:
         codes[65:91] = codes[97:123]
     return codes
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
+def prefix_hash(data: np.ndarray, lower: bool = False, which: int = 0) -> np.ndarray:
     """Wrapping running sums (n + 1) of code(byte) * base ** position."""
     out = np.zeros(len(data) + 1, U)
-    np.cumsum(byte_codes(lower)[data] * powers(len(data)), out=out[1:])
+    np.cumsum(byte_codes(lower, which)[data] * powers(len(data), False, which), out=out[1:])
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    inverse = powers(len(sums), True)
+    inverse = powers(len(sums), True, which)
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
