@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: A word, as every contract of this subpackage counts it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than this share of a table's rows is hot, if these are more than so many; parts that rows of a hot
+#: key are dealt to where its partner cannot be broadcast.
+HOT, LEAST_HOT, SALTS = 1 / 1000, 256, 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +45,36 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def hot_keys(df: DataFrame, on: list[str], counts: DataFrame | None = None, total: int | None = None) -> list:
+    """Values of ``on`` that hold more than HOT of df's rows: 1 / HOT at most, whatever the size.
+
+    ``counts`` (on, n) saves the counting where it is known already.
+    """
+    total = df.count() if total is None else total
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    return counts.filter(F.col("n") > max(total * HOT, LEAST_HOT)).select(*on).collect()
+
+
+def look_up(left: DataFrame, right: DataFrame, on: list[str], hot: list | None = None, how: str = "left", small: bool = True) -> DataFrame:
+    """``left`` joined with ``right``, which has one row at most for each value of ``on``; no key of ``on`` is null.
+
+    Rows of hot keys (``hot``, else counted here) do not move: their few rows of ``right`` are broadcast, or, where
+    those are not ``small``, dealt out SALTS times.
+    """
+    hot = hot_keys(left, on) if hot is None else hot
+    if not hot:
+        return left.join(right, on, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame(hot, right.select(*on).schema))
+    few, many = right.join(keys, on, "left_semi"), left.join(keys, on, "left_semi")
+    if small:
+        many = many.join(F.broadcast(few), on, how)
+    else:
+        salt = F.floor(F.rand(7) * SALTS).cast("int")
+        few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        many = many.withColumn("_salt", salt).join(few, [*on, "_salt"], how).drop("_salt")
+    return many.unionByName(left.join(keys, on, "left_anti").join(right, on, how))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

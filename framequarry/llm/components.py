@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, hot_keys, look_up, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, label (smallest id reachable) of all ids in ``links`` (a, b: bigint, neither null); order does not matter.
 
     Each round takes the smallest label among a node and its neighbours, then follows labels twice, so paths shrink
-    geometrically; every round is written to the shared folder. A node's links are reduced before the shuffle, so hubs
-    cost no more than their partitions. No links give no rows.
+    geometrically; every round is written to the shared folder. A node's links are reduced before the shuffle; labels of
+    hubs and labels that very many nodes have are looked up in broadcasts of at most 1000 rows. No links give no rows.
     """
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct().filter("a <> b"), "links")
+    hubs = hot_keys(both, ["b"])
     labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
+        near = look_up(both, labels.select(F.col("id").alias("b"), "label"), ["b"], hubs).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
         met = labels.join(near, "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("was"))
         met = materialise(met, "met")
         over = met.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        jumped = materialise(met.join(over, "label").select("id", F.col("next").alias("label"), "was"), "labels")
+        jumped = materialise(look_up(met, over, ["label"]).select("id", F.col("next").alias("label"), "was"), "labels")
         discard(labels, met)
         labels = jumped
         if labels.filter("label <> was").isEmpty():

@@ -6,7 +6,7 @@ sketches serve two purposes: 128 registers of 6 + 10 bits, where an empty bucket
 random order decides, are banded by four (at a similarity of 0.75 a pair misses all 32 bands with a chance of 5e-6);
 512 registers of 3 + 5 bits, empty where the bucket is, estimate the similarity, corrected for chance collisions.
 
-Documents of equal sets become one node first. Documents of a band are then compared in three rounds, each round only
+Documents of equal sets become one node first, with a number of its own, so identifiers play no part until the end. Nodes of a band are then compared in three rounds, each round only
 between documents that earlier rounds have not connected: with the most central document of all their bands (the one
 with most company); with each band's most central; and, exactly, every remaining pair in a band, block by block.
 Before texts are read, exact set sizes and the estimate rule out pairs; texts then confirm every link on the full sets.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import HOT, LEAST_HOT, discard, hot_keys, look_up, materialise
 from .components import components
 from .text_kernels import U, chunks, mix64, shingle_sets, string_bytes
 
@@ -35,8 +35,6 @@ SLACK = 4.0
 MOST_BROADCAST = 300_000
 #: Documents of a band that one task compares with as many others.
 BLOCK = 4096
-#: Stands for a null identifier: sorts last.
-NO_ID = (1 << 63) - 1
 
 
 def _minima(shingles: np.ndarray, buckets: int, mantissa: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,15 +66,15 @@ def fine_registers(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(words: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("regs", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("regs", pa.list_(pa.int64()))])
 
     def run(batches):
         order = mix64(np.arange(1, BUCKETS * BUCKETS + 1, dtype=U) * U(0x8CB92BA72F3D8DD7)).reshape(BUCKETS, BUCKETS)
         spread = np.argsort(order[0], kind="stable")  # buckets of a band do not neighbour each other
         lanes = U(16) * np.arange(BAND, dtype=U)
         for batch in batches:
-            offsets, data = string_bytes(batch.column(1))
-            ids = batch.column(0)
+            offsets, data = string_bytes(batch.column(2))
+            ids, texts = batch.column(0), batch.column(1)
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
                 sets = shingle_sets(data[part[0] : part[-1]], part - part[0], words)
@@ -88,14 +86,14 @@ def _sketch(words: int):
                         regs[n] = fine_registers(s)
                         sums[n] = s.sum(dtype=U), mix64(s + U(0x632BE59BD9B4E019)).sum(dtype=U)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (x.size // max(len(sets), 1))), pa.array(x.ravel())) for x in (bands.view(np.int64), regs.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy().view(np.int64)), pa.array(sums[:, 1].copy().view(np.int64)), *lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), texts.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy().view(np.int64)), pa.array(sums[:, 1].copy().view(np.int64)), *lists], schema=schema)
 
     return run
 
 
 def sketches(df: DataFrame, words: int) -> DataFrame:
-    """id, n (set size), s1, s2 (the set's digest), bands, regs of df's id and t."""
-    return df.select("id", "t").mapInArrow(_sketch(words), "id long, n long, s1 long, s2 long, bands array<long>, regs array<long>")
+    """id, h (the text's hash), n (set size), s1, s2 (the set's digest), bands, regs of df's id and t."""
+    return df.select("id", F.xxhash64("t").alias("h"), "t").mapInArrow(_sketch(words), "id long, h long, n long, s1 long, s2 long, bands array<long>, regs array<long>")
 
 
 def _full_lanes(x: Column) -> Column:
@@ -175,41 +173,69 @@ def _compare(words: int, percent: int):
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; texts come from docs (id, t)."""
+    """The pairs (a, b) whose full shingle sets reach the threshold; texts come from docs (id, t), one of each id."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
     if 2 * pairs.count() <= MOST_BROADCAST:
-        need = F.broadcast(need)
-    both = docs.join(need, "id").groupBy("a", "b").agg(F.collect_list(F.struct("id", "t")).alias("docs"))
+        both = docs.join(F.broadcast(need), "id")
+    else:
+        both = look_up(need, docs, ["id"], how="inner", small=False)
+    both = both.groupBy("a", "b").agg(F.collect_list(F.struct("id", "t")).alias("docs"))  # two texts
     return both.mapInArrow(_compare(words, percent), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+    """One row per input row: id, n_shingles, component_id, kept, text_hash.
 
     Words are runs of anything but ASCII white space, lower-cased in A-Z only. ``component_id`` is the smallest
     identifier reachable over links of 100 * |intersection| >= percent * |union|; ``kept`` where it is the own one.
-    Null and empty texts have no shingles and no links. A null identifier sorts last and stays null. Rows that repeat
-    an identifier are one document, linked by what any of its texts links. Empty input gives no rows.
+    Null and empty texts have no shingles and no links. Rows that repeat an identifier are one document, linked by what
+    any of its texts links. Rows without an identifier are documents of their own: ``component_id`` is null where no
+    document of the component has one, and one row of such a component is kept; a text without shingles is kept. Texts
+    are compared whole, however long; ``text_hash`` is Spark's xxhash64 of the text (null: of the empty one), which tells
+    apart rows without identifier. Other columns, whatever their names, are not read. Empty input gives no rows.
     """
-    docs = df.select(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("t"))
-    sketch = materialise(sketches(docs, words), "sketch")
-    sizes = materialise(sketch.select("id", "n"), "sizes")
-    filled = sketch.filter("n > 0")
-    nodes = materialise(filled.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "regs"), "id").alias("x")).select("s1", "s2", "n", "id", "x.*"), "nodes")
-    members = filled.select("id", "s1", "s2", "n").join(nodes.select("s1", "s2", "n", F.col("id").alias("node")), ["s1", "s2", "n"])
-    copies = materialise(members.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")), "copies")
+    docs = df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("t"))
+    sketch = materialise(sketches(docs, words).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    keys = ["s1", "s2", "n"]
+    same = sketch.filter("n > 0").groupBy(*keys).agg(
+        F.min("id").alias("doc"),
+        F.min(F.when(F.col("id").isNull(), F.col("row"))).alias("row"),
+        F.min(F.struct(F.col("id").isNull().alias("no"), F.coalesce("id", F.lit(0)).alias("i"), "h")).alias("text"),
+        F.any_value(F.struct("bands", "regs")).alias("x"),
+        F.count(F.lit(1)).alias("copies"),
+    )
+    nodes = materialise(same.select(*keys, F.monotonically_increasing_id().alias("id"), "doc", "row", "text", "x.*", "copies"), "nodes")
+    total = sketch.count()
+    crowded = nodes.filter(F.col("copies") > max(total * HOT, LEAST_HOT)).select("id", *keys).collect()
+    members = look_up(sketch.select("row", "id", "h", *keys), nodes.select(*keys, F.col("id").alias("node")), keys, [r[1:] for r in crowded])
+    members = materialise(members.select("row", "id", "h", "n", "node"), "members")
     discard(sketch)
+    # documents with several rows: their nodes are linked
+    again = members.filter("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    again = materialise(again, "again")
+    several = again.filter("a <> z").select("id", "a")
+    repeats = look_up(members.filter("id is not null and node is not null").select("id", F.col("node").alias("b")), several, ["id"], how="inner").select("a", "b").distinct()
+    repeats = materialise(repeats if not several.isEmpty() else again.selectExpr("a", "z as b").limit(0), "repeats")
 
     banded = nodes.select("id", F.posexplode("bands").alias("band", "v")).select("id", "band", F.xxhash64("v", "band").alias("key"))
-    company = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    met = materialise(banded.join(company, "key"), "met")
+    company = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "company")
+    rows = company.agg(F.sum("m")).first()[0] or 0
+    crowds = hot_keys(company, ["key"], company.withColumnRenamed("m", "n"), rows)
+    met = materialise(look_up(banded, company, ["key"], crowds, "inner"), "met")
     rank = met.groupBy("id").agg(F.sum("m").alias("rank"))  # how much company a node has in all its bands
     ranked = met.join(rank, "id")
     heads = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("neg"))).alias("x")).select("key", (-F.col("x.neg")).alias("head"), F.col("x.rank").alias("head_rank"))
-    shared = materialise(met.join(heads, "key"), "bands")
+    shared = materialise(look_up(met, heads, ["key"], crowds), "bands")
+    leaders = hot_keys(shared, ["head"])
     brief = nodes.select("id", "n", "regs")
-    texts = docs.join(rank.select("id"), "id", "left_semi")
-    texts = materialise(texts, "texts")
+    wanted = nodes.join(rank.select("id"), "id", "left_semi").select(F.col("id").alias("node"), "text.*")
+    own = docs.select(F.col("id").isNull().alias("no"), F.coalesce("id", F.lit(0)).alias("i"), F.xxhash64("t").alias("h"), "t")
+    if members.filter("id is null").isEmpty() and again.isEmpty():
+        texts = own.join(wanted, ["no", "i", "h"])
+    else:  # one of the rows that repeat
+        repeated = members.select(F.col("id").isNull().alias("no"), F.coalesce("id", F.lit(0)).alias("i"), "h")
+        texts = look_up(own, wanted, ["no", "i", "h"], hot_keys(repeated, ["no", "i", "h"]), "inner").groupBy("node").agg(F.min("t").alias("t"))
+    texts = materialise(texts.select(F.col("node").alias("id"), "t"), "texts")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         """Links among candidate pairs (a, b)."""
@@ -218,15 +244,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return out
 
     def with_head(pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs (a, b) that sizes and estimate allow."""
-        x = pairs.join(brief.select(F.col("id").alias("a"), F.struct("n", "regs").alias("x")), "a")
+        """The pairs (a, b) that sizes and estimate allow; a is a head."""
+        x = look_up(pairs, brief.select(F.col("id").alias("a"), F.struct("n", "regs").alias("x")), ["a"], [(r.head,) for r in leaders], "inner")
         x = x.join(brief.select(F.col("id").alias("b"), F.struct("n", "regs").alias("y")), "b")
         return materialise(x.filter(_possible("x", "y", percent)).select("a", "b").distinct(), f"{tag}-pairs")
 
     def apart(labels: DataFrame) -> DataFrame:
         """The bands' rows with the labels of the node and of the band's head."""
         out = shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        out = out.join(labels.select(F.col("id").alias("head"), F.col("label").alias("head_label")), "head", "left")
+        out = look_up(out, labels.select(F.col("id").alias("head"), F.col("label").alias("head_label")), ["head"], leaders)
         return out.withColumn("head_label", F.coalesce("head_label", "head"))
 
     # 1: the most central of all its bands' heads
@@ -241,20 +267,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(links[0].union(links[1]))
     # 3: every pair of a band, one of which is not connected with the band's head; the other side has all but the head
     state = materialise(apart(labels).filter("id <> head").withColumn("minor", F.col("label") != F.col("head_label")), "state")
-    mixed = state.join(state.filter("minor").groupBy("key").agg(F.count(F.lit(1)).alias("minors")), "key").join(nodes.select("id", "n", "bands", "regs"), "id")
+    minors = state.filter("minor").groupBy("key").agg(F.count(F.lit(1)).alias("minors"))
+    mixed = look_up(state, minors, ["key"], crowds, "inner").join(nodes.select("id", "n", "bands", "regs"), "id")
     cols = ["key", "band", "id", "label", "n", "minor", "bands", "regs"]
     blocks = lambda m: F.ceil(F.col(m) / BLOCK).cast("int")
-    own = lambda m: F.pmod(F.xxhash64("id"), blocks(m)).cast("int")
+    part = lambda m: F.pmod(F.xxhash64("id"), blocks(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), blocks(m) - 1))
-    lefts = mixed.filter("minor").select(*cols, F.lit(True).alias("left"), own("minors").alias("i"), every("m").alias("j"))
-    rights = mixed.select(*cols, F.lit(False).alias("left"), every("minors").alias("i"), own("m").alias("j"))
+    lefts = mixed.filter("minor").select(*cols, F.lit(True).alias("left"), part("minors").alias("i"), every("m").alias("j"))
+    rights = mixed.select(*cols, F.lit(False).alias("left"), every("minors").alias("i"), part("m").alias("j"))
     third = lefts.union(rights).groupBy("key", "i", "j").applyInArrow(_pairs_of_block(percent), "a long, b long")
     links.append(confirmed(materialise(third.distinct(), "third-pairs"), "third"))
     discard(labels)
-    labels = components(links[0].union(links[1]).union(links[2]).union(copies))
-    discard(*links, state, shared, met, texts, copies, nodes)
-
-    rows = sizes.join(labels, "id", "left")
-    label = F.coalesce("label", "id")
-    out = lambda c: F.when(c != NO_ID, c)
-    return rows.select(out(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), out(label).alias("component_id"), (label == F.col("id")).alias("kept"))
+    labels = components(links[0].union(links[1]).union(links[2]).union(repeats))
+    discard(*links, state, shared, met, texts, repeats, company, again)
+
+    linked = nodes.select("id", "doc", "row").join(labels, "id")
+    least = linked.groupBy("label").agg(F.min("doc").alias("component"), F.min("row").alias("least"))
+    linked = look_up(materialise(linked.select("id", "label"), "linked"), least, ["label"]).select(F.col("id").alias("node"), "component", "least")
+    alone = nodes.join(labels, "id", "left_anti").select(F.col("id").alias("node"), F.col("doc").alias("component"), F.col("row").alias("least"))
+    out = look_up(members.filter("node is not null"), linked.union(alone), ["node"], [r[:1] for r in crowded])
+    bare = members.filter("node is null").select("*", F.col("id").alias("component"), F.col("row").alias("least"))
+    out = out.unionByName(bare)
+    kept = F.when(F.col("id").isNotNull(), F.col("id") == F.col("component")).otherwise(F.col("component").isNull() & (F.col("row") == F.col("least")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"), F.col("h").alias("text_hash"))

@@ -32,7 +32,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
