@@ -10,7 +10,7 @@ import numpy as np
 from .text_kernels import U, mix64, powers, prefix_hash, span_hash
 
 #: A piece of a very long text that is worked on at once; pieces overlap so that every window is whole in one.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Numbers of an array that is kept in memory; longer ones are files. Suffixes that are induced from at once.
 IN_MEMORY, BATCH = 1 << 20, 1 << 20
 #: Names of a reduced string that are ordered in memory; longer ones by recursion.
@@ -356,8 +356,8 @@ def first_owner(data: np.ndarray, ends: np.ndarray, owners: np.ndarray, width: i
     begin = np.append(0, ends[:-1]) + np.arange(len(ends))  # in the joined text, where every text has an end mark
     joined = scratch.array(int(ends[-1]) + len(ends) + 1 if len(ends) else 1, np.uint16)  # 1 ends a text, 0 ends all
     joined[: len(joined) - 1] = 1
-    for a in range(0, len(ends), scratch.step):
-        b = min(len(ends), a + scratch.step)
+    for a in range(0, len(ends), max(1, scratch.step // 64)):
+        b = min(len(ends), a + max(1, scratch.step // 64))
         lo, hi = int(ends[a - 1]) if a else 0, int(ends[b - 1])
         texts = np.repeat(np.arange(a, b), np.diff(np.append(lo, ends[a:b])))
         joined[np.arange(lo, hi) + texts] = data[lo:hi].astype(np.uint16) + 2

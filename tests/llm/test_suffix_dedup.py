@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from framequarry.llm.suffix_dedup import _bucket, _least_of_equal, suffix_dedup
-from framequarry.llm.suffix_kernels import Scratch, runs_of, suffix_array
+from framequarry.llm.suffix_kernels import PIECE, Scratch, runs_of, suffix_array
 
 SCHEMA = "doc_id long, text string"
 
@@ -103,7 +103,7 @@ def test_copies_of_one_text_are_spread():
 def test_very_long_text(spark):
     """Over several pieces, with a passage across their border."""
     rnd = random.Random(8)
-    long = "".join(rnd.choices("abcdefgh ", k=(1 << 20) + 5000))
-    rows = [(3, long), (2, long[(1 << 20) - 300 : (1 << 20) + 300]), (4, long), (1, None)]
+    long = "".join(rnd.choices("abcdefgh ", k=3 * PIECE + 5000))
+    rows = [(3, long), (2, long[PIECE - 300 : PIECE + 300]), (4, long), (1, None)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {3: (len(long), 600, 1), 2: (600, 0, 0), 4: (len(long), len(long), 1), 1: (0, 0, 0)}
