@@ -88,7 +88,7 @@ class Scratch:
             return np.zeros(n, dtype)
         with tempfile.TemporaryFile(prefix="fq-suffix-") as file:
             file.truncate(n * np.dtype(dtype).itemsize)
-            return np.memmap(file, dtype, "r+", shape=(n,))
+            return np.asarray(np.memmap(file, dtype, "r+", shape=(n,)))
 
     def ranges(self, n: int) -> Iterator[tuple[int, int]]:
         for a in range(0, n, self.step):
@@ -301,11 +301,11 @@ def _order_names(name: np.ndarray, count: int, depth: int, text_size: int, scrat
     name, reach = np.array(name), 1
     while 2 * reach < depth and count < m:
         key = (name + 1) * (m + 2) + np.append(name[reach:] + 1, np.zeros(min(reach, m), np.int64))[:m]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         name[by] = np.cumsum(np.append(0, (key[by][1:] != key[by][:-1]).astype(np.int64)))
         count = int(name[by[-1]]) + 1
         reach *= 2
-    return np.argsort(name, kind="stable")
+    return np.argsort(name)
 
 
 def suffix_array(text: np.ndarray, depth: int, symbols: int = 258, scratch: Scratch | None = None, most: int = MOST_NAMES, cap: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
@@ -348,13 +348,15 @@ def suffix_array(text: np.ndarray, depth: int, symbols: int = 258, scratch: Scra
 
 
 def first_owner(data: np.ndarray, ends: np.ndarray, owners: np.ndarray, width: int, scratch: Scratch | None = None, most: int = MOST_NAMES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, start, smallest owner) for every window of ``width`` bytes in the texts that end at ``ends``, in batches.
+    """(text, start, smallest owner) for every window of ``width`` bytes in the texts that end at ``ends`` that occurs again, in batches.
 
     Neighbouring suffixes with a common prefix of ``width`` symbols form a run, whose smallest owner is found.
     """
+    if not len(ends):
+        return
     scratch = scratch or Scratch()
     begin = np.append(0, ends[:-1]) + np.arange(len(ends))  # in the joined text, where every text has an end mark
-    joined = scratch.array(int(ends[-1]) + len(ends) + 1 if len(ends) else 1, np.uint16)  # 1 ends a text, 0 ends all
+    joined = scratch.array(int(ends[-1]) + len(ends) + 1, np.uint16)  # 1 ends a text, 0 ends all
     joined[: len(joined) - 1] = 1
     for a in range(0, len(ends), max(1, scratch.step // 64)):
         b = min(len(ends), a + max(1, scratch.step // 64))
@@ -362,19 +364,21 @@ def first_owner(data: np.ndarray, ends: np.ndarray, owners: np.ndarray, width: i
         texts = np.repeat(np.arange(a, b), np.diff(np.append(lo, ends[a:b])))
         joined[np.arange(lo, hi) + texts] = data[lo:hi].astype(np.uint16) + 2
     order, common = suffix_array(joined, width, 258, scratch, most, width)
-    stop = np.append(begin[1:] - 1, len(joined) - 2) if len(ends) else begin
-    least, runs = scratch.array(len(order), np.int64), 0
+    stop = np.append(begin[1:] - 1, len(joined) - 2)
+    least = scratch.array(len(order), np.int64)
 
     def batches():
-        """(order, run of each, text of each) of suffixes but the end mark's; windows over an end mark are runs of their own."""
+        """(order, run of each, text of each) of windows that have an equal neighbour; those over an end mark are runs of their own."""
         run = -1
         for a, b in scratch.ranges(len(order)):
-            p = np.array(order[a:b], np.int64)
-            at = run + np.cumsum(common[a:b] < width)
+            as_before = common[a : b + 1] >= width
+            at = run + np.cumsum(~as_before[:-1])
             run = int(at[-1])
+            keep = np.flatnonzero(as_before[:-1] | as_before[1:])
+            p, at = np.array(order[a:b][keep], np.int64), at[keep]
             of = np.searchsorted(begin, p, "right") - 1
-            keep = (p + width <= stop[of]) if len(stop) else np.zeros(len(p), bool)
-            yield p[keep], at[keep], of[keep]
+            whole = p + width <= stop[of]
+            yield p[whole], at[whole], of[whole]
 
     least[:] = np.iinfo(np.int64).max
     for _, at, of in batches():
