@@ -31,3 +31,20 @@ def components(links: DataFrame) -> DataFrame:
             out = labels.select("id", "label")
             out._fq_path = labels._fq_path
             return out
+
+
+def settle(members: DataFrame, nodes: DataFrame, labels: DataFrame, crowded: list) -> DataFrame:
+    """``members`` (row, id, node, ...) with component and kept.
+
+    ``nodes`` (id, doc: smallest identifier of its members, row: first of those without one), ``labels`` of linked nodes.
+    The component is the smallest identifier of all; of a component without any, the first row is kept. ``crowded``
+    lists the nodes with very many members. A null node stands alone.
+    """
+    linked = nodes.select("id", "doc", "row").join(labels, "id")
+    least = linked.groupBy("label").agg(F.min("doc").alias("component"), F.min("row").alias("least"))
+    linked = look_up(materialise(linked.select("id", "label"), "linked"), least, ["label"]).select(F.col("id").alias("node"), "component", "least")
+    alone = nodes.join(labels, "id", "left_anti").select(F.col("id").alias("node"), F.col("doc").alias("component"), F.col("row").alias("least"))
+    out = look_up(members.filter("node is not null"), linked.union(alone), ["node"], crowded)
+    out = out.unionByName(members.filter("node is null").select("*", F.col("id").alias("component"), F.col("row").alias("least")))
+    kept = F.when(F.col("id").isNotNull(), F.col("id") == F.col("component")).otherwise(F.col("component").isNull() & (F.col("row") == F.col("least")))
+    return out.withColumn("kept", kept).drop("least")

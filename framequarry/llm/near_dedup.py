@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT, LEAST_HOT, discard, hot_keys, look_up, materialise
-from .components import components
+from .components import components, settle
 from .text_kernels import U, chunks, mix64, shingle_sets, string_bytes
 
 BUCKETS, BAND = 128, 4
@@ -281,12 +281,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(links[0].union(links[1]).union(links[2]).union(repeats))
     discard(*links, state, shared, met, texts, repeats, company, again)
 
-    linked = nodes.select("id", "doc", "row").join(labels, "id")
-    least = linked.groupBy("label").agg(F.min("doc").alias("component"), F.min("row").alias("least"))
-    linked = look_up(materialise(linked.select("id", "label"), "linked"), least, ["label"]).select(F.col("id").alias("node"), "component", "least")
-    alone = nodes.join(labels, "id", "left_anti").select(F.col("id").alias("node"), F.col("doc").alias("component"), F.col("row").alias("least"))
-    out = look_up(members.filter("node is not null"), linked.union(alone), ["node"], [r[:1] for r in crowded])
-    bare = members.filter("node is null").select("*", F.col("id").alias("component"), F.col("row").alias("least"))
-    out = out.unionByName(bare)
-    kept = F.when(F.col("id").isNotNull(), F.col("id") == F.col("component")).otherwise(F.col("component").isNull() & (F.col("row") == F.col("least")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"), F.col("h").alias("text_hash"))
+    out = settle(members, nodes, labels, [r[:1] for r in crowded])
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept", F.col("h").alias("text_hash"))
