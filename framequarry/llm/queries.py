@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .licenses import COPYRIGHT, HINT, LOWER, MARKS, RESERVED, UPPER, license_scan
 from .image_copies import image_copies, vectors_as_images
-from .known_licenses import NOTICES, SPELLINGS, TEXTS
+from .known_licenses import DIGESTS, NOTICES, SPELLINGS, TEXTS
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .secret_scan import ACCESS, ASSIGN, ENDPOINT, secret_scan, spans_text
@@ -103,9 +103,12 @@ def _canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, {_sql(MARKS)}, ' ', 'g'))"
 
 
-def _known_sql(texts: dict[str, str]) -> str:
+def _known_sql(texts: dict[str, str], digests: dict[str, str]) -> str:
     rows = ", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in sorted(texts.items()))
-    return f"(select sha256({_canonical_sql('t')}) as known_digest, min(id) as license_id from (values {rows}) as v(id, t) group by 1)"
+    known = f"select id, sha256({_canonical_sql('t')}) as known_digest from (values {rows}) as v(id, t)"
+    if digests:
+        known += " union all select * from (values " + ", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in sorted(digests.items())) + ") as w(id, known_digest)"
+    return f"(select known_digest, min(id) as license_id from ({known}) group by 1)"
 
 
 def _spans_sql(rank: int, pattern: str, keep: str, group: int = 0, where: str = "true") -> str:
@@ -125,7 +128,7 @@ def _secret_sql() -> str:
         with d as (select doc_id, coalesce(text, '') as t from documents),
         base as ({_spans_sql(0, _sql(ASSIGN), "length(qq) >= 6", 1)} union all {_spans_sql(1, _sql(ACCESS), "length(mm) >= 20")} union all {_spans_sql(2, _sql("[0-9a-f]+"), "length(mm) >= 24")}),
         ids as (select * from base where rank = 1),
-        weak as ({_spans_sql(3, _sql("[A-Za-z0-9+/=]+"), "length(mm) = 40 and not contains(mm, '=')", where="contains(t, 'AKIA')")}),
+        weak as ({_spans_sql(3, _sql("[A-Za-z0-9+/]+=?"), "length(mm) = 40 and not contains(mm, '=')", where="contains(t, 'AKIA')")}),
         ends as ({_spans_sql(4, _sql(ENDPOINT), "length(mm) >= 8", where="contains(t, 'AKIA')")}),
         secret as (select * from weak w where exists (select 1 from ids i where {near("w", "i")})),
         linked as (select * from secret union all select * from ends e where exists (select 1 from ids i where {near("e", "i")}) and exists (select 1 from secret s where {near("e", "s")})),
@@ -175,8 +178,8 @@ def oracle_sql() -> dict[str, str]:
             with d as (select doc_id, coalesce(text, '') as t from documents),
             lines as (select doc_id, unnest(list_filter(string_split(translate(t, '{UPPER}', '{LOWER}'), chr(10)), lambda x: regexp_matches(x, '{HINT}'))) as l from d),
             hits as (select doc_id, count(*) as n, string_agg(distinct license_id, ',' order by license_id) as notices
-                     from lines join {_known_sql(NOTICES)} on known_digest = sha256({_canonical_sql("l")}) group by doc_id),
+                     from lines join {_known_sql(NOTICES, {})} on known_digest = sha256({_canonical_sql("l")}) group by doc_id),
             whole as (select doc_id, sha256({_canonical_sql("t")}) as digest from d)
             select w.doc_id, w.digest, k.license_id, cast(coalesce(h.n, 0) as bigint) as n_notices, coalesce(h.notices, '') as notices
-            from whole w left join {_known_sql(TEXTS)} k on k.known_digest = w.digest left join hits h on h.doc_id = w.doc_id""",
+            from whole w left join {_known_sql(TEXTS, DIGESTS)} k on k.known_digest = w.digest left join hits h on h.doc_id = w.doc_id""",
     }
