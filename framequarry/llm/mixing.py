@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, discard, materialise, partitions
 
-#: A source's documents are numbered in bands of size (eight to each doubling) and in so many parts of a band.
-PARTS = 16
+#: Documents of a source are numbered in bands of size (eight to each doubling) and in parts of a band of about so many.
+ROWS_PER_PART = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -23,21 +23,31 @@ def word_count(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: list[float], total: float, most: float) -> DataFrame:
     """source, n (size), target: ``total`` x all sizes, shared by ``weights`` in the sources' order, capped at ``most`` x size.
 
-    Sharing the excess again and again until none is above its cap ends at one level: the sources with the lowest
-    caps per weight are full, the others get weight x level. One row a source, so a single window holds them all.
+    The excess of full sources is shared again by weight until none is above its cap; each round is one aggregate. Sources
+    are ranked by ranges, so there may be very many.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    spark = sizes.sparkSession
+    ranges = sizes.withColumn("last", F.col("source").isNull()).repartitionByRange(partitions(spark), "last", "source")
+    ranges = materialise(ranges.withColumn("range", F.spark_partition_id()), "sources")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("m")).select("range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy("last", "source")) - 1
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.select("source", "n", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).alias("w"), (F.sum("n").over(Window.partitionBy()) * F.lit(float(total))).alias("t"))
-    ranked = ranked.withColumn("cap", F.col("n") * F.lit(float(most)))
-    by_cap = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").isNull(), F.col("source"))
-    full = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    # a source is full if the level among itself and all after it reaches its cap; once one is not, none after it is
-    level = ranked.withColumn("level", (F.col("t") - full) / rest)
-    level = level.withColumn("open", F.col("level") * F.col("w") < F.col("cap"))
-    at = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(by_cap.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return level.select("source", "n", F.coalesce(at * F.col("w"), F.col("cap")).alias("target"))
+    weight = F.element_at(cycle, (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    ranked = ranges.join(F.broadcast(starts), "range").select("source", "n", weight.alias("w"), (F.col("n") * F.lit(float(most))).alias("cap"))
+    ranked = materialise(ranked, "ranked")
+    discard(ranges)
+    # a source is full if the level among the open ones reaches its cap for its weight
+    level, full = 0.0, F.lit(False)
+    while True:
+        got = ranked.agg(F.sum("n").alias("n"), F.sum(F.when(full, F.col("cap"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        if not got.open or not got.n:
+            break
+        rest = (float(got.n) * total - (got.full or 0.0)) / got.open
+        if rest <= level:
+            break
+        level, full = rest, F.col("w") * F.lit(rest) >= F.col("cap")
+    return ranked.select("source", "n", F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.least("cap", F.col("w") * F.lit(level))).alias("target"))
 
 
 def mix(
@@ -55,7 +65,8 @@ def mix(
 
     Sizes are words; a null text has none. Sources are ordered by code point, null last, and weigh ``weights``,
     repeating. No document is taken more than ``ceil(most)`` times. Sources of size 0 and empty texts take nothing.
-    The same rows and seed give the same copies; identical rows that repeat count as documents of their own.
+    The same rows and seed give the same copies; rows that repeat count as documents of their own, also those without
+    identifier. Texts are counted whole, however long. Other columns, whatever their names, only travel in ``row``.
     Empty input gives no rows.
     """
     base = df.select(df[id_col].cast("long").alias("i"), df[source_col].cast("string").alias("source"), word_count(df[text_col].cast("string")).alias("size"), *([F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")] if carry else []))
@@ -63,7 +74,8 @@ def mix(
     sums = slim.groupBy("source").agg(F.sum("size").alias("n"))
     targets = source_targets(sums, weights, total, most)
     band = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8)).otherwise(-1).cast("int")
-    part = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(PARTS)).cast("int")
+    crowd = slim.groupBy("source", band).count().agg(F.max("count")).first()[0] or 0
+    part = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 + crowd // ROWS_PER_PART * 4)).cast("int")
     keys = ["source", "band", "part"]
     counts = slim.groupBy("source", band.alias("band"), part.alias("part")).agg(F.count(F.lit(1)).alias("m"))
     run = Window.partitionBy("source").orderBy("band", "part").rowsBetween(Window.unboundedPreceding, -1)

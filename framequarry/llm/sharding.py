@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, range_bucket, sortable_id
+from .common import materialise, partitions, range_bucket, sortable_id
 
 #: Probes in an interval and round; the driver gets this many counts for each boundary still open.
 FANOUT = 512
@@ -132,7 +132,12 @@ def histogram_shards(
     return placed.withColumn("at", at).join(starts, ["shard", "part"]).select(F.col("i0").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit(law).alias("law"), "shard", (F.col("start") + F.col("at") - 1).alias("slot"), "grown_shard", *(["row"] if carry else []))
 
 
-def write_shards(df: DataFrame, path: str, **options) -> None:
-    """Write the input rows as Parquet, one folder a shard, in slot order."""
-    out = histogram_shards(df, carry=True, **options)
-    out.select("shard", "slot", "row.*").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, files: int | None = None, **options) -> None:
+    """Write the input rows as Parquet, one folder a shard, in slot order over the files of a shard in their names' order.
+
+    Rows move to ``files`` ranges of (shard, slot) (default: the shuffle partitions), so a shard is not one task. Input
+    columns travel as fields of ``row``, whatever their names.
+    """
+    out = histogram_shards(df, carry=True, **options).select("shard", "slot", "row")
+    files = files or partitions(df.sparkSession)
+    out.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
