@@ -2,7 +2,8 @@
 
 The distinct words of a batch are joined to one text, whose suffixes are sorted; every piece of the vocabulary is
 found by binary search as a range of suffixes. The occurrences are edges; sorted by position, they are relaxed from
-left to right over all words at once. The vocabulary holds merges (BPE), so the best path is not the one of least cost:
+left to right over all words at once; words are cut beforehand where no piece has the two characters side by side. The
+vocabulary holds merges (BPE), so the best path is not the one of least cost:
 an edge extends a prefix if and only if its piece and the last piece of that prefix would not have merged otherwise.
 Exactly one edge survives at each position, and the surviving path is the library's own encoding.
 """
@@ -116,6 +117,7 @@ class Matcher:
         keys = sorted((a * (n + 1) + b, r) for (a, b), r in pairs.items())
         self.pair_key = np.array([k for k, _ in keys], np.int64)
         self.pair_rank = np.array([r for _, r in keys], np.int64)
+        self.side_by_side = np.unique(np.array([ord(a) << 21 | ord(b) for p in v.pieces for a, b in zip(p, p[1:], strict=False)], np.int64))
         self.memo_key = np.full(1 << 20, -1, np.int64)
         self.memo = np.zeros(1 << 20, bool)
         self.words: dict[str, bytes] = {}
@@ -205,9 +207,15 @@ class Matcher:
         """Ids (little-endian 32-bit) of words with at most one blank, which leads."""
         text = "\n".join(words).replace(" ", SPACE)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        ends = np.append(np.flatnonzero(codes == 10), len(codes))
-        starts = np.append(0, ends[:-1] + 1)
-        begin = np.repeat(starts, ends - starts + 1)[: len(codes)]  # each character's word start
+        breaks = np.flatnonzero(codes == 10)
+        first = np.append(0, breaks + 1)  # of each word
+        key = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.side_by_side, key), len(self.side_by_side) - 1)
+        apart = (self.side_by_side[at] != key) & (codes[:-1] != 10) & (codes[1:] != 10)
+        starts = np.union1d(first, np.flatnonzero(apart) + 1)  # of each part of a word
+        ends = np.append(starts[1:], len(codes) + 1)
+        ends[np.isin(ends, np.append(first, len(codes) + 1))] -= 1  # a word's last part ends before the break
+        begin = np.repeat(starts, np.diff(np.append(starts, len(codes))))  # each character's part's start
         pos, piece = self.occurrences(codes)
         size, piece = self.length[piece], self.long[piece]
         every = np.flatnonzero(codes != 10)
@@ -229,7 +237,7 @@ class Matcher:
             e = p[ok] + size[a:b][ok]
             last[e], back[e] = t[ok], p[ok]
         tokens, owner, step = [], [], 0
-        at, who = ends.copy(), np.arange(len(words))
+        at, who = ends.copy(), np.arange(len(starts))
         steps = []
         while len(at):
             got = last[at]
@@ -241,7 +249,7 @@ class Matcher:
             at, who, step = at[more], who[more], step + 1
         tokens, owner, steps = np.concatenate(tokens), np.concatenate(owner), np.concatenate(steps)
         by = np.lexsort((steps, owner))
-        tokens, owner = tokens[by], owner[by]
+        tokens, owner = tokens[by], np.searchsorted(first, starts[owner[by]], "right") - 1
         bound = np.searchsorted(owner, np.arange(len(words) + 1))
         flat = tokens.astype("<i4").tobytes()
         out = [flat[4 * a : 4 * b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
@@ -318,7 +326,10 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
     """One row per input row: id, n_pieces, ids, round_trip (whether decoding gives the text back byte by byte).
 
     Ids are those of the library for the same model. Null and empty texts have no ids and go round. A text with the
-    character U+2581 is encoded as if it were a blank, as the library does, and does not go round.
+    character U+2581 is encoded as if it were a blank, as the library does, and does not go round. Texts are encoded
+    whole; a word takes time in proportion to its longest stretch of characters that pieces have side by side. Null
+    identifiers stay null; rows that repeat have equal results. Other columns, whatever their names, are not read. Empty
+    input gives no rows.
     """
     key = _key(vocabulary)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # of the vocabulary's size, not the data's
