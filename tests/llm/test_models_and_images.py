@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framequarry.llm import image_copies as module
 from framequarry.llm.image_copies import _resized, image_copies, vectors_as_images
-from framequarry.llm.toxicity import fit, held_out, label_model, toxicity
+from framequarry.llm.toxicity import PATTERNS, fit, held_out, label_model, patterns, toxicity
 
 IMAGES = "id long, height int, width int, pixels binary"
 
@@ -46,6 +46,36 @@ def test_held_out_rows_teach_nothing(corpus):
     assert (a.known == b.known).all() and np.allclose(a.weights, b.weights) and np.isclose(a.bias, b.bias)
 
 
+def test_labels_beyond_the_bound_are_not_used(corpus):
+    """Their texts are learned from by posterior labels alone, so flipped labels change nothing."""
+    docs, labels = corpus
+    first = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).join(docs, "doc_id", "left_semi").withColumn("p", F.xxhash64("doc_id")).orderBy("p").limit(400)
+    gold = [r.doc_id for r in first.collect()]
+    flipped = labels.withColumn("toxic", F.when(F.col("doc_id").isin(gold), F.col("toxic")).otherwise(1 - F.col("toxic")))
+    a, b = fit(docs, labels, most_gold=400), fit(docs, flipped, most_gold=400)
+    assert (a.known == b.known).all() and np.allclose(a.weights, b.weights) and np.isclose(a.bias, b.bias)
+    got = toxicity(docs, a).join(labels.filter("toxic in (0, 1)"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.95
+
+
+def test_patterns_read_the_text():
+    texts = ["what an idiot and a moron", "you utter fool", "THIS WILL NEVER STOP", "no! not! now!?", "sh*t c#ock 5 * 6", "idiot " + "word " * 300 + "idiot", "A! B", "", "you", "fool"]
+    raw = [t.encode() for t in texts]
+    got = patterns(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [[PATTERNS[k] for k in np.flatnonzero(r)] for r in got] == [
+        ["several insults", "dense", "near each other"],
+        ["dense", "addressed"],
+        ["shouting"],
+        ["repeated marks"],
+        ["masked letters"],
+        [],
+        [],
+        [],
+        [],
+        ["dense"],
+    ]
+
+
 def test_one_class_or_no_labels(corpus):
     docs, labels = corpus
     for some in (labels.limit(0), labels.filter("toxic = 0")):
@@ -110,20 +140,52 @@ def test_shared_entries_count_whoever_is_at_their_head(spark, monkeypatch):
     far = lambda n: rng.integers(0, 256, (n, 32), dtype=np.uint8)
     x = far(14)
     y = x.copy()
-    y[:, ::4] ^= 1  # eight bits of each corner, one in each entry
+    y[:, ::6] ^= 1  # a bit of each corner in each entry
     y[0, 0] ^= 1
-    y[1, 4] ^= 1
+    y[1, 6] ^= 1
     hub, others = far(14), [far(14) for _ in range(3)]
-    hub[5, 4:8] = x[1, 4:8]
+    hub[5, 6:12] = x[1, 6:12]
     for k, o in enumerate(others):
-        o[k, :4] = hub[10 + k, :4]
-        o[k, 8:12] = hub[10 + k, 8:12] ^ 1
+        o[k, :6] = hub[10 + k, :6]
+        o[k, 12:18] = hub[10 + k, 12:18] ^ 1
     codes, place = [x, y, hub, *others], [float(v) for v in range(0, 140, 10)]
-    rows = [(k, place, place, [1.0] * 14, [0.0] * 14, c.tobytes(), k + 1) for k, c in enumerate(codes)]
+    rows = [(k, place, place, [1.0] * 14, [0.0] * 14, c.tobytes(), k + 1, k) for k, c in enumerate(codes)]
     told = spark.createDataFrame(rows, module._CORNERS)
     monkeypatch.setattr(module, "image_corners", lambda df, id_col: told)
-    got = {r.id: (r.component_id, r.n_links) for r in image_copies(told).collect()}
-    assert got == {0: (0, 1), 1: (0, 1)} | {k: (k, 0) for k in range(2, 6)}
+    for block in (1024, 1):
+        monkeypatch.setattr(module, "BLOCK", block)
+        got = {r.id: (r.component_id, r.n_links) for r in image_copies(told).collect()}
+        assert got == {0: (0, 1), 1: (0, 1)} | {k: (k, 0) for k in range(2, 6)}
+
+
+def edited(n, seed):
+    """(scene, image) of n scenes: as it is, cropped, noisy and darker, turned, smaller."""
+    rng = np.random.default_rng(seed)
+    for g, a in enumerate(scenes(n, seed)):
+        for v in (a, a[10:100, 14:108], np.clip(a * 0.8 + 20 + rng.normal(0, 3, a.shape), 0, 255), np.rot90(a), _resized(a[None], 0.75)[0]):
+            yield g, np.ascontiguousarray(np.rint(v), np.uint8)
+
+
+def test_recall_against_all_pairs(spark):
+    """Of the pairs that full comparison of everything with everything links, at least 0.9 end in one component, and no others."""
+    group, rows = [], []
+    for g, v in edited(14, 21):
+        rows.append((len(rows), *v.shape, v.tobytes()))
+        group.append(g)
+    told = {r.id: {"x": r.x, "y": r.y, "size": r["size"], "turn": r.turn, "code": bytes(r.code)} for r in module.image_corners(spark.createDataFrame(rows, IMAGES)).collect()}
+    linked = [(a, b) for a in told for b in told if a < b and (got := module.consensus(told[a], told[b])) and got[0] >= module.LEAST]
+    assert all(group[a] == group[b] for a, b in linked) and len(linked) >= 0.9 * 14 * 10
+    component = {r.id: r.component_id for r in image_copies(spark.createDataFrame(rows, IMAGES)).collect()}
+    assert sum(component[a] == component[b] for a, b in linked) >= 0.9 * len(linked)
+    assert all(group[i] == group[c] for i, c in component.items())
+
+
+def test_image_rows_without_identifier(spark):
+    a, b = (np.rint(next(scenes(1, k))).astype(np.uint8).tobytes() for k in (31, 32))
+    rows = [(1, 112, 112, a), (None, 112, 112, a), (None, 112, 112, b), (None, 112, 112, b)]
+    df = spark.createDataFrame(rows, IMAGES).withColumn("code", F.lit(1)).withColumn("key", F.lit("x"))
+    got = sorted(((r.id, r.component_id, r.kept) for r in image_copies(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (None, 1, False), (None, None, True), (None, None, False)], key=str)
 
 
 def test_small_crop_of_a_large_picture(spark):

@@ -77,9 +77,49 @@ def test_nulls_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1, 2), (3, "a b c d e f", None, 1), (3, "zz", 1, 1), (9, "zz", 1, 1)], "doc_id long, text string, n long, label long")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=str)
     assert got == [(3, 3, True), (3, 3, True), (9, 3, False), (None, 3, False)]
+    a, b = "a b c d e f", "p q r s t u"
+    rows = [(1, a), (2, b), (None, a), (None, b), (None, "x y z"), (None, "x y z"), (None, None), ((1 << 63) - 1, "m n o"), (None, "m n o"), (-(1 << 63), "k l")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    top, low = (1 << 63) - 1, -(1 << 63)
+    assert got == sorted([(1, 1, True), (2, 2, True), (None, 1, False), (None, 2, False), (None, None, True), (None, None, False), (None, None, True), (top, top, True), (None, top, False), (low, low, True)], key=str)
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_hot_keys_do_not_change_results(spark, monkeypatch):
+    """With a bound so low that copies, bands, heads and labels are looked up as hot ones."""
+    from framequarry.llm import common, near_dedup
+
+    for module in (common, near_dedup):
+        monkeypatch.setattr(module, "LEAST_HOT", 3)
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST", 10)
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(k % 4):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    template = " ".join(f"t{k}" for k in range(30))
+    rows += [(200 + k, template + " " + " ".join(f"u{k}_{j}" for j in range(22))) for k in range(40)]  # alike, but below the threshold
+    check(spark, rows)
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    """400 pairs at a similarity of 0.75 to 0.8, all apart from each other."""
+    rnd, rows = random.Random(12), []
+    for k in range(400):
+        n = rnd.randrange(40, 200)
+        w = [f"p{k}_{j}" for j in range(n)]
+        m = n - 4
+        cut = next(c for c in range(m, 0, -1) if 100 * c < 75 * (2 * m - c)) + 1  # shingles in common
+        v = w[: cut + 4] + [f"q{k}_{j}" for j in range(m - cut)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    component = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: c for i, (_, c) in brute(rows).items()} == {2 * k + d: 2 * k for k in range(400) for d in (0, 1)}
+    assert sum(component[2 * k + 1] != 2 * k for k in range(400)) == 0
+
+
 def test_very_long_text(spark):
     rnd = random.Random(1)
     w = [f"q{rnd.randrange(50000)}" for _ in range(200_000)]

@@ -28,6 +28,7 @@ def test_ids_are_the_library_s(vocabulary, library):
     texts = [" a  b\n c\td ▁ x", "", " ", "  ", "a   ", "\u0000é日𝔘", "    日本 語語", "\n\n  \n x", "<s> <0x0A> </s>", "a" * 700, "x" * 3000, " " * 17 + "a", " " * 40, "the  \n"]
     texts += ["".join(rnd.choice('ab the in  \nerон日ß😀="_-./<>') for _ in range(rnd.randrange(60))) for _ in range(3000)]
     texts += ["".join(rnd.choice(vocabulary.pieces[259:]) for _ in range(rnd.randrange(12))) for _ in range(3000)]
+    texts += ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=20_000))]
     got = [np.frombuffer(g, "<i4").tolist() for g in m.encode(texts)]
     assert got == library.encode(texts)
     assert all(m.decode(g) == t.encode() for g, t in zip(got, texts, strict=True) if "▁" not in t)

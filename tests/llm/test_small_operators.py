@@ -4,12 +4,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from framequarry.llm.common import range_bucket, splitters_of
 from framequarry.llm.exact_dedup import exact_dedup
-from framequarry.llm.known_licenses import TEXTS
+from framequarry.llm.known_licenses import DIGESTS, TEXTS
 from framequarry.llm.licenses import license_scan
 from framequarry.llm.mixing import mix, source_targets
 from framequarry.llm.secret_scan import KINDS, secret_scan, spans_text
@@ -87,6 +88,14 @@ def test_write_shards(spark, tmp_path):
     write_shards(spark.createDataFrame(hot(), SCHEMA), f"file://{tmp_path}/out", shards=3)
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.count() == 300 and back.select("shard").distinct().count() == 3
+    clashing = spark.createDataFrame(hot(), SCHEMA).withColumn("shard", F.lit("mine")).withColumn("slot", F.lit(1.5)).withColumn("k", F.lit(1))
+    write_shards(clashing, f"file://{tmp_path}/clash", files=7, shards=3)
+    again = spark.read.parquet(f"file://{tmp_path}/clash")
+    assert again.count() == 300 and {r[0] for r in again.select("row.shard").distinct().collect()} == {"mine"}
+    for shard in range(3):  # files of a shard are in slot order
+        names = sorted(f.name for f in (tmp_path / "clash" / f"shard={shard}").glob("*.parquet"))
+        slots = [s for n in names for s in pq.ParquetFile(tmp_path / "clash" / f"shard={shard}" / n).read(["slot"]).column("slot").to_pylist()]
+        assert slots == sorted(slots)
 
 
 def level(sizes, weights, total, most):
@@ -189,6 +198,19 @@ def test_secret_after_equals_sign(spark):
     assert got == {1: (1, 1), 2: (1, 0), 3: (1, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
 
 
+def test_longer_licenses_by_digest(spark):
+    """Given digests are looked up like those of given texts; a whole text matches, a part of it does not."""
+    own = "Licence of Nowhere, version 1.\n\nYou may do what you like.\n"
+    digest = license_scan(spark.createDataFrame([(1, own)], SCHEMA)).first().digest
+    rows = [(1, "COPYRIGHT (c) 1999 Me\n" + own.upper()), (2, own[:-6]), (3, own + own), (None, own), (None, own), (4, "x" * 300_000)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("digest", F.lit(1)).withColumn("lines", F.lit("x"))
+    got = sorted(((r.doc_id, r.license_id) for r in license_scan(df, digests={"Nowhere-1": digest}).collect()), key=str)
+    assert got == sorted([(1, "Nowhere-1"), (2, None), (3, None), (None, "Nowhere-1"), (None, "Nowhere-1"), (4, None)], key=str)
+    assert license_scan(df.limit(0)).collect() == []
+    assert license_scan(df, texts={}, notices={}).filter("license_id is not null or n_notices > 0").isEmpty()
+    assert len(set(DIGESTS.values())) == len(DIGESTS) and all(len(d) == 64 for d in DIGESTS.values())
+
+
 def test_licenses(spark):
     british = TEXTS["MIT"].replace("<year> <copyright holders>", "2020 Somebody").replace("license", "licence").upper()
     bsd = TEXTS["BSD-3-Clause"].replace("\n", "\r\n   ").replace('"', "”")
