@@ -141,21 +141,10 @@ def split_half_persistence(spark, sf_dir):
     return m.select("user_id", (F.col("a").isNotNull() & F.col("b").isNotNull() & F.coalesce(near, F.lit(False))).alias("persistent"))
 
 
-@query("""select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_extendedprice, l_linenumber, l_partkey) as place,
- 'V' || lpad(cast(dense_rank() over (order by l_orderkey) % 100 as varchar), 2, '0') as label from lineitem where l_orderkey < 2000""")
-def place_along_edge(spark, sf_dir):
-    """Places of nodes along an edge, and numbered labels."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000")
-    keys = li.select("l_orderkey").distinct().withColumn("d", F.row_number().over(Window.orderBy("l_orderkey")))
-    rows = li.join(keys, "l_orderkey")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_linenumber", "l_partkey"))
-    return rows.select("l_orderkey", "l_linenumber", place.cast("long").alias("place"), F.concat(F.lit("V"), F.lpad((F.col("d") % 100).cast("string"), 2, "0")).alias("label"))
-
-
 @query("""select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_extendedprice, l_linenumber, l_partkey) as place,
  'V' || lpad(cast(dense_rank() over (order by l_orderkey) % 100 as varchar), 2, '0') as label from lineitem""")
-def place_along_edge_whole(spark, sf_dir):
-    """Places of nodes along an edge, and numbered labels, over all edges.
+def place_along_edge(spark, sf_dir):
+    """Places of nodes along an edge, and numbered labels.
 
     Edges are numbered by ranges of their keys: each range counts its own and starts where those before it end.
     """

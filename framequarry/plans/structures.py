@@ -29,12 +29,6 @@ def knn_join(spark, sf_dir):
     return spatial.nearest(pairs, 4).select("a", "b", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""with px as (select distinct l_suppkey as o, l_partkey as p from lineitem where l_suppkey < 40) select a.o as a, b.o as b, count(*) as n from px a join px b on a.p = b.p and a.o < b.o group by 1, 2 having count(*) >= 2""")
-def pixel_overlap_pairs(spark, sf_dir):
-    """Owners that share pixels."""
-    return spatial.shared_pixels(table(spark, sf_dir, "lineitem").filter("l_suppkey < 40"), "l_suppkey", "l_partkey", 2)
-
-
 @query("""with t as (select l_suppkey as node, 1 as i, 0 as o, cast(l_quantity as bigint) as q from lineitem union all select l_partkey, 0, 1, cast(l_quantity as bigint) from lineitem),
  b as (select node, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out, cast(sum(q * i) as bigint) as q_in, cast(sum(q * o) as bigint) as q_out from t group by 1)
  select *, case when n_in > 0 and n_out > 0 and greatest(q_in, q_out) > 0 then round((q_in - q_out) / greatest(q_in, q_out), 6) end as residual,
@@ -45,30 +39,6 @@ def flow_balance_nodes(spark, sf_dir):
     return graph.node_balance(e, "l_partkey", "l_suppkey", "q").withColumn("residual", r6("residual"))
 
 
-_EDGES = "g as (select distinct o_custkey % 500 as u, (o_orderkey * 7) % 500 as v from orders where o_orderkey % 9 = 0)"
-
-
-def _edges(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0")
-    return o.select((F.col("o_custkey") % 500).alias("u"), ((F.col("o_orderkey") * 7) % 500).alias("v")).distinct()
-
-
-@query(f"""with {_EDGES}, n as (select u as node from g union all select v from g), d as (select node, count(*) as degree from n group by 1)
- select node, degree, case degree when 1 then 'end' when 2 then 'link' when 3 then 'branch' else 'crossing' end as kind from d""")
-def degree_node_kind(spark, sf_dir):
-    """Kind of a node by its degree."""
-    return graph.degree_kinds(_edges(spark, sf_dir), "u", "v")
-
-
-@query(f"""with recursive {_EDGES}, b as (select u as a, v as b from g union select v, u from g),
- t(node, depth) as (select cast(0 as bigint), 0 union select b.b, depth + 1 from t join b on t.node = b.a where depth < 4)
- select node, min(depth) as depth from t group by 1""")
-def bfs_depth_orientation(spark, sf_dir):
-    """Depth of nodes from a root, by frontiers (M8)."""
-    root = spark.range(1).select(F.col("id").alias("node"))
-    return graph.depths(_edges(spark, sf_dir), "u", "v", root, 4)
-
-
 _CURVE = f"{EVENTS}, c as (select user_id, event_id, value as x, cast((event_id * 37) % 101 as double) as y from e)"
 
 
@@ -103,40 +73,6 @@ def tracer_positions(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.pmod(F.col("user_id") + F.sum(F.round("value").cast("long")).over(upto), F.lit(45)).alias("position"))
 
 
-@query("""with c as (select least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, l_extendedprice as cost, l_orderkey, l_linenumber from lineitem where l_partkey < 100),
- r as (select *, row_number() over (partition by a, b order by cost, l_orderkey, l_linenumber) as rn from c) select a, b, cost from r where rn = 1""")
-def cheapest_pair(spark, sf_dir):
-    """The cheapest candidate of each unordered pair."""
-    c = table(spark, sf_dir, "lineitem").filter("l_partkey < 100").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), F.col("l_extendedprice").alias("cost"))
-    return c.groupBy("a", "b").agg(F.min("cost").alias("cost"))
-
-
-@query(f"""with recursive {_EDGES}, b as (select u as a, v as b from g union select v, u from g),
- t(node, root) as (select a, a from b union select b.b, t.root from t join b on t.node = b.a)
- select node, min(root) as label from t group by 1""")
-def graph_components(spark, sf_dir):
-    """Connected components by smallest labels."""
-    return graph.components(_edges(spark, sf_dir), "u", "v")
-
-
-@query(f"""with {_EDGES}, i as (select u * 1000 + v as e, u, v, cast(u % 13 + v % 7 + 1 as bigint) as len from g where (u + v) % 6 = 0),
- n as (select e, u as node, len from i union all select e, v, len from i)
- select node, min(e) as a, max(e) as b, cast(sum(len) as bigint) as length from n group by 1 having count(*) = 2 and min(e) <> max(e)""")
-def merge_degree_two(spark, sf_dir):
-    """Pairs of edges that a node of degree two makes one (M3, M4, M6, M7)."""
-    e = _edges(spark, sf_dir).filter("(u + v) % 6 = 0").withColumn("e", F.col("u") * 1000 + F.col("v")).withColumn("len", F.col("u") % 13 + F.col("v") % 7 + 1)
-    return graph.passed_through(e, "e", "u", "v", "len")
-
-
-@query(f"""with {_EDGES}, i as (select u * 1000 + v as e, u, v, cast(u % 13 + v % 7 + 1 as double) as len from g),
- d as (select node, count(*) as d from (select u as node from i union all select v from i) group by 1)
- select i.e as edge, i.len as length from i join d a on a.node = i.u join d b on b.node = i.v where not (len < 6 and least(a.d, b.d) = 1 and greatest(a.d, b.d) > 2)""")
-def spur_pruning(spark, sf_dir):
-    """One round of spur pruning (M3)."""
-    e = _edges(spark, sf_dir).withColumn("e", F.col("u") * 1000 + F.col("v")).withColumn("len", (F.col("u") % 13 + F.col("v") % 7 + 1).cast("double"))
-    return graph.without_spurs(e, "u", "v", "len", 6, rounds=1).select(F.col("e").alias("edge"), F.col("len").alias("length"))
-
-
 @query("""with s as (select l_partkey as edge, cast(sum(cast(l_quantity as bigint) * case when l_returnflag = 'A' then -1 else 1 end) as bigint) as net, count(*) as n from lineitem group by 1),
  k as (select l_partkey as edge, cast(sum(cast(l_quantity as bigint)) as bigint) as w, cast(sum(cast(l_quantity as bigint) * l_linenumber) as bigint) as vw
        from lineitem join s on s.edge = l_partkey where (case when l_returnflag = 'A' then -1 else 1 end) = sign(net) group by 1)
@@ -168,46 +104,64 @@ _MEASURED = f"{_ORDERS}, i as (select u || ':' || v as e, u, v, cast(u % 13 + v
 
 @query(f"""with {_ORDERS}, n as (select u as node from g union all select v from g), d as (select node, count(*) as degree from n group by 1)
  select node, degree, case degree when 1 then 'end' when 2 then 'link' when 3 then 'branch' else 'crossing' end as kind from d""")
-def degree_node_kind_whole(spark, sf_dir):
-    """Kind of a node by its degree, over all orders."""
+def degree_node_kind(spark, sf_dir):
+    """Kind of a node by its degree."""
     return graph.degree_kinds(_orders(spark, sf_dir), "u", "v")
 
 
-@query()
-def bfs_depth_orientation_whole(spark, sf_dir):
-    """Depth of all nodes that can be reached from the smallest one, over all orders (M8)."""
-    e = _orders(spark, sf_dir)
+_LINES = "g as (select distinct l_partkey as u, l_suppkey as v from lineitem), b as (select u as a, v as b from g union select v, u from g)"
+
+
+@query(f"""with recursive {_LINES}, t(node, depth) using key (node) as (select min(a), 0 from b union select b.b, min(t.depth) + 1 from t join b on t.node = b.a left join recurring.t r on r.node = b.b where r.node is null group by b.b)
+ select node, depth from t""")
+def bfs_depth_orientation(spark, sf_dir):
+    """Depth of all nodes that can be reached from the smallest one (M8)."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
     return graph.depths(e, "u", "v", e.agg(F.min(F.least("u", "v")).alias("node")))
 
 
-@query()
-def graph_components_whole(spark, sf_dir):
-    """Connected components by smallest labels, over all orders."""
+@query(f"""with recursive {_LINES}, t(node, depth) using key (node) as (select min(a), 0 from b union select b.b, min(t.depth) + 1 from t join b on t.node = b.a left join recurring.t r on r.node = b.b where r.node is null group by b.b)
+ select u, v, case when x.depth < y.depth then 1 when x.depth > y.depth then -1 when u < v then 1 else -1 end as direction, least(x.depth, y.depth) as level from g join t x on x.node = u join t y on y.node = v where u <> v""")
+def structural_orientation(spark, sf_dir):
+    """Each edge pointed away from the root by the depths of its ends (M8)."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
+    d = graph.depths(e, "u", "v", e.agg(F.min(F.least("u", "v")).alias("node")))
+    at = lambda k: d.select(F.col("node").alias(k), F.col("depth").alias(f"d{k}"))
+    rows = e.filter("u <> v").join(at("u"), "u").join(at("v"), "v")
+    direction = F.when(F.col("du") < F.col("dv"), 1).when(F.col("du") > F.col("dv"), -1).when(F.col("u") < F.col("v"), 1).otherwise(-1)
+    return rows.select("u", "v", direction.alias("direction"), F.least("du", "dv").alias("level"))
+
+
+@query(f"""with recursive {_ORDERS}, b as (select u as a, v as b from g union select v, u from g),
+ t(node, label) using key (node) as (select distinct a, a from b union select b.b, min(t.label) from t join b on t.node = b.a join recurring.t r on r.node = b.b where t.label < r.label group by b.b)
+ select node, label from t""")
+def graph_components(spark, sf_dir):
+    """Connected components by smallest labels."""
     return graph.components(_orders(spark, sf_dir), "u", "v")
 
 
 @query(f"""with {_MEASURED}, n as (select e, u as node, len from i union all select e, v, len from i)
  select node, min(e) as a, max(e) as b, cast(sum(len) as bigint) as length from n group by 1 having count(*) = 2 and min(e) <> max(e)""")
-def merge_degree_two_whole(spark, sf_dir):
-    """Pairs of edges that a node of degree two makes one, over all orders (M3, M4, M6, M7)."""
+def merge_degree_two(spark, sf_dir):
+    """Pairs of edges that a node of degree two makes one (M3, M4, M6, M7)."""
     return graph.passed_through(_measured(spark, sf_dir), "e", "u", "v", "len")
 
 
 @query()
-def spur_pruning_whole(spark, sf_dir):
-    """Spur pruning until no spur is left, over all orders (M3)."""
+def spur_pruning(spark, sf_dir):
+    """Spur pruning until no spur is left (M3)."""
     return graph.without_spurs(_measured(spark, sf_dir), "u", "v", "len", 6, rounds=None).select(F.col("e").alias("edge"), F.col("len").alias("length"))
 
 
 @query("""with px as (select distinct l_suppkey as o, l_partkey as p from lineitem) select a.o as a, b.o as b, count(*) as n from px a join px b on a.p = b.p and a.o < b.o group by 1, 2 having count(*) >= 2""")
-def pixel_overlap_pairs_whole(spark, sf_dir):
-    """Owners that share pixels, over all owners."""
+def pixel_overlap_pairs(spark, sf_dir):
+    """Owners that share pixels."""
     return spatial.shared_pixels(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", 2)
 
 
 @query("""with c as (select least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, l_extendedprice as cost, l_orderkey, l_linenumber from lineitem),
  r as (select *, row_number() over (partition by a, b order by cost, l_orderkey, l_linenumber) as rn from c) select a, b, cost from r where rn = 1""")
-def cheapest_pair_whole(spark, sf_dir):
-    """The cheapest candidate of each unordered pair, over all pairs."""
+def cheapest_pair(spark, sf_dir):
+    """The cheapest candidate of each unordered pair."""
     c = table(spark, sf_dir, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), F.col("l_extendedprice").alias("cost"))
     return c.groupBy("a", "b").agg(F.min("cost").alias("cost"))
