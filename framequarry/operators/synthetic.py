@@ -49,3 +49,17 @@ def kymograph(rows: int, places: int, speed: float, seed: int, noise: float = 0.
     at = np.arange(places)[None] - speed * np.arange(rows)[:, None]
     at -= at.min()
     return np.interp(at.ravel(), np.arange(len(long)), long).reshape(rows, places) + rng.normal(0, noise, (rows, places))
+
+
+def vessel_phantom(width: float, seed: int, blur: float = 1.2, noise: float = 0.01, length: int = 120):
+    """(picture with one gently curved dark vessel of constant width, its centre line): a box across it, blurred."""
+    rng = np.random.default_rng(seed)
+    h = int(4 * max(width, 8) + 40)
+    x = np.arange(10.0, length + 10)
+    y = h / 2 + 4 * np.sin(x / 40 + rng.uniform(0, 6))
+    yy, xx = np.mgrid[: 4 * h, : 4 * (length + 20)] / 4.0
+    mid = np.interp(xx[0], x, y)
+    slope = np.gradient(mid, xx[0])
+    far = np.abs(yy - mid[None]) / np.sqrt(1 + slope[None] ** 2)
+    a = np.where(far <= width / 2, 0.6, 1.0).reshape(h, 4, length + 20, 4).mean(axis=(1, 3))
+    return gaussian(a, blur) + rng.normal(0, noise, a.shape), np.column_stack([x, y])

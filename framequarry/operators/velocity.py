@@ -152,3 +152,153 @@ def beats_chance(k: np.ndarray, v: float, shuffles: int = 20, seed: int = 0) ->
 
     own = score(a)
     return all(own > score(a[rng.permutation(len(a))]) for _ in range(shuffles))
+
+
+def without_static(k: np.ndarray) -> np.ndarray:
+    """Each row less what its offset and the mean row explain; NaN is no data. Rows with too little data are NaN."""
+    mean = np.nanmean(k, axis=0)
+    mean = np.where(np.isfinite(mean), mean, np.nanmean(mean))
+    x = mean - mean.mean()
+    ok = np.isfinite(k)
+    n = ok.sum(1)
+    at = lambda v: np.where(ok, v, 0).sum(1)
+    sx, sy, sxx, sxy = at(x[None]), at(np.nan_to_num(k)), at((x * x)[None]), at(np.nan_to_num(k) * x)
+    det = n * sxx - sx * sx
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(det > 0, (n * sxy - sx * sy) / det, 0)
+        out = k - ((sy - slope * sx) / n)[:, None] - slope[:, None] * x
+    return np.where((n >= 5)[:, None], out, np.nan)
+
+
+def correlation_map(k: np.ndarray, most_lag: int, most_shift: int) -> np.ndarray:
+    """(lag, shift + most_shift): normalised correlation of rows with those a lag later, shifted, per overlapping place."""
+    a, n = centred(k), k.shape[1]
+    shift = np.arange(-most_shift, most_shift + 1)
+    f = np.fft.rfft(a, 2 * n, axis=1)
+    power = (a * a).mean()
+    out = []
+    for lag in range(1, most_lag + 1):
+        c = np.fft.irfft((np.conj(f[:-lag]) * f[lag:]).mean(0), 2 * n)
+        out.append(c[shift] / (n - np.abs(shift)) / max(power, 1e-12))
+    return np.array(out)
+
+
+def seed_speed(cmap: np.ndarray, least: float = 1.5) -> float:
+    """The line through the origin on which correlations exceed those of its mirror image most; NaN if none does."""
+    m = cmap.shape[1] // 2
+    odd, lags = (cmap - cmap[:, ::-1]) / 2, np.arange(1, len(cmap) + 1)
+    grid = np.geomspace(0.02, m - 3, 240)
+    best, at = 0.0, np.nan
+    for v in np.concatenate([-grid[::-1], grid]):
+        d = v * lags
+        use = (np.abs(d) >= least) & (np.abs(d) <= m - 3)
+        if use.sum() >= 3:
+            score = float(np.mean([np.interp(x, np.arange(-m, m + 1), odd[j]) for j, x in zip(np.flatnonzero(use), d[use], strict=True)]))
+            if score > best:
+                best, at = score, float(v)
+    return at
+
+
+def log_peak(c: np.ndarray, k: int) -> float:
+    """Place of the top of a Gaussian through a peak and its neighbours."""
+    if not 0 < k < len(c) - 1 or (c[k - 1 : k + 2] <= 0).any():
+        return float(k)
+    a, b, d = np.log(c[k - 1 : k + 2])
+    bend = a - 2 * b + d
+    return k + (float(np.clip(0.5 * (a - d) / bend, -1, 1)) if bend < 0 else 0.0)
+
+
+def ridge_speed(cmap: np.ndarray, least_peak: float = 0.08, least: float = 1.5) -> tuple[float, float, float]:
+    """(speed, share explained, mean height) of the correlation ridge, followed lag by lag from the seed's prediction."""
+    m, lags = cmap.shape[1] // 2, np.arange(1, len(cmap) + 1)
+    v, shift, misses = seed_speed(cmap, least), np.arange(-m, m + 1), 0
+    if not np.isfinite(v):
+        return np.nan, np.nan, 0.0
+    at, top = np.full(len(lags), np.nan), np.zeros(len(lags))
+    for j, lag in enumerate(lags):
+        near = np.abs(shift - v * lag) <= max(3.0, 0.3 * abs(v * lag))
+        if abs(v * lag) > m - 3:
+            break
+        k = int(np.argmax(np.where(near, cmap[j], -np.inf)))
+        if 0 < k < 2 * m and near[k - 1] and near[k + 1] and cmap[j, k] >= least_peak:
+            at[j], top[j], misses = log_peak(cmap[j], k) - m, cmap[j, k], 0
+            ok = np.isfinite(at)
+            v = float((top[ok] * at[ok] * lags[ok]).sum() / (top[ok] * lags[ok] ** 2).sum())
+        else:
+            misses += 1
+            if misses >= 3 and np.isfinite(at).any():
+                break
+    ok = np.isfinite(at) & (np.abs(at) >= least)
+    if ok.sum():
+        ok &= np.sign(at) == np.sign((np.sign(at[ok]) * top[ok]).sum())
+    if ok.sum() < 2:
+        return np.nan, np.nan, 0.0
+    w, d, g = top[ok], at[ok], lags[ok]
+    v = float((w * g * d).sum() / (w * g * g).sum())
+    spread = float((w * (d - np.average(d, weights=w)) ** 2).sum())
+    return v, 1 - float((w * (d - v * g) ** 2).sum()) / spread if spread > 0 else 1.0, float(w.mean())
+
+
+def flight_speed(k: np.ndarray, gaps: tuple[int, ...] = (4, 8, 12, 16), most_lag: int = 20) -> float:
+    """Speed from the delays over several distances: delay against distance through the origin, weighted by the peaks."""
+    a = centred(k)
+    n, top, low = len(a), 0.0, 0.0
+    f = np.fft.rfft(a, 2 * n, axis=0)
+    for gap in (g for g in gaps if g < a.shape[1]):
+        c = np.fft.irfft((np.conj(f[:, :-gap]) * f[:, gap:]).mean(1), 2 * n)
+        lag = np.arange(-min(most_lag, n // 2), min(most_lag, n // 2) + 1)
+        v = c[lag] / (n - np.abs(lag))
+        j = int(np.argmax(v))
+        if v[j] > 0 and lag[j]:
+            delay = log_peak(v, j) + lag[0]
+            top, low = top + v[j] * gap * delay, low + v[j] * gap * gap
+    return low / top if top else float("nan")
+
+
+def fast_speed(k: np.ndarray, lags: tuple[int, ...] = (1, 2, 3), least: float = 3.0, most_shift: int = 40, shuffles: int = 20, seed: int = 0) -> tuple[float, float, float]:
+    """(speed, score, the best score of rows in shuffled order): the best line over large shifts and few lags, against chance."""
+    def best(x: np.ndarray) -> tuple[float, float]:
+        cmap = correlation_map(x, max(lags), most_shift)
+        odd = (cmap - cmap[:, ::-1]) / 2
+        out = (0.0, float("nan"))
+        for v in np.concatenate([np.linspace(-most_shift + 2, -least, 120), np.linspace(least, most_shift - 2, 120)]):
+            d = [(g, v * g) for g in lags if abs(v * g) <= most_shift - 2]
+            if d:
+                score = float(np.mean([np.interp(s, np.arange(-most_shift, most_shift + 1), odd[g - 1]) for g, s in d]))
+                out = max(out, (score, float(v)), key=lambda o: o[0])
+        return out
+
+    rng = np.random.default_rng(seed)
+    score, v = best(k)
+    return v, score, max(best(k[rng.permutation(len(k))])[0] for _ in range(shuffles))
+
+
+def transit_ratio(k: np.ndarray, joint: int, v: float, skip: int = 4) -> tuple[float, float, float]:
+    """(ratio, across, within): correlation of places on both sides of a joint at the delay of their distance, against pairs on one side.
+
+    The side with the clearer pattern counts; NaN where the path is too short or nothing moves.
+    """
+    a, n = centred(k), len(k)
+    most, least = min(joint, k.shape[1] - joint) - 2, 2 * skip + 4
+    if not np.isfinite(v) or abs(v) < 1e-3 or most < least:
+        return float("nan"), float("nan"), float("nan")
+
+    def pair(p: int, q: int) -> float:
+        delay = (q - p) / v
+        half = max(1.0, 0.5 * abs(delay))
+        lag = [g for g in range(int(np.floor(delay - half)), int(np.ceil(delay + half)) + 1) if abs(g) < n // 3]
+        x, y = a[:, p] - a[:, p].mean(), a[:, q] - a[:, q].mean()
+        size = x.std() * y.std() + 1e-12
+        return max((float(np.mean(x[: n - g] * y[g:] if g >= 0 else x[-g:] * y[: n + g])) / size for g in lag), default=float("nan"))
+
+    across, sides = [], [[], []]
+    for d in np.unique(np.linspace(least, most, 5).astype(int)):
+        across += [pair(s, s + d) for s in range(max(0, joint + skip - d), min(joint - skip + 1, k.shape[1] - d))]
+        sides[0] += [pair(s, s + d) for s in range(0, max(0, joint - d))]
+        sides[1] += [pair(s, s + d) for s in range(joint, max(joint, k.shape[1] - d))]
+    finite = lambda x: [c for c in x if np.isfinite(c)]
+    across, within = finite(across), [float(np.median(finite(s))) for s in sides if len(finite(s)) >= 3]
+    if len(across) < 3 or not within:
+        return float("nan"), float("nan"), float("nan")
+    c, w = float(np.median(across)), max(within)
+    return (c / w if w > 0.05 else float("nan")), c, w

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import images, live, pictures, predicates, records, rows, series, structures
+from . import images, live, pictures, predicates, records, rows, series, structures, vessels
 from .registry import oracle_sql, queries
 
-__all__ = ["images", "live", "oracle_sql", "pictures", "predicates", "queries", "records", "rows", "series", "structures"]
+__all__ = ["images", "live", "oracle_sql", "pictures", "predicates", "queries", "records", "rows", "series", "structures", "vessels"]
