@@ -140,14 +140,14 @@ def test_shared_entries_count_whoever_is_at_their_head(spark, monkeypatch):
     far = lambda n: rng.integers(0, 256, (n, 32), dtype=np.uint8)
     x = far(14)
     y = x.copy()
-    y[:, ::6] ^= 1  # a bit of each corner in each entry
+    y[:, ::8] ^= 1  # a bit of each corner in each entry
     y[0, 0] ^= 1
-    y[1, 6] ^= 1
+    y[1, 8] ^= 1
     hub, others = far(14), [far(14) for _ in range(3)]
-    hub[5, 6:12] = x[1, 6:12]
+    hub[5, 8:16] = x[1, 8:16]
     for k, o in enumerate(others):
-        o[k, :6] = hub[10 + k, :6]
-        o[k, 12:18] = hub[10 + k, 12:18] ^ 1
+        o[k, :8] = hub[10 + k, :8]
+        o[k, 16:24] = hub[10 + k, 16:24] ^ 1
     codes, place = [x, y, hub, *others], [float(v) for v in range(0, 140, 10)]
     rows = [(k, place, place, [1.0] * 14, [0.0] * 14, c.tobytes(), k + 1, k) for k, c in enumerate(codes)]
     told = spark.createDataFrame(rows, module._CORNERS)
