@@ -75,3 +75,67 @@ def register(frames: DataFrame, rounds: int = 3, write=cut) -> DataFrame:
     for _ in range(rounds - 1):
         found = write(shifts(frames, templates(frames.join(found.select("burst", "index", "dy", "dx"), ["burst", "index"]))))
     return found
+
+
+def working_frames(frames: DataFrame, height: int = 600) -> DataFrame:
+    """burst, index, height, width, bit_depth (16), pixels, scale, log_sharpness, brightness, clipped_fraction: block means of frames no higher than ``height``.
+
+    The frame's scores are taken in the same pass over its pixels. Frames whose pixels do not fit have nulls.
+    """
+    from .kernels import laplacian
+    from .masks import downscale
+
+    names = ["height", "width", "bit_depth", "pixels", "scale", "log_sharpness", "brightness", "clipped_fraction"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h, w, bits, raw in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                if raw is None or not h or not w or len(raw) != h * w * (2 if bits > 8 else 1):
+                    out.append((None,) * 8)
+                    continue
+                full = (1 << bits) - 1
+                a = np.frombuffer(raw, "<u2" if bits > 8 else np.uint8).reshape(h, w)
+                k = max(1, -(-h // height))
+                x = downscale(a, k) / full if k > 1 else a / full
+                out.append((*x.shape, 16, np.rint(x * 65535).astype("<u2").tobytes(), k, float(np.log(max(laplacian(x).var(), 1e-12))), float(x.mean()), float((a >= full).mean())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]], names=["burst", "index", *names])
+
+    schema = "burst string, `index` int, height int, width int, bit_depth int, pixels binary, scale int, log_sharpness double, brightness double, clipped_fraction double"
+    return frames.select("burst", "index", "height", "width", "bit_depth", "pixels").mapInArrow(run, schema)
+
+
+def stabilize(frames: DataFrame, most_rounds: int = 5, tolerance: float = 0.05, least_ncc: float = 0.5, height: int = 600, write=cut) -> DataFrame:
+    """burst, index, keep, reason, registered, dy, dx (pixels of the input), response, ncc of every frame of every recording.
+
+    Frames are scored, gated, and aligned at a working scale: the first template is the sharpest frame that the gate
+    keeps; templates are made again from aligned frames until 0.9 of the shifts of each recording move by less than
+    ``tolerance``, or for ``most_rounds``. Shifts are centred on their median. A frame is registered if it was kept and
+    agrees with the template. Recordings without a kept frame have no shifts.
+    """
+    from .gate import gate
+
+    small = write(working_frames(frames, height))
+    scores = small.drop("pixels", "height", "width", "bit_depth")
+    gated = write(gate(scores, "burst", "log_sharpness", "brightness"))
+    good = small.join(gated.filter("keep").select("burst", "index"), ["burst", "index"]).select("burst", "index", "height", "width", "bit_depth", "pixels").filter("pixels is not null")
+    good = write(good)
+    none = F.lit(None).cast("double")
+    start = gated.filter("keep").groupBy("burst").agg(F.max_by("index", F.struct("log_sharpness", -F.col("index"))).alias("index"))
+    first = good.join(start, ["burst", "index"]).withColumn("dy", none).withColumn("dx", none)
+    found = write(shifts(good, templates(first)))
+    for _ in range(most_rounds - 1):
+        new = write(shifts(good, templates(good.join(found.filter(F.col("ncc") >= least_ncc).select("burst", "index", "dy", "dx"), ["burst", "index"]))))
+        both = new.join(found.select("burst", "index", F.col("dy").alias("y0"), F.col("dx").alias("x0")), ["burst", "index"])
+        middle = both.groupBy("burst").agg(F.median(F.col("dy") - F.col("y0")).alias("my"), F.median(F.col("dx") - F.col("x0")).alias("mx"))
+        moved = both.join(middle, "burst").select("burst", F.hypot(F.col("dy") - F.col("y0") - F.col("my"), F.col("dx") - F.col("x0") - F.col("mx")).alias("d"))
+        worst = moved.groupBy("burst").agg(F.percentile("d", F.lit(0.9)).alias("p")).agg(F.max("p")).first()[0]
+        found = new
+        if worst is None or worst < tolerance:
+            break
+    middle = found.groupBy("burst").agg(F.median("dy").alias("my"), F.median("dx").alias("mx"))
+    rows = gated.join(found.join(middle, "burst"), ["burst", "index"], "left")
+    ok = F.coalesce(F.col("keep") & (F.col("ncc") >= least_ncc), F.lit(False))
+    place = lambda c, m: F.when(ok, (F.col(c) - F.col(m)) * F.col("scale"))
+    return rows.select("burst", "index", "keep", "reason", ok.alias("registered"), place("dy", "my").alias("dy"), place("dx", "mx").alias("dx"), "response", "ncc", "sharpness_z", "brightness_z", "clipped_fraction")
