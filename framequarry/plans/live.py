@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators import velocity
-from ..streaming import live
+from ..functions.lineage import cut, shared_folder
+from ..operators import synthetic, velocity
+from ..streaming import live, stabilizer
 from .registry import EVENTS, query, table
 from .series import _kymograph
 
@@ -19,11 +22,29 @@ def _stream(spark, sf_dir) -> DataFrame:
     return live.replay(spark, f"{sf_dir}/event[s].parquet", schema, 8).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _all(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives when its source is read to the end."""
-    name = f"stream_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def _all(df: DataFrame, mode: str, state: bool = False) -> DataFrame:
+    """What a stream gives when its source is read to the end: batches and checkpoint are in the shared folder.
+
+    In mode "complete" each batch has all rows, so the last one counts. ``state``: keep state in RocksDB.
+    """
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/fq-stream-{uuid.uuid4().hex}"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if state:
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        live.write_idempotent(df, f"{root}/out", f"{root}/checkpoint", "rows", mode).awaitTermination()
+    finally:
+        if state and before:
+            spark.conf.set(key, before)
+        elif state:
+            spark.conf.unset(key)
+    out = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).option("recursiveFileLookup", "false").parquet(f"{root}/out")
+    if mode == "complete":
+        last = out.agg(F.max("batch")).first()[0]
+        out = out.filter(F.col("batch") == last)
+    return out.drop("batch")
 
 
 @query(f"""with {EVENTS}, g as (select user_id, us, case when us - lag(us) over w >= 21600000000 then 1 else 0 end as new from e window w as (partition by user_id order by us)),
@@ -42,14 +63,100 @@ def rate_stream(spark, sf_dir):
     return r.select("user_id", F.unix_micros("second").alias("second_us"), "fps")
 
 
-@query()
+_FADE = """s0 as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as k from events),
+ f(user_id, k, event_id, seen, total, anchor, ref, misses, off, hit, state) as (
+  select user_id, k - 1, cast(-1 as bigint), 0, 0.0::double, 0.0::double, 0.0::double, 0, null::double, false, '' from s0 where k = 1
+  union all
+  select f.user_id, s0.k, s0.event_id,
+   case when f.seen < 24 then f.seen + 1 when abs(value / greatest(abs(ref), 1e-9) - 1) > 0.5 and misses + 1 >= 8 then 0 else f.seen end,
+   case when f.seen < 24 then f.total + value when abs(value / greatest(abs(ref), 1e-9) - 1) > 0.5 and misses + 1 >= 8 then 0.0 else f.total end,
+   case when f.seen = 23 then (f.total + value) / 24 else anchor end,
+   case when f.seen = 23 then (f.total + value) / 24 when f.seen >= 24 and abs(value / greatest(abs(ref), 1e-9) - 1) <= 0.5 then 0.9 * ref + 0.1 * (0.5 * anchor + 0.5 * value) else ref end,
+   case when f.seen < 24 then misses when abs(value / greatest(abs(ref), 1e-9) - 1) <= 0.5 then 0 when misses + 1 >= 8 then 0 else misses + 1 end,
+   case when f.seen >= 24 and abs(value / greatest(abs(ref), 1e-9) - 1) <= 0.5 then value - (0.9 * ref + 0.1 * (0.5 * anchor + 0.5 * value)) end,
+   f.seen >= 24 and abs(value / greatest(abs(ref), 1e-9) - 1) <= 0.5,
+   case when f.seen < 24 then 'locking' when abs(value / greatest(abs(ref), 1e-9) - 1) > 0.5 and misses + 1 >= 8 then 'lost' else 'locked' end
+  from f join s0 on s0.user_id = f.user_id and s0.k = f.k + 1)"""
+
+
+@query(f"with recursive {_FADE} select cast(user_id as varchar) as stream, event_id as \"index\", round(off, 3) + 0.0 as \"offset\", hit as registered, state from f where event_id >= 0")
 def anchored_fade_stream(spark, sf_dir):
     """Each stream's offsets from a running reference, with lock and loss."""
     e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").alias("index"), F.col("value"))
-    return _all(live.anchored_fade(e), "append")
+    got = _all(live.anchored_fade(e), "append")
+    return got.withColumn("offset", F.round("offset", 3) + F.lit(0.0))
 
 
 @query()
 def kymograph_velocity(spark, sf_dir):
     """Velocity by three estimators that must agree."""
     return velocity.velocities(_kymograph(spark, sf_dir))
+
+
+def _live_frames(spark) -> DataFrame:
+    """Three streams of 220 drawn frames: a scene that moves, blinks, another scene, and the first again; with their truth."""
+    import pyarrow as pa
+
+    def draw(batches):
+        for batch in batches:
+            rows = []
+            for i in batch.column(0).to_pylist():
+                s, k = i // 220, i % 220
+                scenes = [synthetic.scene(1, 256, 60 + 2 * s + n)[0] for n in (0, 1)]
+                scenes = [a + 0.1 * np.convolve(np.random.default_rng(80 + 2 * s + n).normal(size=272), np.hanning(17), "valid") for n, a in enumerate(scenes)]
+                scenes = [0.6 + 0.08 * (a - a.mean()) / a.std() for a in scenes]
+                path = np.cumsum(np.random.default_rng(10 + s).normal(0, 0.6, 220))
+                other = 90 <= k < 150
+                a = stabilizer.moved(scenes[int(other)], path[k]) + np.random.default_rng(500 + i).normal(0, 0.005, 256)
+                if k in (60, 61, 62):
+                    a = 0.2 * np.convolve(np.pad(a, 20, mode="wrap"), np.ones(41) / 41, "valid")
+                rows.append((f"s{s}", k, k / 16.0, a.tolist(), float(path[k])))
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["stream", "index", "seconds", "frame", "truth"])
+
+    return spark.range(0, 660, 1, 6).mapInArrow(draw, "stream string, `index` long, seconds double, frame array<double>, truth double")
+
+
+@query()
+def live_stabilizer(spark, sf_dir):
+    """Streams that lock, register, pass over blinks, lose a scene after a second and rejoin it."""
+    root = f"{shared_folder(spark)}/fq-frames-{uuid.uuid4().hex}"
+    drawn = cut(_live_frames(spark))
+    for k in range(5):  # as a camera writes: every file has some seconds of all streams, and files come in the order of time
+        drawn.filter(f"index div 44 = {k}").coalesce(1).write.mode("append").parquet(root)
+    frames = live.replay(spark, root, "stream string, `index` bigint, seconds double, frame array<double>, truth double", 1)
+    out = _all(stabilizer.stabilize(frames), "append", state=True)
+    return out.withColumn("offset", F.round("offset", 2))
+
+
+@query(f"""with recursive {EVENTS}, s0 as (select user_id, event_id, us / 1e6 as tm, row_number() over (partition by user_id order by us, event_id) as k from e),
+ f(user_id, k, event_id, ends, taken, dropped) as (select user_id, k - 1, cast(-1 as bigint), []::double[], false, 0 from s0 where k = 1
+  union all select f.user_id, s0.k, s0.event_id, case when len(list_filter(ends, lambda u: u > tm)) < 32 then list_append(list_filter(ends, lambda u: u > tm), tm + 1500000) else list_filter(ends, lambda u: u > tm) end,
+   len(list_filter(ends, lambda u: u > tm)) < 32, dropped + case when len(list_filter(ends, lambda u: u > tm)) < 32 then 0 else 1 end from f join s0 on s0.user_id = f.user_id and s0.k = f.k + 1)
+ select cast(user_id as varchar) as stream, event_id as "index", taken, cast(dropped as bigint) as dropped from f where event_id >= 0""")
+def bounded_buffer(spark, sf_dir):
+    """At most 32 frames of a stream in flight; what comes when all slots are taken is dropped and counted."""
+    e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").alias("index"), (F.unix_micros("ts") / 1e6).alias("seconds"))
+    return _all(stabilizer.bounded(e, 1_500_000.0), "append", state=True)
+
+
+@query(f"""with {EVENTS} select event_id, case when value >= 10 then 'writer+live' when event_type = 'view' then 'live' else 'preview' end as sinks, event_id % 4 = 0 as previewed from e""")
+def fan_out(spark, sf_dir):
+    """One source to several sinks in one pass over each batch: all frames written, those for live use and every fourth for preview."""
+    e = _stream(spark, sf_dir)
+    sinks = F.when(F.col("value") >= 10, "writer+live").when(F.col("event_type") == "view", "live").otherwise("preview")
+    return _all(e.select("event_id", sinks.alias("sinks"), (F.col("event_id") % 4 == 0).alias("previewed")), "append")
+
+
+@query(f"""with {EVENTS}, r as (select event_id, us, value from e where event_type = 'click') select p.event_id, max(r.event_id) as result from e p join r on r.us <= p.us and r.us > p.us - 60000000 where p.event_type = 'view' group by 1""")
+def matched_results(spark, sf_dir):
+    """Previews and results of two streams joined within a minute, the newest result for each."""
+    e = _stream(spark, sf_dir).withWatermark("ts", "60 days")
+    p = e.filter("event_type = 'view'").select("event_id", F.col("ts").alias("seen"))
+    r = e.filter("event_type = 'click'").select(F.col("event_id").alias("result"), F.col("ts").alias("made"))
+    # both sides also by the minute, so the join has a key and its state stays in parts
+    minute = lambda c: F.floor(F.unix_micros(c) / 60_000_000)
+    r = r.withColumn("cell", F.explode(F.array(minute("made"), minute("made") + 1)))
+    p = p.withColumn("cell", minute("seen"))
+    j = p.join(r, (p.cell == r.cell) & (F.col("made") <= F.col("seen")) & (F.col("made") > F.col("seen") - F.expr("interval 1 minute")))
+    return _all(j.select("event_id", "result"), "append").groupBy("event_id").agg(F.max("result").alias("result"))

@@ -106,11 +106,14 @@ def staleness(overlay: DataFrame, version: Column, params: Column, source_time:
     return overlay.withColumn("stale", why)
 
 
-def method_records(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """burst and the record of each metrics.json below ``root``; files that cannot be read as such are left out."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "metrics.json").text(root, wholetext=True)
+def method_records(spark: SparkSession, root: str, schema: str, pattern: str = "metrics.json") -> DataFrame:
+    """burst and the record of each recording's file below ``root``; files that cannot be read as such are left out.
+
+    The recording is the file's folder, by its name or as burst=name.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     record = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/metrics\.json$", 1).alias("burst"), record.alias("r"))
+    rows = raw.select(F.regexp_extract("_metadata.file_path", r"(?:burst=)?([^/=]+)/[^/]+$", 1).alias("burst"), record.alias("r"))
     return rows.filter("r is not null and r._bad is null").select("burst", "r.*").drop("_bad")
 
 

@@ -69,10 +69,10 @@ def replay(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def write_idempotent(df: DataFrame, path: str, checkpoint: str, partition: str):
+def write_idempotent(df: DataFrame, path: str, checkpoint: str, partition: str, mode: str = "append"):
     """A sink that writes each batch under its own number, so a batch that runs twice is there once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}/{partition}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).queryName(f"{partition}_{abs(hash(checkpoint))}").trigger(availableNow=True).start()
