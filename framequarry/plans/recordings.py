@@ -280,3 +280,152 @@ def vessel_scenes(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["scene", "paths", "points", "darkest", "found"])
 
     return spark.range(0, 8, 1, 4).mapInArrow(task, "scene long, paths long, points long, darkest double, found double")
+
+
+def _turning(spark, n: int = 16, height: int = 160, width: int = 224) -> DataFrame:
+    """Frames of one scene that turn by up to 0.6 degrees about its middle, with the true angle."""
+    import pyarrow as pa
+
+    from ..operators import fields
+
+    def draw(batches):
+        grid, a = fields.Grid(height, width), synthetic.scene(height, width, 71)
+        for batch in batches:
+            rows = []
+            for k in batch.column(0).to_pylist():
+                angle = np.radians(0.6) * np.sin(k)
+                m = np.array([[np.cos(angle) - 1, -np.sin(angle)], [np.sin(angle), np.cos(angle) - 1]])
+                d = fields.Field(np.column_stack([m, -m @ np.array([(width - 1) / 2, (height - 1) / 2])]), np.zeros((len(grid.y), len(grid.x), 2)))
+                f = fields.warped(a, d, grid)
+                f = np.where(np.isfinite(f), f, a.mean()) + np.random.default_rng(k).normal(0, 0.005, a.shape)
+                rows.append(("burst_turning", k, height, width, 12, (np.clip(f, 0, 1) * 4095).astype("<u2").tobytes(), float(np.degrees(angle))))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["burst", "index", "height", "width", "bit_depth", "pixels", "angle"])
+
+    return spark.range(0, n, 1, 4).mapInArrow(draw, "burst string, `index` int, height int, width int, bit_depth int, pixels binary, angle double")
+
+
+@query()
+def nonrigid_recording(spark, sf_dir):
+    """Frames that turn: patch shifts, robust affine and local fields over the translation result; the angle found, written and read back."""
+    from ..operators import fields
+
+    frames = cut(_turning(spark))
+    t = cut(registration.stabilize(frames, least_ncc=0.3))
+    path = _folder(spark, "fields")
+    f = results.once(spark, path, lambda: fields.refine(frames, t))
+    angle = F.degrees(F.atan2(F.col("affine")[3] - F.col("affine")[1], F.col("affine")[0] + F.col("affine")[4] + 2))
+    j = f.join(frames.select("burst", "index", "angle"), ["burst", "index"])
+    w = Window.partitionBy("burst")
+    # the template is at the mean angle, and a field undoes a frame's own turn
+    found = -(angle - F.avg(angle).over(w))
+    return j.select("burst", "index", F.round(F.col("angle") - F.avg("angle").over(w), 3).alias("true_angle"), F.round(found, 3).alias("angle"), F.round("update", 3).alias("update"), F.round("ncc", 4).alias("ncc"), "rejected")
+
+
+@query()
+def tile_residuals(spark, sf_dir):
+    """How far tiles of a recording still move against the mean: as recorded, and after the non-rigid fields."""
+    import pyarrow as pa
+
+    from ..operators import fields
+
+    frames = cut(_turning(spark))
+    t = cut(registration.stabilize(frames, least_ncc=0.3))
+    f = cut(fields.refine(frames, t))
+    none = t.select("burst", "index", F.array(F.lit(0.0), F.lit(0.0), "dx", F.lit(0.0), F.lit(0.0), "dy").alias("affine"), F.lit(None).cast("array<double>").alias("local"))
+    both = none.withColumn("method", F.lit("translation")).union(f.select("burst", "index", "affine", "local").withColumn("method", F.lit("nonrigid")))
+    rows = frames.join(both, ["burst", "index"]).select(F.concat_ws("/", "burst", "method").alias("key"), "index", "height", "width", "bit_depth", "pixels", "affine", "local")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("index")
+        h, w = table.column("height")[0].as_py(), table.column("width")[0].as_py()
+        grid, stack = fields.Grid(h, w), []
+        for bits, raw, affine, local in zip(*(table.column(c).to_pylist() for c in ("bit_depth", "pixels", "affine", "local")), strict=True):
+            local = np.zeros((len(grid.y), len(grid.x), 2)) if local is None else np.array(local).reshape(len(grid.y), len(grid.x), 2)
+            stack.append(fields.warped(np.frombuffer(raw, "<u2").reshape(h, w) / float((1 << bits) - 1), fields.Field(np.array(affine).reshape(2, 3), local), grid))
+        s = fields.tile_spread(np.array(stack), 2, 3)
+        return pa.table({"key": pa.array([table.column("key")[0].as_py()]), "largest": pa.array([float(s.max())]), "middle": pa.array([float(np.median(s))])})
+
+    got = rows.groupBy("key").applyInArrow(run, "key string, largest double, middle double")  # a recording is a group
+    return got.select("key", F.round("largest", 3).alias("largest"), F.round("middle", 3).alias("middle"))
+
+
+@query()
+def feature_registration(spark, sf_dir):
+    """Each frame matched with the first by corner patches, a similarity that most agree on, and the model kept by its misfit."""
+    import pyarrow as pa
+
+    from ..operators import fields
+
+    frames = cut(_turning(spark))
+    first = F.broadcast(frames.filter("index = 0").select("burst", F.col("pixels").alias("reference")))  # one frame a recording
+
+    def run(batches):
+        kept: tuple = ()
+        for batch in batches:
+            rows = []
+            for index, h, w, raw, ref in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                if not kept or kept[0] != ref:
+                    kept = (ref, *fields.corner_patches(np.frombuffer(ref, "<u2").reshape(h, w) / 4095.0))
+                _, p, dp = kept
+                q, dq = fields.corner_patches(np.frombuffer(raw, "<u2").reshape(h, w) / 4095.0)
+                m = fields.matched(dp, dq)
+                s, good = fields.consensus(p[m[:, 0]], q[m[:, 1]], seed=index)
+                if s is None:
+                    rows.append((index, len(m), 0, None, None, None, None))
+                    continue
+                name, _, misfit = fields.chosen_model(p[m[good, 0]], q[m[good, 1]])
+                rows.append((index, len(m), int(good.sum()), float(np.hypot(s[0, 0], s[1, 0])), float(np.degrees(np.arctan2(s[1, 0], s[0, 0]))), name, misfit))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["burst", "index", "matches", "inliers", "scale", "turn", "model", "misfit"])
+
+    rows = frames.join(first, "burst").select("burst", "index", "height", "width", "pixels", "reference")
+    got = rows.mapInArrow(run, "burst string, `index` int, matches long, inliers long, scale double, turn double, model string, misfit double")
+    return got.select("burst", "index", "matches", "inliers", F.round("scale", 4).alias("scale"), F.round("turn", 3).alias("turn"), "model", F.round("misfit", 3).alias("misfit"), (F.col("inliers") >= 10).alias("good"))
+
+
+@query()
+def consecutive_steps(spark, sf_dir):
+    """Steps between neighbouring frames and the way they add up to, with thumbnails of what is aligned."""
+    import pyarrow as pa
+
+    from ..operators.kernels import phase_shift_2d
+
+    frames = cut(synthetic.case_frames(spark).filter("not blink"))
+    w = Window.partitionBy("burst").orderBy("index")
+    pairs = frames.select("burst", "index", "height", "width", "pixels", "true_dy", "true_dx", F.lag("pixels").over(w).alias("before"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for h, wd, raw, ref in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 7)), strict=True):
+                a = np.frombuffer(raw, "<u2").reshape(h, wd) / 4095.0
+                dy, dx = (0.0, 0.0) if ref is None else phase_shift_2d(np.frombuffer(ref, "<u2").reshape(h, wd) / 4095.0, a)[:2]
+                rows.append((dy, dx, float(a[::4, ::4].mean())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), batch.column(6), *[pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]], names=["burst", "index", "true_dy", "true_dx", "sy", "sx", "thumbnail"])
+
+    s = pairs.mapInArrow(run, "burst string, `index` int, true_dy double, true_dx double, sy double, sx double, thumbnail double")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return s.select("burst", "index", F.round("sy", 2).alias("step_y"), F.round("sx", 2).alias("step_x"), F.round(F.sum("sy").over(upto) - F.col("true_dy") + F.first("true_dy").over(upto), 2).alias("drift_y"), F.round(F.sum("sx").over(upto) - F.col("true_dx") + F.first("true_dx").over(upto), 2).alias("drift_x"), F.round("thumbnail", 4).alias("thumbnail"))
+
+
+@query()
+def negative_control(spark, sf_dir):
+    """Velocity along lines beside drawn vessels, where nothing flows: no estimate may pass as reliable."""
+    import pyarrow as pa
+
+    from ..operators import velocity
+
+    def task(batches):
+        for batch in batches:
+            rows = []
+            for i in batch.column(0).to_pylist():
+                rng = np.random.default_rng(3000 + i)
+                flowing = i % 2 == 0
+                k = synthetic.kymograph(100, 90, 1.8, seed=i) if flowing else rng.normal(size=(100, 90)) + np.convolve(rng.normal(size=98), np.ones(9) / 3, "valid")[None]
+                v, _, agree, reliable = velocity.estimate(velocity.without_static(k))
+                rows.append((i, flowing, float(v), agree, reliable))
+            kinds = (pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["line", "flowing", "velocity", "agree", "reliable"])
+
+    return spark.range(0, 16, 1, 4).mapInArrow(task, "line long, flowing boolean, velocity double, agree long, reliable boolean")
