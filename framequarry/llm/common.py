@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than this share of a table's rows is hot, if these are more than so many; parts that rows of a hot
 #: key are dealt to where its partner cannot be broadcast.
-HOT, LEAST_HOT, SALTS = 1 / 1000, 256, 32
+HOT, LEAST_HOT, SALTS = 1 / 1000, 1000, 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,15 +64,19 @@ def look_up(left: DataFrame, right: DataFrame, on: list[str], hot: list | None =
     hot = hot_keys(left, on) if hot is None else hot
     if not hot:
         return left.join(right, on, how)
-    keys = F.broadcast(left.sparkSession.createDataFrame(hot, right.select(*on).schema))
-    few, many = right.join(keys, on, "left_semi"), left.join(keys, on, "left_semi")
+    if len(on) == 1:
+        is_hot = F.col(on[0]).isin([r[0] for r in hot])
+        few, many, rest = right.filter(is_hot), left.filter(is_hot), left.filter(~is_hot)
+    else:
+        keys = F.broadcast(left.sparkSession.createDataFrame(hot, right.select(*on).schema))
+        few, many, rest = right.join(keys, on, "left_semi"), left.join(keys, on, "left_semi"), left.join(keys, on, "left_anti")
     if small:
         many = many.join(F.broadcast(few), on, how)
     else:
         salt = F.floor(F.rand(7) * SALTS).cast("int")
         few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         many = many.withColumn("_salt", salt).join(few, [*on, "_salt"], how).drop("_salt")
-    return many.unionByName(left.join(keys, on, "left_anti").join(right, on, how))
+    return many.unionByName(rest.join(right, on, how))
 
 
 def partitions(spark: SparkSession) -> int:

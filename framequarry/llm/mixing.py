@@ -85,7 +85,8 @@ def mix(
     numbered = numbered.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("size", "i")))
     rows = numbered.join(starts, numbered.source.eqNullSafe(starts.s2) & (numbered.band == starts.b2) & (numbered.part == starts.p2))
     rate = F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    named = F.md5(F.concat_ws("|", F.coalesce("source", F.lit("")), F.lit(str(seed))))
+    offset = F.conv(F.substring(named, 1, 8), 16, 10).cast("double") / float(1 << 32)
     upto = lambda k: F.floor(k * rate + offset)
     place = F.col("start") + F.col("at")
     copies = F.when(F.col("size") > 0, upto(place) - upto(place - 1)).otherwise(0)

@@ -169,6 +169,21 @@ def oracle_sql() -> dict[str, str]:
             select d.doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
                    sha256(case when t.doc_id is null then b else unhex(coalesce(kept, '')) end) as kept_sha256
             from d left join t using (doc_id) left join h using (doc_id)""",
+        "op5_mix_sources": rf"""
+            with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+            n as (select source, sum(size) as n from d group by 1),
+            r as (select source, cast(n as double) as n, cast(([3, 1, 2])[((row_number() over (order by source is null, source) - 1) % 3) + 1] as double) as w, sum(n) over () * 1.5::double as total from n),
+            c as (select *, 2 * n as cap, coalesce(sum(2 * n) over (order by 2 * n / w, source is null, source rows between unbounded preceding and 1 preceding), 0) as full_before,
+                  sum(w) over (order by 2 * n / w, source is null, source rows between current row and unbounded following) as open from r),
+            o as (select *, (total - full_before) / open as level from c),
+            l as (select *, min(case when level * w < cap then 2 * n / w end) over () as first_open from o),
+            v as (select max(level) filter (2 * n / w = first_open) as level from l),
+            t as (select source, n, case when n = 0 then 0.0::double else least(cap, w * coalesce((select level from v), 1e300)) end as target from c),
+            p as (select d.*, row_number() over (partition by source order by size, doc_id) as place from d),
+            q as (select doc_id, size, cast(n as bigint) as source_size, target, case when n > 0 then target / n else 0 end as rate, cast('0x' || md5(coalesce(p.source, '') || '|0')[1:8] as bigint) / 4294967296.0::double as off, place
+                  from p join t on t.source is not distinct from p.source)
+            select doc_id, size, source_size, target, cast(case when size > 0 then floor(place * rate + off) - floor((place - 1) * rate + off) else 0 end * size as bigint) as taken,
+                   cast(case when size > 0 then floor(place * rate + off) - floor((place - 1) * rate + off) else 0 end as int) as copies from q""",
         "op8_content_sort_dedup": """
             with d as (select doc_id, coalesce(text, '') as t from documents)
             select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
