@@ -15,17 +15,14 @@ def centred_mean(df: DataFrame, keys: list[str], order: str, value: str, each_si
 
 def edge_shifted_mean(df: DataFrame, keys: list[str], order: str, value: str, width: int) -> DataFrame:
     """running_mean over ``width`` rows whose window is shifted, not cut, at both ends."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("pos", F.row_number().over(by) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("cum", F.sum(value).over(upto))
-    first = F.greatest(F.lit(0), F.least(F.col("pos") - width // 2, F.col("n") - width))
-    rows = rows.withColumn("lo", first.cast("int")).withColumn("hi", F.least(first + width, F.col("n")).cast("int"))
-    ends = rows.select(*[F.col(k).alias(f"{k}_e") for k in keys], F.col("pos").alias("pos_e"), F.col("cum").alias("cum_e"))
-    same = lambda at: [F.col(k) == F.col(f"{k}_e") for k in keys] + [at == F.col("pos_e")]
-    high = rows.join(ends, same(F.col("hi") - 1)).drop("pos_e", *[f"{k}_e" for k in keys]).withColumnRenamed("cum_e", "high")
-    low = high.join(ends, same(F.col("lo") - 1), "left").drop("pos_e", *[f"{k}_e" for k in keys]).withColumnRenamed("cum_e", "low")
-    return low.withColumn("running_mean", (F.col("high") - F.coalesce("low", F.lit(0.0))) / (F.col("hi") - F.col("lo"))).drop("pos", "n", "cum", "lo", "hi", "high", "low")
+    whole = Window.partitionBy(*keys)
+    by, half = whole.orderBy(order), width // 2
+    here = by.rowsBetween(-half, width - 1 - half)
+    rows = df.withColumn("pos", F.row_number().over(by) - 1).withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("own", F.avg(value).over(here))
+    # the first and the last whole window stand for the rows before and after them
+    rows = rows.withColumn("first", F.max(F.when(F.col("pos") == half, F.col("own"))).over(whole)).withColumn("last", F.max(F.when(F.col("pos") == F.col("n") - width + half, F.col("own"))).over(whole)).withColumn("all", F.avg(value).over(whole))
+    mean = F.when(F.col("n") <= width, F.col("all")).when(F.col("pos") < half, F.col("first")).when(F.col("pos") > F.col("n") - width + half, F.col("last")).otherwise(F.col("own"))
+    return rows.withColumn("running_mean", mean).drop("pos", "n", "own", "first", "last", "all")
 
 
 def bins_of_k(df: DataFrame, keys: list[str], order: str, value: str, k: int) -> DataFrame:

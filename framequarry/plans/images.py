@@ -86,9 +86,18 @@ def components_1d(spark, sf_dir):
     return m.groupBy("vec_id", "run").agg(F.min("pix").cast("long").alias("first"), F.count(F.lit(1)).alias("length"), F.round(F.sum("v"), 6).alias("mass")).filter("length >= 2").drop("run")
 
 
-@query()
+_COS, _SIN = "cos(2 * pi() * (f * n % 64) / 64)", "sin(2 * pi() * (f * n % 64) / 64)"
+
+
+@query(f"""with p as (select vec_id, label, k - 1 as n, cast(embedding[k] as double) as v from embeddings, unnest(range(1, 65)) as u(k)), m as (select vec_id, label, n, v - avg(v) over (partition by vec_id) as v from p),
+ s as (select vec_id, any_value(label) as label, f, sum(v * {_COS}) as re, -sum(v * {_SIN}) as im from m, range(0, 33) g(f) group by vec_id, f), r as (select label, min(vec_id) as ref from embeddings group by 1),
+ x as (select b.vec_id, b.label, b.f, a.re * b.re + a.im * b.im as re, a.re * b.im - a.im * b.re as im from s b join r using (label) join s a on a.vec_id = r.ref and a.f = b.f),
+ w as (select vec_id, label, f, case when sqrt(re * re + im * im) > 1e-12 then re / sqrt(sqrt(re * re + im * im)) else 0 end as re, case when sqrt(re * re + im * im) > 1e-12 then im / sqrt(sqrt(re * re + im * im)) else 0 end as im from x),
+ c as (select vec_id, any_value(label) as label, n, sum(case when f in (0, 32) then re * {_COS} else 2 * (re * {_COS} - im * {_SIN}) end) / 64 as c from w, range(0, 64) h(n) group by vec_id, n),
+ t as (select vec_id, label, arg_max(n, c) as k, max(c) as b from c group by 1, 2), q as (select t.*, l.c as a, h.c as d from t join c l on l.vec_id = t.vec_id and l.n = (k + 63) % 64 join c h on h.vec_id = t.vec_id and h.n = (k + 1) % 64),
+ z as (select *, k + case when a - 2 * b + d < 0 then 0.5 * (a - d) / (a - 2 * b + d) else 0 end as s from q) select label, vec_id, round(case when s > 32 then s - 64 else s end, 6) + 0.0 as shift, round(b, 6) + 0.0 as response from z""")
 def phase_correlation_1d(spark, sf_dir):
     """Shift of each profile to its recording's first one, by phase correlation with a sub-pixel peak."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     first = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("ref"))
-    return kernels.phase_shift(e.join(first, "label"), "ref", "v").select("label", "vec_id", F.round("shift", 6).alias("shift"), F.round("response", 6).alias("response"))
+    return kernels.phase_shift(e.join(first, "label"), "ref", "v").select("label", "vec_id", (F.round("shift", 6) + F.lit(0.0)).alias("shift"), (F.round("response", 6) + F.lit(0.0)).alias("response"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import integrity
+from ..operators import integrity, ranks
 from .registry import EVENTS, events, query, table
 
 
@@ -93,20 +93,24 @@ def json_deep_get(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("k"), F.coalesce(F.get_json_object("props", "$.missing.deep"), F.lit("none")).alias("deep"), F.substring(F.sha2("props", 256), 1, 12).alias("fingerprint"))
 
 
+def _stability(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("burst"))
+    return o.agg(F.when(F.count(F.lit(1)) >= 10, "ok").otherwise("skipped").alias("status"), F.expr("sum(cast(round(o_totalprice * 100) as bigint)) div count(1)").alias("stability"))
+
+
 @query("""with s as (select o_custkey as burst, case when count(*) >= 10 then 'ok' else 'skipped' end as status, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) // count(*) as stability from orders group by 1)
  select burst, status, stability, row_number() over (order by status <> 'ok', stability desc, burst) as place from s""")
 def summary_order(spark, sf_dir):
     """The report's order: finished first, then by index."""
-    s = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("burst")).agg(F.when(F.count(F.lit(1)) >= 10, "ok").otherwise("skipped").alias("status"), F.expr("sum(cast(round(o_totalprice * 100) as bigint)) div count(1)").alias("stability"))
-    order = Window.orderBy(F.col("status") != "ok", F.desc("stability"), "burst")
-    return s.withColumn("place", F.row_number().over(order).cast("long"))
+    s = _stability(spark, sf_dir)
+    return ranks.ranked(s, [F.col("status") != "ok", F.desc("stability"), F.col("burst")], "place")
 
 
 @query("""select s.status, count(*) as bursts, round(median(stability), 4) as median, min(stability) as least, max(stability) as most from
  (select o_custkey, case when count(*) >= 10 then 'ok' else 'skipped' end as status, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) // count(*) as stability from orders group by 1) s group by 1""")
 def cross_burst_summary(spark, sf_dir):
     """Counts and range of an index over recordings."""
-    s = summary_order(spark, sf_dir)
+    s = _stability(spark, sf_dir)
     return s.groupBy("status").agg(F.count(F.lit(1)).alias("bursts"), F.round(F.median("stability"), 4).alias("median"), F.min("stability").alias("least"), F.max("stability").alias("most"))
 
 

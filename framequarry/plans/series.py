@@ -77,9 +77,9 @@ def frame_times_fallback(spark, sf_dir):
     """Camera clock where every frame of a recording has a stamp, else the frame number by the rate."""
     e = events(spark, sf_dir)
     w = Window.partitionBy("user_id")
-    frames = e.select("event_id", "user_id", (F.row_number().over(w.orderBy("event_id")) - 1).alias("idx"))
-    stamps = e.filter("event_type <> 'signup'").select("event_id", F.col("us").alias("stamp"))
-    rows = frames.join(stamps, "event_id", "left").withColumn("whole", F.bool_and(F.col("stamp").isNotNull()).over(w)).withColumn("t0", F.min("stamp").over(w))
+    stamp = F.when(F.col("event_type") != "signup", F.col("us"))
+    frames = e.select("event_id", "user_id", (F.row_number().over(w.orderBy("event_id")) - 1).alias("idx"), stamp.alias("stamp"))
+    rows = frames.withColumn("whole", F.bool_and(F.col("stamp").isNotNull()).over(w)).withColumn("t0", F.min("stamp").over(w))
     time = F.when(F.col("whole"), (F.col("stamp") - F.col("t0")) / 1e6).otherwise(F.col("idx") / 30.0)
     return rows.select("event_id", "user_id", F.round(time, 6).alias("time_s"))
 
