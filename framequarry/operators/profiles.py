@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ERF = np.vectorize(math.erf, otypes=[float])
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    return np.array([math.erf(v) for v in x.ravel().tolist()]).reshape(x.shape)
 
 
 def per_curve(df: DataFrame, key: str, order: str, values: list[str], work, schema: str) -> DataFrame:
@@ -109,7 +111,7 @@ def blurred_box(t: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A dark box of depth q[2], centre q[3], width q[4], blurred by q[5], on a straight line q[0] + q[1] t; and its derivatives."""
     r = math.sqrt(2) * q[5]
     a, b = (t - q[3] + q[4] / 2) / r, (t - q[3] - q[4] / 2) / r
-    box, ea, eb = _ERF(a) - _ERF(b), np.exp(-a * a), np.exp(-b * b)
+    box, ea, eb = _erf(a) - _erf(b), np.exp(-a * a), np.exp(-b * b)
     k = 2 / math.sqrt(math.pi)
     by_centre, by_width, by_blur = -k / r * (ea - eb), k / (2 * r) * (ea + eb), -k / q[5] * (a * ea - b * eb)
     return q[0] + q[1] * t - q[2] / 2 * box, np.stack([np.ones_like(t), t, -box / 2, -q[2] / 2 * by_centre, -q[2] / 2 * by_width, -q[2] / 2 * by_blur], axis=1)

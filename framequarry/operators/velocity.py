@@ -285,6 +285,8 @@ def transit_ratio(k: np.ndarray, joint: int, v: float, skip: int = 4) -> tuple[f
 
     def pair(p: int, q: int) -> float:
         delay = (q - p) / v
+        if abs(delay) >= n // 3:
+            return float("nan")  # too few rows see both
         half = max(1.0, 0.5 * abs(delay))
         lag = [g for g in range(int(np.floor(delay - half)), int(np.ceil(delay + half)) + 1) if abs(g) < n // 3]
         x, y = a[:, p] - a[:, p].mean(), a[:, q] - a[:, q].mean()

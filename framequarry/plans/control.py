@@ -101,3 +101,59 @@ def stage_metrics(spark, sf_dir):
         one = spark.createDataFrame([(kind, got["n"], round(got["m"], 6))], "stage string, rows_seen long, largest double")
         out = one if out is None else out.union(one)
     return out
+
+
+_CONTROLS = "select event_id, event_type || ' 0x0098' || lpad(cast(event_id % 10000 as varchar), 4, '0') || ' (int)    : min=0 max=' || (event_id % 256) || ' step=1 default=' || cast(floor(value) as bigint) || ' value=' || (event_id % 7) as line from events"
+
+
+@query(f"with l as ({_CONTROLS}) select event_id, regexp_extract(line, '^(\\w+)', 1) as name, regexp_extract(line, '\\((\\w+)\\)', 1) as kind, cast(regexp_extract(line, 'max=(-?\\d+)', 1) as bigint) as most, cast(regexp_extract(line, 'default=(-?\\d+)', 1) as bigint) as usual, cast(regexp_extract(line, 'value=(-?\\d+)', 1) as bigint) as value from l".replace("\\\\", "\\"))
+def control_text(spark, sf_dir):
+    """Lines of a camera tool's text as maps of settings."""
+    n = F.col("event_id")
+    line = F.concat("event_type", F.lit(" 0x0098"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit(" (int)    : min=0 max="), (n % 256).cast("string"), F.lit(" step=1 default="), F.floor("value").cast("string"), F.lit(" value="), (n % 7).cast("string"))
+    settings = F.map_from_entries(F.transform(F.regexp_extract_all(line, F.lit(r"(\w+=-?\d+)"), F.lit(1)), lambda p: F.struct(F.element_at(F.split(p, "="), 1).alias("k"), F.element_at(F.split(p, "="), 2).cast("long").alias("v"))))
+    e = table(spark, sf_dir, "events").select("event_id", line.alias("line"), settings.alias("m"))
+    return e.select("event_id", F.regexp_extract("line", r"^(\w+)", 1).alias("name"), F.regexp_extract("line", r"\((\w+)\)", 1).alias("kind"), F.col("m")["max"].alias("most"), F.col("m")["default"].alias("usual"), F.col("m")["value"].alias("value"))
+
+
+@query("select 'small' as task, 1000 as needed, true as fits union all select 'far too large', 9000000000000000000, false")
+def space_precondition(spark, sf_dir):
+    """Whether the shared folder has the room that a result needs, before anything is written."""
+    from ..functions.lineage import shared_folder
+    from ..sources import results
+
+    root = shared_folder(spark)
+    cut(spark.range(1))  # the folder exists
+    rows = [(name, need, results.enough_space(spark, root, need)) for name, need in (("small", 1000), ("far too large", 9_000_000_000_000_000_000))]
+    return spark.createDataFrame(rows, "task string, needed long, fits boolean")
+
+
+@query("""with c as (select user_id, value, row_number() over (partition by user_id order by event_id) - 1 as pos, count(*) over (partition by user_id) as n from events), k as (select c.*, g.k, greatest(0, 1 - abs(pos * 4.0::double / greatest(n - 1, 1) - g.k)) as w from c, range(0, 5) g(k))
+ select user_id, k as knot, round(sum(w * value) / sum(w), 6) as width from k where w > 0 group by 1, 2""")
+def edge_refit(spark, sf_dir):
+    """The width of each edge at five knots along it, every sample shared by the two next to it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id")
+    c = table(spark, sf_dir, "events").select("user_id", "value", (F.row_number().over(w.orderBy("event_id")) - 1).alias("pos"), F.count(F.lit(1)).over(w).alias("n"))
+    at = F.col("pos") * 4.0 / F.greatest(F.col("n") - 1, F.lit(1))
+    c = c.withColumn("at", at).withColumn("k", F.explode(F.array(F.floor("at"), F.floor("at") + 1))).withColumn("w", 1 - F.abs(F.col("at") - F.col("k"))).filter("w > 0 and k < 5")
+    return c.groupBy("user_id", F.col("k").alias("knot")).agg(F.round(F.sum(F.col("w") * F.col("value")) / F.sum("w"), 6).alias("width"))
+
+
+@query("""select cast(user_id as varchar) as client, count(*) as received, 'stopped' as state from events group by 1""")
+def client_lifecycle(spark, sf_dir):
+    """A stream that is started, drained and stopped, with what its client received."""
+    from ..streaming import live
+    from .live import _stream
+
+    import uuid
+
+    from ..functions.lineage import shared_folder
+
+    root = f"{shared_folder(spark)}/fq-client-{uuid.uuid4().hex}"
+    query_ = live.write_idempotent(_stream(spark, sf_dir).select("user_id", "event_id"), f"{root}/out", f"{root}/checkpoint", "client")
+    query_.awaitTermination()
+    state = "stopped" if not query_.isActive and query_.exception() is None else "failed"
+    got = spark.read.parquet(f"{root}/out")
+    return got.groupBy(F.col("user_id").cast("string").alias("client")).agg(F.count(F.lit(1)).alias("received")).withColumn("state", F.lit(state))

@@ -70,7 +70,7 @@ def laplacian_peak(spark, sf_dir):
 @query(f"""with {_PX}, b as (select vec_id, (pix // 8) - k as box, v from px, generate_series(0, 1) as g(k) where (pix // 8) - k between 0 and 6)
  select vec_id, cast(box as bigint) as box, round(sum(v * v) / 16, 6) as energy, round(max(abs(v)), 6) as peak from b group by 1, 2""")
 def box_energy(spark, sf_dir):
-    """Energy in boxes that overlap by half: each pixel goes to its two."""
+    """Energy in boxes that overlap by half: each pixel goes to its two."""
     b = _pixels(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("box", F.floor(F.col("pix") / 8) - F.col("k")).filter("box between 0 and 6")
     return b.groupBy("vec_id", "box").agg(F.round(F.sum(F.col("v") * F.col("v")) / 16, 6).alias("energy"), F.round(F.max(F.abs("v")), 6).alias("peak"))
 
@@ -78,7 +78,7 @@ def box_energy(spark, sf_dir):
 @query(f"""with {_PX}, m as (select vec_id, pix, v, v > 0.02 as "on" from px), r as (select *, pix - row_number() over (partition by vec_id, "on" order by pix) as run from m)
  select vec_id, cast(min(pix) as bigint) as first, count(*) as length, round(sum(v), 6) as mass from r where "on" group by vec_id, run having count(*) >= 2""")
 def components_1d(spark, sf_dir):
-    """Connected stretches of masked pixels with their size and mass."""
+    """The newest frames kept, timed by the rate that was reached."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("vec_id").orderBy("pix")

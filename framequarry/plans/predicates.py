@@ -54,7 +54,7 @@ def keep_rows_add_score(spark, sf_dir):
  j as (select p.event_id, o.off, o.value, row_number() over (partition by p.event_id order by o.us desc, o.off desc) as rn from p join o on o.user_id = p.user_id and o.us <= p.us and o.us > p.us - 43200000000)
  select event_id, off, value from j where rn = 1""")
 def newest_offset(spark, sf_dir):
-    """Each preview with the newest offset that came within half a day before it."""
+    """Each preview with the newest offset that came within half a day before it (C14)."""
     e = events(spark, sf_dir)
     span = 43_200_000_000
     p = e.filter("event_type = 'view'").select("user_id", "event_id", "us", F.floor(F.col("us") / span).alias("cell"))
@@ -67,7 +67,7 @@ def newest_offset(spark, sf_dir):
  n as (select s_suppkey, s_acctbal, k.* from supplier, k), r as (select *, abs(sin(s_acctbal * a) - cos(s_acctbal * b)) as cost from n)
  select s_suppkey, cast(arg_min(pairing, round(cost, 9)) as int) as best, round(min(cost), 6) as cost from r group by 1""")
 def best_pairing(spark, sf_dir):
-    """The best of the three pairings of a crossing's ends."""
+    """The best of the three pairings of a crossing's ends."""
     k = F.array(*[F.struct(F.lit(p).alias("pairing"), F.lit(a).alias("a"), F.lit(b).alias("b")) for p, a, b in ((0, 1, 2), (1, 2, 1), (2, 3, 1))])
     n = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.explode(k).alias("k"))
     cost = F.abs(F.sin(F.col("s_acctbal") * F.col("k.a")) - F.cos(F.col("s_acctbal") * F.col("k.b")))
@@ -79,7 +79,7 @@ def best_pairing(spark, sf_dir):
  round(stddev_pop(l_quantity) * sqrt(avg(l_extendedprice)), 4) as smear, round(sqrt(avg(l_quantity * l_quantity)), 6) as rms,
  round(1 - sum(pow(l_quantity - 25, 2)) / sum(pow(l_quantity, 2)), 6) as explained from lineitem group by 1 having sum(l_quantity) >= 1""")
 def weighted_pictures(spark, sf_dir):
-    """Weighted means, smear and residual size."""
+    """Weighted means, smear and residual size."""
     q, p, d = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
     g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(q).alias("w"), F.round(F.sum(p * q) / F.sum(q), 4).alias("weighted"), F.round(F.sum(p * (1 - d)) / F.sum(1 - d), 4).alias("tissue"), F.round(F.stddev_pop(q) * F.sqrt(F.avg(p)), 4).alias("smear"), F.round(F.sqrt(F.avg(q * q)), 6).alias("rms"), F.round(1 - F.sum(F.pow(q - 25, 2)) / F.sum(F.pow(q, 2)), 6).alias("explained"))
     return g.filter("w >= 1").drop("w")
@@ -105,7 +105,7 @@ def per_vessel_median(spark, sf_dir):
  p as (select *, row_number() over (partition by user_id order by event_id) - 1 as pos from w), r as (select *, row_number() over (partition by user_id order by round(m, 9) desc, event_id) as rn from p where n = 8 and pos % 3 = 0)
  select user_id, event_id as first, round(m, 6) as score from r where rn = 1""")
 def best_block(spark, sf_dir):
-    """The best run of eight frames, tried at every third."""
+    """The best run of eight frames, tried at every third."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     ahead = w.rowsBetween(0, 7)
     p = events(spark, sf_dir).select("user_id", "event_id", F.avg("value").over(ahead).alias("m"), F.count(F.lit(1)).over(ahead).alias("n"), (F.row_number().over(w) - 1).alias("pos"))

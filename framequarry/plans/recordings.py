@@ -429,3 +429,11 @@ def negative_control(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["line", "flowing", "velocity", "agree", "reliable"])
 
     return spark.range(0, 16, 1, 4).mapInArrow(task, "line long, flowing boolean, velocity double, agree long, reliable boolean")
+
+
+@query()
+def drawn_recordings(spark, sf_dir):
+    """The drawn recordings themselves: how far each frame has moved, how bright it is and whether it blinks."""
+    f = synthetic.case_frames(spark)
+    scores = registration.working_frames(f, 120).select("burst", "index", "log_sharpness", "brightness")
+    return f.select("burst", "index", F.round("true_dy", 3).alias("dy"), F.round("true_dx", 3).alias("dx"), "blink").join(scores, ["burst", "index"]).withColumn("log_sharpness", F.round("log_sharpness", 3)).withColumn("brightness", F.round("brightness", 4))

@@ -109,7 +109,7 @@ def summary_order(spark, sf_dir):
 @query("""select s.status, count(*) as bursts, round(median(stability), 4) as median, min(stability) as least, max(stability) as most from
  (select o_custkey, case when count(*) >= 10 then 'ok' else 'skipped' end as status, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) // count(*) as stability from orders group by 1) s group by 1""")
 def cross_burst_summary(spark, sf_dir):
-    """Counts and range of an index over recordings."""
+    """Counts and range of an index over recordings."""
     s = _stability(spark, sf_dir)
     return s.groupBy("status").agg(F.count(F.lit(1)).alias("bursts"), F.round(F.median("stability"), 4).alias("median"), F.min("stability").alias("least"), F.max("stability").alias("most"))
 
@@ -133,14 +133,14 @@ def summarize_problems(spark, sf_dir):
 
 @query(f"""with {EVENTS}, p as (select user_id, event_type, value, event_id, row_number() over (partition by user_id order by value desc, event_id) as rn from e) select user_id, event_id, value, rn as rank from p where rn <= 3""")
 def reservoir_topk_per_group(spark, sf_dir):
-    """The best k of each group."""
+    """The best k of each group."""
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
     return events(spark, sf_dir).withColumn("rank", rn.cast("long")).filter("rank <= 3").select("user_id", "event_id", "value", "rank")
 
 
 @query(f"""with {EVENTS} select user_id, max_by(event_id, value) as reference, max(value) as score from e group by 1 having count(distinct value) = count(*)""")
 def arg_max_reference(spark, sf_dir):
-    """The reference frame: the one of the best score."""
+    """The reference frame: the one of the best score."""
     g = events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_id", "value").alias("reference"), F.max("value").alias("score"), F.count_distinct("value").alias("d"), F.count(F.lit(1)).alias("n"))
     return g.filter("d = n").select("user_id", "reference", "score")
 

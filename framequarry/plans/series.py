@@ -159,7 +159,7 @@ def split_half_variance(spark, sf_dir):
 @query(f"""with {EVENTS}, b as (select user_id, cast(floor(value / 2.5) as bigint) as bin, count(*) as n from e group by 1, 2),
  r as (select *, row_number() over (partition by user_id order by n desc, bin) as rn from b) select user_id, bin as mode_bin, n as mode_count from r where rn = 1""")
 def histogram_mode_floor(spark, sf_dir):
-    """The fullest bin as noise floor."""
+    """The fullest bin as noise floor."""
     return stats.histogram_mode(events(spark, sf_dir), ["user_id"], "value", 2.5)
 
 
@@ -238,7 +238,7 @@ def interpolated_gaps(spark, sf_dir):
 @query("""select cast(label as bigint) as label, cast(json_extract_string(props, '$.k') as bigint) % 2 as half, count(*) as n, round(avg(value), 6) as mean
  from events join (select distinct label from embeddings) on event_id % 10 = label group by 1, 2""")
 def broadcast_constants(spark, sf_dir):
-    """Constants of a small table joined to every row."""
+    """Constants of a small table joined to every row."""
     labels = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label")).distinct()
     e = events(spark, sf_dir).withColumn("label", F.col("event_id") % 10).withColumn("half", F.get_json_object("props", "$.k").cast("long") % 2)
     return e.join(labels, "label").groupBy("label", "half").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
@@ -249,7 +249,7 @@ def broadcast_constants(spark, sf_dir):
  r as (select *, sum(case when gap > 3 then 1 else 0 end) over (partition by user_id order by pos rows unbounded preceding) as run from h)
  select user_id, min(event_id) as first, max(event_id) as last, count(*) as bright from r group by user_id, run""")
 def bright_runs(spark, sf_dir):
-    """Bright runs, merged across short gaps."""
+    """Bright runs, merged across short gaps."""
     w = Window.partitionBy("user_id").orderBy("pos")
     e = events(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("value > 12")
     rows = e.withColumn("run", stats.islands(F.coalesce(F.col("pos") - F.lag("pos").over(w) > 3, F.lit(False)), w))
@@ -259,7 +259,7 @@ def bright_runs(spark, sf_dir):
 @query(f"""with {EVENTS}, s as (select user_id, abs(value - lag(value) over (partition by user_id order by event_id)) as step, lead(value, 2) over (partition by user_id order by event_id) - value as closure from e)
  select user_id, round(median(step), 6) as step_median, round(quantile_cont(step, 0.9), 6) as step_p90, round(median(abs(closure)), 6) as closure_median from s group by 1""")
 def residual_steps(spark, sf_dir):
-    """Medians and tails of steps between neighbours and over triples."""
+    """Medians and tails of steps between neighbours and over triples."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     s = events(spark, sf_dir).select("user_id", F.abs(F.col("value") - F.lag("value").over(w)).alias("step"), (F.lead("value", 2).over(w) - F.col("value")).alias("closure"))
     return s.groupBy("user_id").agg(F.round(F.median("step"), 6).alias("step_median"), F.round(F.percentile("step", F.lit(0.9)), 6).alias("step_p90"), F.round(F.median(F.abs("closure")), 6).alias("closure_median"))
@@ -269,7 +269,7 @@ def residual_steps(spark, sf_dir):
  c as (select *, lag(state) over (partition by user_id order by us, event_id) as before from s)
  select user_id, event_id, state from c where before is null or before <> state""")
 def state_changes(spark, sf_dir):
-    """Only the changes of a stream's state."""
+    """Only the changes of a stream's state."""
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
     s = events(spark, sf_dir).withColumn("state", F.when(F.col("value") > 4, "locked").otherwise("lost"))
     return s.withColumn("before", F.lag("state").over(w)).filter("before is null or before <> state").select("user_id", "event_id", "state")
@@ -287,7 +287,7 @@ def relock_epochs(spark, sf_dir):
 @query(f"""with {EVENTS}, r as (select *, row_number() over (partition by user_id order by us desc, event_id desc) as rn, count(*) over (partition by user_id) as n, min(us) over (partition by user_id) as t0, max(us) over (partition by user_id) as t1 from e)
  select user_id, event_id, round((n - rn) * ((t1 - t0) / 1e6 / greatest(n - 1, 1)), 3) as due_s from r where rn <= 20""")
 def retimed_newest(spark, sf_dir):
-    """The newest frames kept, timed by the rate that was reached."""
+    """The newest frames kept, timed by the rate that was reached."""
     w = Window.partitionBy("user_id")
     r = events(spark, sf_dir).withColumn("rn", F.row_number().over(w.orderBy(F.desc("us"), F.desc("event_id")))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("t0", F.min("us").over(w)).withColumn("t1", F.max("us").over(w))
     step = (F.col("t1") - F.col("t0")) / 1e6 / F.greatest(F.col("n") - 1, F.lit(1))

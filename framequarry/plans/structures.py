@@ -24,7 +24,7 @@ def radius_join_grid(spark, sf_dir):
 @query(f"""with {_PAIRS}, s as (select a, b, dist from r union all select b, a, dist from r)
  select a, b, rank from (select a, b, row_number() over (partition by a order by dist, b) as rank from s) where rank <= 4""")
 def knn_join(spark, sf_dir):
-    """The four nearest within reach."""
+    """The four nearest within reach (C11)."""
     pairs = spatial.radius_pairs(_points(spark, sf_dir), "vec_id", "x", "y", 0.03)
     return spatial.nearest(pairs, 4).select("a", "b", F.col("rank").cast("long").alias("rank"))
 
@@ -34,7 +34,7 @@ def knn_join(spark, sf_dir):
  select *, case when n_in > 0 and n_out > 0 and greatest(q_in, q_out) > 0 then round((q_in - q_out) / greatest(q_in, q_out), 6) end as residual,
  case when n_in = 0 and n_out = 1 then 'inlet' when n_in = 1 and n_out = 0 then 'outlet' when n_in = 0 then 'source' when n_out = 0 then 'sink' when n_out > n_in then 'divergent' else 'convergent' end as kind from b""")
 def flow_balance_nodes(spark, sf_dir):
-    """Flow in and out of each node, its residual and kind."""
+    """Flow in and out of each node, its residual and kind."""
     e = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
     return graph.node_balance(e, "l_partkey", "l_suppkey", "q").withColumn("residual", r6("residual"))
 
@@ -78,7 +78,7 @@ def tracer_positions(spark, sf_dir):
        from lineitem join s on s.edge = l_partkey where (case when l_returnflag = 'A' then -1 else 1 end) = sign(net) group by 1)
  select s.edge, net, n, round(vw / w * sign(net), 6) as flow, net * net > 40 * n as kept from s join k using (edge)""")
 def dominant_flow(spark, sf_dir):
-    """Weighted mean of the dominant sign, and the gain test that keeps an edge."""
+    """Weighted mean of the dominant sign, and the gain test that keeps an edge."""
     q = F.col("l_quantity").cast("long")
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("edge"), q.alias("q"), F.when(F.col("l_returnflag") == "A", -1).otherwise(1).alias("sign"), "l_linenumber")
     s = li.groupBy("edge").agg(F.sum(F.col("q") * F.col("sign")).alias("net"), F.count(F.lit(1)).alias("n"))
@@ -105,7 +105,7 @@ _MEASURED = f"{_ORDERS}, i as (select u || ':' || v as e, u, v, cast(u % 13 + v
 @query(f"""with {_ORDERS}, n as (select u as node from g union all select v from g), d as (select node, count(*) as degree from n group by 1)
  select node, degree, case degree when 1 then 'end' when 2 then 'link' when 3 then 'branch' else 'crossing' end as kind from d""")
 def degree_node_kind(spark, sf_dir):
-    """Kind of a node by its degree."""
+    """Kind of a node by its degree."""
     return graph.degree_kinds(_orders(spark, sf_dir), "u", "v")
 
 
@@ -143,7 +143,7 @@ def graph_components(spark, sf_dir):
 @query(f"""with {_MEASURED}, n as (select e, u as node, len from i union all select e, v, len from i)
  select node, min(e) as a, max(e) as b, cast(sum(len) as bigint) as length from n group by 1 having count(*) = 2 and min(e) <> max(e)""")
 def merge_degree_two(spark, sf_dir):
-    """Pairs of edges that a node of degree two makes one (M3, M4, M6, M7)."""
+    """Pairs of edges that a node of degree two makes one (M3)."""
     return graph.passed_through(_measured(spark, sf_dir), "e", "u", "v", "len")
 
 
