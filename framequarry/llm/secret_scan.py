@@ -107,8 +107,10 @@ def link_parts(found: DataFrame, keys: list[str], scope: int) -> DataFrame:
 def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, n_secret, n_endpoint, base, spans (arrays of start, rank, end).
 
-    Null texts count as empty and have no spans. Rows of equal identifier and text have equal results. ``rank`` is the
-    position in KINDS; offsets are code points, ends exclusive. A base span stays even where a linked one overlaps it.
+    Null texts count as empty and have no spans. Rows of equal identifier and text have equal results; null identifiers
+    stay null. ``rank`` is the position in KINDS; offsets are code points, ends exclusive. A base span stays even where a
+    linked one overlaps it. Texts are searched whole, however long. Other columns, whatever their names, are not read.
+    Empty input gives no rows.
     """
     base = df.select(df[id_col].cast("long").alias("i"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("t"))
     found = find_spans(base.withColumn("h", F.xxhash64("t"))).drop("t")
