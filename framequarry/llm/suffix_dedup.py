@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .suffix_kernels import IN_MEMORY, MOST_NAMES, Scratch, first_owner, pieces, runs_of
 from .text_kernels import U, chunks, mix64, string_bytes
 
@@ -285,8 +285,11 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups or 1 + (docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // GROUP_BYTES
     bucketed = docs.mapInArrow(_with_bucket(groups), "id long, key long, t string, bucket int")
     marks = materialise(docs.mapInArrow(_deal(width, gram, groups), _RUNS).groupBy("shard").applyInArrow(_decide(groups), _MARKS), "marks")
+    release(df.sparkSession)  # the runs' shuffle is the largest of all
     strings = bucketed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_cut(width, groups), _STRINGS)
     sorted_ = materialise(strings.groupBy("shard").applyInArrow(_sort(width, groups, in_memory, most_names), _MARKS), "sorted")
+    del strings
+    release(df.sparkSession)
     rows = bucketed.groupBy("bucket").cogroup(marks.union(sorted_).groupBy("bucket")).applyInArrow(_remove(width), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return rows.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
