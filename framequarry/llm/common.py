@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from bisect import bisect_left
 
@@ -46,12 +45,6 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files of finished stages deleted now; Spark does so once the driver's JVM collects garbage, which may be late."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def hot_keys(df: DataFrame, on: list[str], counts: DataFrame | None = None, total: int | None = None) -> list:
     """Values of ``on`` that hold more than HOT of df's rows: 1 / HOT at most, whatever the size.
 
