@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_left
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: key are dealt to where its partner cannot be broadcast.
 HOT, LEAST_HOT, SALTS = 1 / 1000, 1000, 32
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set and the master is local."""
@@ -25,11 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+@contextmanager
+def releasing(spark: SparkSession):
+    """Shuffle files of what is executed herein go when its execution ends, not when the driver next collects garbage.
+
+    Each execution of a DataFrame plans shuffles of its own, so none that is needed later is lost.
+    """
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_RELEASE)
+        else:
+            spark.conf.set(_RELEASE, before)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fq-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with releasing(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fq_path = path  # type: ignore[attr-defined]
     return out
