@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .licenses import COPYRIGHT, HINT, LOWER, MARKS, RESERVED, UPPER, license_scan
 from .image_copies import image_copies, vectors_as_images
 from .known_licenses import DIGESTS, NOTICES, SPELLINGS, TEXTS
+from .merkle import FIELDS, digest_of, folded, merkle_manifest, siblings_digest
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .secret_scan import ACCESS, ASSIGN, ENDPOINT, secret_scan, spans_text
@@ -75,6 +76,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), Vocabulary.load(MODEL))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 3 divides the checksum of the identifier, the text of a row is lower-cased after the manifest is made."""
+    docs = documents(spark, sf_dir)
+    tampered = [F.translate(docs[f], UPPER, LOWER) if f == "text" else docs[f] for f in FIELDS]
+    probe = F.when(F.crc32(docs["doc_id"].cast("string")) % 3 == 0, digest_of(*tampered))
+    out = merkle_manifest(docs, tampered=probe)
+    root = folded(F.coalesce("probe", "leaf"), F.col("proof"))
+    return out.select("doc_id", "leaf", "subroot", "root", siblings_digest(F.col("proof")).alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_hyperminhash_dedup": op1_hyperminhash_dedup,
@@ -87,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op8_content_sort_dedup": op8_content_sort_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_sentencepiece": op10_sentencepiece,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
@@ -140,6 +152,35 @@ def _secret_sql() -> str:
         from d left join b using (doc_id) left join l using (doc_id) left join a using (doc_id)"""
 
 
+def _field_sql(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+
+
+def _merkle_sql() -> str:
+    leaf = "sha256(" + " || ".join(_field_sql(f) for f in FIELDS) + ")"
+    probe = "sha256(" + " || ".join(_field_sql(f"translate(text, '{UPPER}', '{LOWER}')" if f == "text" else f) for f in FIELDS) + ")"
+    bits = "flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_transform(range(8), lambda k: (ascii(c)::bigint >> k) & 1)))"
+    crc = f"xor(list_reduce([4294967295::bigint] || {bits}, lambda x, b: xor(x >> 1, (xor(x, b) & 1) * 3988292384::bigint)), 4294967295::bigint)"
+    tree = lambda base: f"select * from ({base}) union all select g, lvl + 1, i // 8, sha256(string_agg(h, '' order by i)), (n + 7) // 8 from {{t}} where n > 1 group by g, lvl, i // 8, n"
+    sides = lambda t: f"""select a.g, a.lvl, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as l, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as r
+                          from {t} a join {t} b on a.g = b.g and a.lvl = b.lvl and a.i // 8 = b.i // 8 where a.n > 1 group by 1, 2, 3"""
+    return f"""
+        with recursive d as (select doc_id, coalesce('=' || lang, '') as g, {leaf} as leaf, case when {crc} % 3 = 0 then {probe} end as probe from documents),
+        o as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as n from d),
+        t(g, lvl, i, h, n) as ({tree("select g, 0::bigint, i, leaf, n from o").format(t="t")}),
+        s as (select g, h as subroot, row_number() over (order by g) - 1 as i, count(*) over () as n from t where n = 1),
+        u(g, lvl, i, h, n) as ({tree("select '', 0::bigint, i, subroot, n from s").format(t="u")}),
+        tp as ({sides("t")}), up as ({sides("u")}),
+        p as (select o.g, o.i, tp.lvl as step, tp.l, tp.r from o join tp on tp.g = o.g and tp.i = o.i // (8 ** tp.lvl)::bigint
+              union all select o.g, o.i, 1000 + up.lvl, up.l, up.r from o join s using (g) join up on up.i = s.i // (8 ** up.lvl)::bigint),
+        q as (select *, row_number() over (partition by g, i order by step) as k from p),
+        f(g, i, k, h) as (select g, i, 0::bigint, coalesce(probe, leaf) from o union all select f.g, f.i, q.k, sha256(q.l || f.h || q.r) from f join q on q.g = f.g and q.i = f.i and q.k = f.k + 1),
+        e as (select g, i, max_by(h, k) as folded_root from f group by 1, 2),
+        c as (select g, i, string_agg(l || r, '' order by k) as proof from q group by 1, 2)
+        select doc_id, leaf, subroot, (select h from u where n = 1) as root, sha256(coalesce(proof, '')) as proof_sha256, folded_root, folded_root = (select h from u where n = 1) as verified
+        from o join s using (g) join e on e.g = o.g and e.i = o.i left join c on c.g = o.g and c.i = o.i"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those of op1, op3, op4 compare everything with everything, so they are for small tables only."""
     return {
@@ -189,6 +230,7 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                    doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
             from d""",
+        "op12_merkle_manifest": _merkle_sql(),
         "op9_license_scan": f"""
             with d as (select doc_id, coalesce(text, '') as t from documents),
             lines as (select doc_id, unnest(list_filter(string_split(translate(t, '{UPPER}', '{LOWER}'), chr(10)), lambda x: regexp_matches(x, '{HINT}'))) as l from d),
