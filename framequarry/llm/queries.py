@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .licenses import COPYRIGHT, HINT, LOWER, MARKS, RESERVED, UPPER, license_scan
 from .image_copies import image_copies, vectors_as_images
 from .known_licenses import DIGESTS, NOTICES, SPELLINGS, TEXTS
+from .line_dedup import LineIndex, dedup_lines, insert, references
 from .merkle import FIELDS, digest_of, folded, merkle_manifest, siblings_digest
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -76,6 +77,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), Vocabulary.load(MODEL))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    refs = references(docs)
+    out = dedup_lines(insert(LineIndex.empty(spark), refs), docs, refs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where 3 divides the checksum of the identifier, the text of a row is lower-cased after the manifest is made."""
     docs = documents(spark, sf_dir)
@@ -98,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op8_content_sort_dedup": op8_content_sort_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_line_dedup": op11_line_dedup,
         "op12_merkle_manifest": op12_merkle_manifest,
     }
 
@@ -230,6 +239,13 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                    doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
             from d""",
+        "op11_line_dedup": f"""
+            with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+            e as (select doc_id, i, l[i] as line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') as k from d, unnest(range(1, len(d.l) + 1)) as u(i)),
+            r as (select k, max(doc_id) as top from e where length(k) >= 20 group by 1 having count(distinct doc_id) >= 3),
+            m as (select e.*, coalesce(r.top <> doc_id, false) as gone from e left join r using (k))
+            select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+            from m group by 1""",
         "op12_merkle_manifest": _merkle_sql(),
         "op9_license_scan": f"""
             with d as (select doc_id, coalesce(text, '') as t from documents),
