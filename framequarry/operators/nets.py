@@ -1,4 +1,4 @@
-"""Graph operators that need a whole component at once: exact matching of ends, chains, skeletons as graphs.
+"""Graph operators that need a whole component at once: exact matching of ends, skeletons as graphs.
 
 Components come from a fix point over tables; what is here runs on one component's rows, so a component must fit a task.
 """
@@ -272,60 +272,6 @@ def matching(candidates: DataFrame, a: str, b: str, weight: str, write=cut) -> D
     return _by_component(best, "a", "b", write).groupBy("component").applyInArrow(solve, "a long, b long, weight double")
 
 
-def ordered_chains(links: list[tuple[int, int, float]]) -> list[tuple[int, int, int, bool]]:
-    """(chain, place, edge, reversed) from links (end, end, cost); end 2e is the first of edge e, 2e + 1 its last.
-
-    A cycle is cut at its most expensive link, the first of equals by its ends.
-    """
-    other = {}
-    for a, b, c in links:
-        other[a], other[b] = (b, c), (a, c)
-    edges = sorted({e // 2 for e in other})
-    out, seen = [], set()
-
-    def walk(edge: int, entry: int) -> None:
-        """From the free end ``entry`` of an edge on."""
-        first, place, end = edge, 0, entry
-        while True:
-            seen.add(end // 2)
-            out.append((first, place, end // 2, bool(end % 2)))
-            step = other.get(end ^ 1)
-            if step is None or step[0] // 2 in seen:
-                return
-            end, place = step[0], place + 1
-
-    for e in edges:
-        for end in (2 * e, 2 * e + 1):
-            if e not in seen and end not in other:
-                walk(e, end)
-    for e in edges:
-        if e in seen:
-            continue
-        ring, end = [], 2 * e  # only cycles are left
-        while True:
-            step = other[end ^ 1]
-            ring.append((-step[1], min(end ^ 1, step[0]), max(end ^ 1, step[0])))
-            end = step[0]
-            if end // 2 == e:
-                break
-        _, a, b = min(ring)
-        del other[a], other[b]
-        walk(a // 2, a)
-    return out
-
-
-def chains(links: DataFrame, write=cut) -> DataFrame:
-    """chain (its first edge), place, edge, reversed of links (a, b: ends as above; cost)."""
-    edges = write(links.select("a", "b", F.col("cost").cast("double").alias("cost"), F.floor(F.col("a") / 2).alias("ea"), F.floor(F.col("b") / 2).alias("eb")))
-
-    def run(table: pa.Table) -> pa.Table:
-        got = ordered_chains(sorted(zip(*(table.column(c).to_pylist() for c in ("a", "b", "cost")), strict=True)))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-        return pa.Table.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(kinds)], names=["chain", "place", "edge", "reversed"])
-
-    return _by_component(edges, "ea", "eb", write).groupBy("component").applyInArrow(run, "chain long, place long, edge long, reversed boolean")
-
-
 def skeleton_graph(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(edge, u, v, pixels) of a mask's skeleton: junction clusters are nodes 1000 + k, free ends -(k + 1); a loop has two equal ends.
 

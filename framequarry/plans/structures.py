@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curves, graph, spatial
+from ..operators import chains, curves, graph, spatial
 from .registry import EVENTS, events, query, r6, table
 
 _POINTS = "p as (select vec_id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, label from embeddings)"
@@ -165,3 +165,42 @@ def cheapest_pair(spark, sf_dir):
     """The cheapest candidate of each unordered pair."""
     c = table(spark, sf_dir, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), F.col("l_extendedprice").alias("cost"))
     return c.groupBy("a", "b").agg(F.min("cost").alias("cost"))
+
+
+_LINKED = """o as (select o_orderkey as k, o_custkey % 50 as g, o_totalprice as cost, 2 * o_orderkey + o_orderkey % 2 as d, row_number() over (partition by o_custkey % 50 order by o_orderdate, o_orderkey) as n, count(*) over (partition by o_custkey % 50) as m from orders),
+ l as (select x.g, xor(x.d, 1) as a, y.d as b, x.cost from o x join o y on x.g = y.g and (y.n = x.n + 1 or (x.n = x.m and y.n = 1 and x.g % 3 = 0))),
+ c as (select * from (select *, row_number() over (partition by g order by cost desc, least(a, b), greatest(a, b)) as r from l) where not (g % 3 = 0 and r = 1)),
+ k as (select a as e, b as f from c union all select b, a from c)"""
+
+
+@query(f"""with recursive {_LINKED}, f as (select xor(d, x) as head from o, (values (0), (1)) as t(x) where xor(d, x) not in (select e from k)),
+ w(head, place, d) as (select head, 0, head from f union all select w.head, place + 1, k.f from w join k on k.e = xor(w.d, 1)),
+ t as (select head, arg_max(xor(d, 1), place) as out from w group by 1)
+ select w.head // 2 as chain, place, d // 2 as edge, d % 2 = 1 as reversed from w join t using (head) where w.head <= t.out and (w.head // 2) in (select e // 2 from k)""")
+def ranked_chains(spark, sf_dir):
+    """Orders linked end to end by date, 50 chains or rings: rings cut at their dearest link, the place of each."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("g").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 50).alias("g"), F.col("o_totalprice").alias("cost"), (F.col("o_orderkey") * 2 + F.col("o_orderkey") % 2).alias("d"))
+    first = F.first("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    b = F.coalesce(F.lead("d").over(w), F.when(F.col("g") % 3 == 0, first))
+    links = o.select(F.col("d").bitwiseXOR(F.lit(1)).alias("a"), b.alias("b"), "cost").filter("b is not null")
+    return chains.ranked_chains(links)
+
+
+@query(f"""with {EVENTS}, s as (select event_id, user_id, event_type = 'error' and lag(event_id) over w is not null and lead(event_id) over w is not null as branch, lag(event_id) over w as before, event_type = 'error' or lag(event_id) over w is null or lead(event_id) over w is null as stop from e window w as (partition by user_id order by us, event_id)),
+ g as (select *, sum(case when stop then 1 else 0 end) over (partition by user_id order by us, event_id rows between unbounded preceding and 1 preceding) as part from (select s.*, us from s join e using (event_id))),
+ p as (select min(event_id) as least_edge, arg_min(before, us) as u, arg_max(event_id, us) as v, count(*) as edges, sum(event_id % 7 + 1) as length from g where before is not null group by user_id, part),
+ a as (select least(u, v) as u, greatest(u, v) as v, edges, length from p union all select event_id, 1000000000 + event_id, 1, 1 from s where branch)
+ select u, v, edges, cast(length as bigint) as length from a""")
+def contracted_edges(spark, sf_dir):
+    """Paths of a user's events, with a branch at each error inside: every node that joins just two edges is passed through (M3, M6)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    e = events(spark, sf_dir).withColumn("inner", F.lag("event_id").over(w).isNotNull() & F.lead("event_id").over(w).isNotNull())
+    along = e.select((F.col("event_id") * 2).alias("edge"), F.lag("event_id").over(w).alias("u"), F.col("event_id").alias("v"), (F.col("event_id") % 7 + 1).alias("length")).filter("u is not null")
+    away = e.filter("event_type = 'error' and inner").select((F.col("event_id") * 2 + 1).alias("edge"), F.col("event_id").alias("u"), (F.col("event_id") + 1_000_000_000).alias("v"), F.lit(1).cast("long").alias("length"))
+    out = chains.contracted(along.unionByName(away), "edge", "u", "v", "length")
+    return out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "edges", "length")

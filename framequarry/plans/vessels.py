@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import graph, kernels, nets, profiles, velocity
+from ..operators import chains, graph, kernels, nets, profiles, velocity
 from ..operators import pictures as P
 from .pictures import PX, pictures
 from .registry import events, query, r6, table
@@ -405,7 +405,7 @@ def end_matching(spark, sf_dir):
 @query()
 def consolidated_chains(spark, sf_dir):
     """Curves chained through their matched ends, cycles cut at the dearest link."""
-    return nets.chains(cut(_matched(spark, sf_dir).select("a", "b", (4 - F.col("weight")).alias("cost"))))
+    return chains.ranked_chains(cut(_matched(spark, sf_dir).select("a", "b", (4 - F.col("weight")).alias("cost"))))
 
 
 @query()

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framequarry import plans
-from framequarry.operators import nets, ranks
+from framequarry.operators import chains, nets, ranks
 
 
 def best_weight(edges):
@@ -37,7 +37,7 @@ def test_chains_and_cycles(spark):
     end = lambda e, last: 2 * e + last
     links = [(end(1, 1), end(2, 0), 1.0), (end(2, 1), end(3, 1), 2.0), (end(5, 1), end(6, 0), 1.0), (end(6, 1), end(7, 0), 9.0), (end(7, 1), end(5, 0), 2.0), (end(8, 0), end(8, 1), 1.0)]
     got = {}
-    for r in nets.chains(spark.createDataFrame(links, "a long, b long, cost double")).collect():
+    for r in chains.ranked_chains(spark.createDataFrame(links, "a long, b long, cost double")).collect():
         got.setdefault(r.chain, []).append((r.place, r.edge, r.reversed))
     got = {k: [(e, v) for _, e, v in sorted(x)] for k, x in got.items()}
     assert [(1, False), (2, False), (3, True)] in got.values() or [(3, False), (2, True), (1, True)] in got.values()
