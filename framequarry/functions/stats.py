@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .quantiles import grouped_quantiles, large_groups
+
 #: Of a normal distribution: standard deviation / median absolute deviation.
 MAD_TO_SD = 1.4826
 #: A deviation this small counts as none.
@@ -19,11 +21,22 @@ def clean(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def medians_mads(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys and, for each value, <value>_med and <value>_mad: two selections of ranks; the median of deviations cannot nest in one.
+
+    Groups may have any size. Keys that are null make no group.
+    """
+    df = df.select(*keys, *values)
+    large = large_groups(df, keys)
+    med = grouped_quantiles(df, keys, {f"{v}_med": (v, 0.5) for v in values}, large)
+    far = df.join(med, keys).select(*keys, *[F.abs(F.col(v) - F.col(f"{v}_med")).alias(v) for v in values])
+    mad = grouped_quantiles(far, keys, {f"{v}_mad": (v, 0.5) for v in values}, large)
+    return med.join(mad, keys)
+
+
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, med, mad: two aggregations; the median of deviations cannot nest in one."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("med"))
-    both = df.join(med, keys)
-    return both.groupBy(*keys).agg(F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    """keys, med, mad."""
+    return medians_mads(df, keys, [value]).select(*keys, F.col(f"{value}_med").alias("med"), F.col(f"{value}_mad").alias("mad"))
 
 
 def robust_z(value: Column, med: Column, mad: Column) -> Column:

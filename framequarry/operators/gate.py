@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import median_mad, robust_z
+from ..functions.stats import medians_mads, robust_z
 
 
 @dataclass(frozen=True)
@@ -27,9 +27,10 @@ def gate(df: DataFrame, key: str, log_sharpness: str, brightness: str, params: G
     are no reason to reject.
     """
     p = params or GateParams()
-    for name, column in (("sharpness", log_sharpness), ("brightness", brightness)):
-        stats = median_mad(df.select(key, column), [key], column).select(key, F.col("med").alias(f"{name}_med"), F.col("mad").alias(f"{name}_mad"))
-        df = df.join(stats, key)
+    pairs = {"sharpness": log_sharpness, "brightness": brightness}
+    stats = medians_mads(df, [key], list(pairs.values()))
+    df = df.join(stats.select(key, *[F.col(f"{c}_{s}").alias(f"{name}_{s}") for name, c in pairs.items() for s in ("med", "mad")]), key)
+    for name, column in pairs.items():
         df = df.withColumn(f"{name}_z", robust_z(F.col(column), F.col(f"{name}_med"), F.col(f"{name}_mad")))
     ratio = F.exp(F.col(log_sharpness) - F.col("sharpness_med"))
     change = F.abs(F.col(brightness) / F.greatest(F.col("brightness_med"), F.lit(1e-9)) - 1)

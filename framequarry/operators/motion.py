@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import grouped_quantiles, large_groups
 from ..functions.stats import islands, median_mad, robust_threshold
 
 
@@ -18,17 +19,17 @@ def speeds(df: DataFrame, key: str, order: str, seconds: str, x: str, y: str) ->
 
 def motion_metrics(df: DataFrame, key: str, order: str, seconds: str, x: str, y: str, mad_k: float = 6.0) -> DataFrame:
     """One row a recording of three rows or more: displacement, range, speed, jitter, saccades and drift."""
-    centre = df.groupBy(key).agg(F.median(x).alias("cx"), F.median(y).alias("cy"))
+    large = large_groups(df, [key])
+    centre = grouped_quantiles(df, [key], {"cx": (x, 0.5), "cy": (y, 0.5)}, large)
     moved = df.join(centre, key).withColumn("disp", F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2)))
     place = moved.groupBy(key).agg(
         F.count(F.lit(1)).alias("frames"),
-        F.median("disp").alias("displacement_median"),
-        F.percentile("disp", F.lit(0.95)).alias("displacement_p95"),
         F.max("disp").alias("displacement_max"),
         (F.max(x) - F.min(x)).alias("range_x"),
         (F.max(y) - F.min(y)).alias("range_y"),
         F.sqrt(F.pow(F.regr_slope(x, seconds), 2) + F.pow(F.regr_slope(y, seconds), 2)).alias("drift"),
     )
+    place = place.join(grouped_quantiles(moved, [key], {"displacement_median": ("disp", 0.5), "displacement_p95": ("disp", 0.95)}, large), key)
     fast = speeds(df, key, order, seconds, x, y).filter("speed is not null").select(key, "speed")
     limit = median_mad(fast, [key], "speed").select(key, F.col("med").alias("speed_median"), robust_threshold(F.col("med"), F.col("mad"), mad_k).alias("saccade_threshold"))
     jumps = fast.join(limit, key).withColumn("jump", F.col("speed") > F.col("saccade_threshold"))
@@ -54,7 +55,7 @@ def trajectory(df: DataFrame, key: str, order: str, steps: list[str]) -> DataFra
     upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for s in steps:
         df = df.withColumn(f"{s}_run", F.sum(s).over(upto))
-    mid = df.groupBy(key).agg(*[F.median(f"{s}_run").alias(f"{s}_mid") for s in steps])
+    mid = grouped_quantiles(df, [key], {f"{s}_mid": (f"{s}_run", 0.5) for s in steps}, large_groups(df, [key]))
     df = df.join(mid, key)
     for s in steps:
         df = df.withColumn(f"{s}_sum", F.col(f"{s}_run") - F.col(f"{s}_mid")).drop(f"{s}_run", f"{s}_mid")
