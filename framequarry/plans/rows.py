@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ranks, spatial
+from ..operators import neighbours, ranks, spatial
 from .pictures import PX, pictures
 from .registry import EVENTS, events, query, r6, table
 
@@ -93,11 +93,15 @@ def failing_pixels(spark, sf_dir):
     return by.select("label", "pix", F.round("ratio", 6).alias("ratio"), (F.col("ratio") > 2.5).alias("failing"))
 
 
-@query(f"""with {_NEAR}, n as (select a, lb, b, row_number() over (partition by a order by d, b) as rn from r where la % 2 = 1 and lb % 2 = 0), s as (select vec_id as p, lead(vec_id) over (partition by label order by vec_id) as q from p where label % 2 = 1)
+@query("""with p as (select vec_id, label, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings),
+ n as (select a.vec_id as a, b.vec_id as b, b.label as lb, row_number() over (partition by a.vec_id order by sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.vec_id) as rn from p a join p b on a.label % 2 = 1 and b.label % 2 = 0),
+ s as (select vec_id as p, lead(vec_id) over (partition by label order by vec_id) as q from p where label % 2 = 1)
  select s.p, s.q, x.lb as edge, case when x.b < y.b then 1 when x.b > y.b then -1 else 0 end as direction from s join n x on x.a = s.p and x.rn = 1 join n y on y.a = s.q and y.rn = 1 where x.lb = y.lb""")
 def segment_on_edge(spark, sf_dir):
     """Segments whose ends lie nearest to one edge, and whether they run along it or against it."""
-    n = _near(spark, sf_dir).filter("la % 2 = 1 and lb % 2 = 0").groupBy("a").agg(F.min(F.struct("d", "b", "lb")).alias("x"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), "label")
+    near = neighbours.k_nearest(e.filter("label % 2 = 0"), "vec_id", "x", "y", 1, e.filter("label % 2 = 1"))
+    n = near.join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").select("a", F.struct("b", "lb").alias("x"))
     s = table(spark, sf_dir, "embeddings").filter("label % 2 = 1").select(F.col("vec_id").alias("p"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("q"))
     rows = s.join(n.select(F.col("a").alias("p"), F.col("x").alias("x")), "p").join(n.select(F.col("a").alias("q"), F.col("x").alias("z")), "q").filter("x.lb = z.lb")
     return rows.select("p", "q", F.col("x.lb").alias("edge"), F.when(F.col("x.b") < F.col("z.b"), 1).when(F.col("x.b") > F.col("z.b"), -1).otherwise(0).alias("direction"))

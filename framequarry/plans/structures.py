@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chains, curves, graph, spatial
+from ..operators import chains, curves, graph, neighbours, spatial
 from .registry import EVENTS, events, query, r6, table
 
 _POINTS = "p as (select vec_id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, label from embeddings)"
@@ -21,12 +21,12 @@ def radius_join_grid(spark, sf_dir):
     return spatial.radius_pairs(_points(spark, sf_dir), "vec_id", "x", "y", 0.03).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
-@query(f"""with {_PAIRS}, s as (select a, b, dist from r union all select b, a, dist from r)
- select a, b, rank from (select a, b, row_number() over (partition by a order by dist, b) as rank from s) where rank <= 4""")
+@query(f"""with {_POINTS} select a, b, round(dist, 6) as dist, rank from (select a.vec_id as a, b.vec_id as b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as dist,
+ row_number() over (partition by a.vec_id order by sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.vec_id) as rank from p a join p b on a.vec_id <> b.vec_id) where rank <= 4""")
 def knn_join(spark, sf_dir):
-    """The four nearest within reach (C11)."""
-    pairs = spatial.radius_pairs(_points(spark, sf_dir), "vec_id", "x", "y", 0.03)
-    return spatial.nearest(pairs, 4).select("a", "b", F.col("rank").cast("long").alias("rank"))
+    """The four nearest of every point, however far (C11)."""
+    n = neighbours.k_nearest(_points(spark, sf_dir), "vec_id", "x", "y", 4)
+    return n.select("a", "b", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""with t as (select l_suppkey as node, 1 as i, 0 as o, cast(l_quantity as bigint) as q from lineitem union all select l_partkey, 0, 1, cast(l_quantity as bigint) from lineitem),
