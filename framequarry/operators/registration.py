@@ -11,6 +11,9 @@ from ..functions.lineage import cut
 from .kernels import ncc, phase_shift_2d
 from .synthetic import shifted
 
+#: Templates of so many bytes are broadcast; beyond it each is dealt out SALTS times, so that no recording is one task.
+MOST_BROADCAST, SALTS = 64 << 20, 16
+
 _PARTIAL = "burst string, height int, width int, n bigint, total binary"
 
 
@@ -55,10 +58,15 @@ def _match(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([o[k] for o in out], pa.float64()) for k in range(4)]], names=["burst", "index", "dy", "dx", "response", "ncc"])
 
 
-def shifts(frames: DataFrame, tpl: DataFrame) -> DataFrame:
+def shifts(frames: DataFrame, tpl: DataFrame, write=cut) -> DataFrame:
     """burst, index, dy, dx, response, ncc of each frame against its recording's template."""
-    cols = ["index", "height", "width", "bit_depth", "pixels"]
-    rows = frames.select("burst", *cols).join(tpl.select("burst", "height", "width", "template"), ["burst", "height", "width"])
+    cols, on = ["index", "height", "width", "bit_depth", "pixels"], ["burst", "height", "width"]
+    tpl = write(tpl.select(*on, "template"))
+    if (tpl.agg(F.sum(F.octet_length("template"))).first()[0] or 0) <= MOST_BROADCAST:
+        rows = frames.select("burst", *cols).join(F.broadcast(tpl), on)
+    else:
+        dealt = tpl.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = frames.select("burst", *cols).withColumn("salt", F.pmod("index", F.lit(SALTS))).join(dealt, [*on, "salt"])
     return rows.select("burst", *cols, "template").mapInArrow(_match, "burst string, `index` int, dy double, dx double, response double, ncc double")
 
 
@@ -71,9 +79,9 @@ def register(frames: DataFrame, rounds: int = 3, write=cut) -> DataFrame:
     frames = frames.filter(F.col("pixels").isNotNull() & (F.octet_length("pixels") == bytes_))
     none = F.lit(None).cast("double")
     first = frames.groupBy("burst").agg(F.min("index").alias("index")).join(frames, ["burst", "index"]).withColumn("dy", none).withColumn("dx", none)
-    found = write(shifts(frames, templates(first)))
+    found = write(shifts(frames, templates(first), write))
     for _ in range(rounds - 1):
-        found = write(shifts(frames, templates(frames.join(found.select("burst", "index", "dy", "dx"), ["burst", "index"]))))
+        found = write(shifts(frames, templates(frames.join(found.select("burst", "index", "dy", "dx"), ["burst", "index"])), write))
     return found
 
 
@@ -124,16 +132,22 @@ def stabilize(frames: DataFrame, most_rounds: int = 5, tolerance: float = 0.05,
     none = F.lit(None).cast("double")
     start = gated.filter("keep").groupBy("burst").agg(F.max_by("index", F.struct("log_sharpness", -F.col("index"))).alias("index"))
     first = good.join(start, ["burst", "index"]).withColumn("dy", none).withColumn("dx", none)
-    found = write(shifts(good, templates(first)))
+    found = write(shifts(good, templates(first), write))
+    settled = None
     for _ in range(most_rounds - 1):
-        new = write(shifts(good, templates(good.join(found.filter(F.col("ncc") >= least_ncc).select("burst", "index", "dy", "dx"), ["burst", "index"]))))
+        new = write(shifts(good, templates(good.join(found.filter(F.col("ncc") >= least_ncc).select("burst", "index", "dy", "dx"), ["burst", "index"])), write))
         both = new.join(found.select("burst", "index", F.col("dy").alias("y0"), F.col("dx").alias("x0")), ["burst", "index"])
         middle = both.groupBy("burst").agg(F.median(F.col("dy") - F.col("y0")).alias("my"), F.median(F.col("dx") - F.col("x0")).alias("mx"))
         moved = both.join(middle, "burst").select("burst", F.hypot(F.col("dy") - F.col("y0") - F.col("my"), F.col("dx") - F.col("x0") - F.col("mx")).alias("d"))
-        worst = moved.groupBy("burst").agg(F.percentile("d", F.lit(0.9)).alias("p")).agg(F.max("p")).first()[0]
-        found = new
-        if worst is None or worst < tolerance:
+        open_ = write(moved.groupBy("burst").agg(F.percentile("d", F.lit(0.9)).alias("p")).filter(F.col("p") >= tolerance).select("burst"))
+        # recordings that have converged leave; the others go on alone
+        done = new.join(open_, "burst", "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
+        found = new.join(open_, "burst", "left_semi")
+        if open_.isEmpty():
             break
+        good = good.join(open_, "burst", "left_semi")
+    found = found if settled is None else write(settled.unionByName(found))
     middle = found.groupBy("burst").agg(F.median("dy").alias("my"), F.median("dx").alias("mx"))
     rows = gated.join(found.join(middle, "burst"), ["burst", "index"], "left")
     ok = F.coalesce(F.col("keep") & (F.col("ncc") >= least_ncc), F.lit(False))

@@ -1,7 +1,7 @@
 """Queries over recordings on disk, and over results that are written and read back.
 
-Recordings are drawn with known motion and written to the shared folder as TIFF files, tables and manifests, so the
-sources read what a camera would leave; executors must share that folder as a file system. Tables that go through a sink
+Recordings are made of a table's vectors, with the motion that stands in them, and written to the shared folder as TIFF
+files, tables and manifests, so the sources read what a camera would leave. Tables that go through a sink
 and a reader must come back as they were, which SQL on the table says.
 """
 
@@ -20,26 +20,26 @@ from ..operators import pictures as P
 from ..sources import bursts, results
 from .pictures import PX, pictures
 from .registry import events, query, r6, table
+from .table_frames import recorded
 
 
 def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/fq-{name}-{uuid.uuid4().hex}"
 
 
-def _recordings(spark) -> tuple[str, DataFrame]:
-    """Four drawn recordings as files, and a fifth of black frames; where they are, and their truth."""
+def _recordings(spark, sf_dir) -> tuple[str, DataFrame]:
+    """The recordings of a table as files, and one more of black frames; where they are, and their truth."""
     root = _folder(spark, "recordings")
-    local = root.removeprefix("file://").removeprefix("file:")
-    drawn = cut(synthetic.case_frames(spark))
+    drawn = cut(recorded(spark, sf_dir))
     black = spark.range(0, 6, 1, 2).select(F.lit("burst_zblack").alias("burst"), F.col("id").cast("int").alias("index"), F.lit(16).alias("height"), F.lit(24).alias("width"), F.lit(12).alias("bit_depth"), F.to_binary(F.repeat(F.lit("00"), 768), F.lit("hex")).alias("pixels"))
-    written = bursts.write_frames(drawn.select(*black.columns).union(black), local)
+    written = bursts.write_frames(drawn.select(*black.columns).union(black), root)
     files = cut(written.select("burst", "index", "bytes"))
-    for row in files.groupBy("burst").agg(F.max("index").alias("last")).collect():  # five recordings
-        stamps = row.burst != "burst_gentle"  # one has no camera clock, so its times come from the manifest
+    for row in files.groupBy("burst").agg(F.max("index").alias("last")).collect():  # a row a recording
+        stamps = row.burst != "burst_01"  # one has no camera clock, so its times come from the manifest
         head = "index,filename,camera_timestamp_ns" if stamps else "index,filename"
         lines = [f"{k},frame_{k:06d}.tif" + (f",{5_000_000_000 + k * 31_250_000}" if stamps else "") for k in range(row["last"] + 1)]
         results.put_lines(spark, f"{root}/{row.burst}/frames.csv", [head, *lines])
-        manifest = {"acquisition_requested": {"pixel_format": "Mono12", "requested_fps": 32.0}, "capture": {"effective_fps": 32.0 if row.burst != "burst_rough" else None}, "pixel_values": {"bit_depth": 12, "dtype": "uint16"}}
+        manifest = {"acquisition_requested": {"pixel_format": "Mono12", "requested_fps": 32.0}, "capture": {"effective_fps": 32.0 if row.burst != "burst_02" else None}, "pixel_values": {"bit_depth": 12, "dtype": "uint16"}}
         results.put_lines(spark, f"{root}/{row.burst}/manifest.json", [json.dumps(manifest)])
     return root, drawn
 
@@ -47,7 +47,7 @@ def _recordings(spark) -> tuple[str, DataFrame]:
 @query()
 def recorded_bursts(spark, sf_dir):
     """Every recording found: frames, bytes, its rate by the chain of fall-backs, times, and whether it has any light."""
-    root, _ = _recordings(spark)
+    root, _ = _recordings(spark, sf_dir)
     files = bursts.discover(spark, root)
     times = bursts.frame_times(files, bursts.frames_meta(spark, root), bursts.manifests(spark, root))
     data = bursts.has_image_data(bursts.frames(spark, root))
@@ -58,10 +58,13 @@ def recorded_bursts(spark, sf_dir):
     return ranks.ranked(out, [F.col("burst")], "place")
 
 
-@query()
+_PLACED = "f as (select 'burst_' || lpad(label::varchar, 2, '0') as burst, cast(row_number() over (partition by label order by vec_id) - 1 as int) as index, embedding[3] > 0.28 as blink from embeddings)"
+
+
+@query(f"with {_PLACED} select burst, index, 64 as height, 96 as width, true as same from f")
 def decoded_frames(spark, sf_dir):
     """Frames read from TIFF files against what was drawn: size, range, and the same pixels."""
-    root, drawn = _recordings(spark)
+    root, drawn = _recordings(spark, sf_dir)
     got = bursts.frames(spark, root).select("burst", "index", "height", "width", F.xxhash64("pixels").alias("h"))
     want = drawn.select("burst", "index", F.xxhash64("pixels").alias("w"))
     return got.join(want, ["burst", "index"]).select("burst", "index", "height", "width", (F.col("h") == F.col("w")).alias("same"))
@@ -70,10 +73,10 @@ def decoded_frames(spark, sf_dir):
 @query()
 def file_checksums(spark, sf_dir):
     """Size and digest of every file of every recording, against the digest of what was written."""
-    root, drawn = _recordings(spark)
+    root, drawn = _recordings(spark, sf_dir)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "frame_*.tif").load(root)
     got = raw.select(F.regexp_extract("path", bursts.BURST, 1).alias("burst"), F.regexp_extract("path", r"frame_(\d+)", 1).cast("int").alias("index"), "length", F.sha2("content", 256).alias("sha256"))
-    again = bursts.write_frames(drawn.select("burst", "index", "height", "width", "bit_depth", "pixels"), _folder(spark, "copy").removeprefix("file://").removeprefix("file:"))
+    again = bursts.write_frames(drawn.select("burst", "index", "height", "width", "bit_depth", "pixels"), _folder(spark, "copy"))
     state = F.when(F.col("bytes").isNull(), "unexpected").when(F.col("bytes") != F.col("length"), "size").otherwise("verified")
     return got.join(again.select("burst", "index", "bytes"), ["burst", "index"], "left").select("burst", "index", "length", "sha256", state.alias("state"))
 
@@ -81,7 +84,7 @@ def file_checksums(spark, sf_dir):
 @query()
 def stabilized_recordings(spark, sf_dir):
     """From files to transforms: discovery, times, scores, gate, groupwise registration; with the error against the known motion."""
-    root, drawn = _recordings(spark)
+    root, drawn = _recordings(spark, sf_dir)
     frames = bursts.frames(spark, root).filter("burst <> 'burst_zblack'")
     t = cut(registration.stabilize(frames))
     times = bursts.frame_times(bursts.discover(spark, root), bursts.frames_meta(spark, root), bursts.manifests(spark, root))
@@ -94,6 +97,13 @@ def stabilized_recordings(spark, sf_dir):
     return j.join(mid, "burst").select("burst", "index", "time_s", (F.col("keep") == 1).alias("keep"), "reason", (F.col("registered") == 1).alias("registered"), F.round("dy", 2).alias("dy"), F.round("dx", 2).alias("dx"), "blink", F.round(error, 3).alias("error"))
 
 
+@query(f"with {_PLACED} select burst, index, blink, not blink as keep, not blink as registered, case when not blink then true end as recovered from f")
+def recovered_motion(spark, sf_dir):
+    """Whether the motion that stands in the table is found to a tenth of a pixel, and blinks and nothing else are left out."""
+    t = stabilized_recordings(spark, sf_dir)
+    return t.select("burst", "index", "blink", "keep", "registered", F.when(F.col("registered"), F.col("error") < 0.1).alias("recovered"))
+
+
 def _warped_overlap(frames: DataFrame, shift: DataFrame) -> DataFrame:
     """burst, overlap of dark masks of all frames, moved back by a method's shifts (burst, index, dy, dx)."""
     import pyarrow as pa
@@ -123,7 +133,7 @@ def _warped_overlap(frames: DataFrame, shift: DataFrame) -> DataFrame:
 @query()
 def warp_methods(spark, sf_dir):
     """Overlap of all frames under three methods that are scored alike: none, registered, and the true motion as ceiling."""
-    frames = cut(synthetic.case_frames(spark).filter("not blink"))
+    frames = cut(recorded(spark, sf_dir).filter("not blink"))
     still = frames.select("burst", "index", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"))
     found = registration.stabilize(frames).select("burst", "index", "dy", "dx").filter("dy is not null")
     truth = frames.select("burst", "index", F.col("true_dy").alias("dy"), F.col("true_dx").alias("dx"))
@@ -138,7 +148,7 @@ def warp_methods(spark, sf_dir):
 @query()
 def stabilized_for_segmenter(spark, sf_dir):
     """Used frames moved back, as a segmenter gets them, and what one plug-in makes of them."""
-    frames = cut(synthetic.case_frames(spark))
+    frames = cut(recorded(spark, sf_dir))
     t = cut(registration.stabilize(frames))
     used = results.stabilized(frames, t)
     return plugins.segment(used, plugins.default_registry(), "dark").select("burst", "index", "segmenter", "area")
@@ -147,8 +157,9 @@ def stabilized_for_segmenter(spark, sf_dir):
 @query()
 def frame_lookup(spark, sf_dir):
     """Every frame with its shift, or why it has none."""
-    frames = synthetic.case_frames(spark).drop("pixels")
-    t = cut(registration.stabilize(synthetic.case_frames(spark)))
+    frames = cut(recorded(spark, sf_dir))
+    t = cut(registration.stabilize(frames))
+    frames = frames.drop("pixels")
     return results.result_lookup(frames, t).select("burst", "index", "used", "why", F.round("dy", 2).alias("dy"), F.round("dx", 2).alias("dx"))
 
 
@@ -391,7 +402,7 @@ def consecutive_steps(spark, sf_dir):
 
     from ..operators.kernels import phase_shift_2d
 
-    frames = cut(synthetic.case_frames(spark).filter("not blink"))
+    frames = cut(recorded(spark, sf_dir).filter("not blink"))
     w = Window.partitionBy("burst").orderBy("index")
     pairs = frames.select("burst", "index", "height", "width", "pixels", "true_dy", "true_dx", F.lag("pixels").over(w).alias("before"))
 
@@ -434,6 +445,6 @@ def negative_control(spark, sf_dir):
 @query()
 def drawn_recordings(spark, sf_dir):
     """The drawn recordings themselves: how far each frame has moved, how bright it is and whether it blinks."""
-    f = synthetic.case_frames(spark)
+    f = cut(recorded(spark, sf_dir))
     scores = registration.working_frames(f, 120).select("burst", "index", "log_sharpness", "brightness")
     return f.select("burst", "index", F.round("true_dy", 3).alias("dy"), F.round("true_dx", 3).alias("dx"), "blink").join(scores, ["burst", "index"]).withColumn("log_sharpness", F.round("log_sharpness", 3)).withColumn("brightness", F.round("brightness", 4))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,20 +81,29 @@ def frames(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_frames(df: DataFrame, root: str) -> DataFrame:
-    """Write schemas.FRAMES as TIFF files below root (a folder that all executors share); burst, index, path, bytes written."""
-    import os
+    """Write schemas.FRAMES as TIFF files below root (a folder that all executors share, local or remote); burst, index, path, bytes written.
+
+    Files appear under their names only when they are whole.
+    """
 
     def run(batches):
+        from pyarrow.fs import FileSystem
+
+        store, top = FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        made = set()
         for batch in batches:
             out = []
             for burst, index, h, w, bits, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                folder = os.path.join(root, burst)
-                os.makedirs(folder, exist_ok=True)
-                path = os.path.join(folder, f"frame_{index:06d}.tif")
+                folder = f"{top.rstrip('/')}/{burst}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                path = f"{folder}/frame_{index:06d}.tif"
                 data = tiff.encode(np.frombuffer(raw, "<u2" if bits > 8 else np.uint8).reshape(h, w))
-                with open(f"{path}.part", "wb") as f:
+                part = f"{path}.{TaskContext.get().taskAttemptId()}.part"
+                with store.open_output_stream(part) as f:
                     f.write(data)
-                os.replace(f"{path}.part", path)
+                store.move(part, path)
                 out.append((burst, index, path, len(data)))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["burst", "index", "path", "bytes"])
 

@@ -70,18 +70,18 @@ def test_features_and_models():
 
 
 def test_recordings_from_files_to_transforms(spark, sf):
-    """The published error of the four kinds of motion is at most 0.12 pixels; blinks go, nothing else does."""
+    """The error of every recording is at most 0.12 pixels; blinks go, nothing else does; frames are those of the table."""
     q = plans.queries()
+    n = {r.label: r["count"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").groupBy("label").count().collect()}
     rows = q["stabilized_recordings"](spark, sf).collect()
-    assert len(rows) == 240
-    assert all(r.keep == r.registered == (not r.blink) for r in rows)
-    for name in ("still", "gentle", "rough", "blinks"):
-        e = [r.error for r in rows if r.burst == f"burst_{name}" and r.registered]
-        assert np.sqrt(np.mean(np.square(e))) <= 0.12
+    assert len(rows) == sum(n.values())
+    assert all(r.keep == r.registered == (not r.blink) for r in rows) and any(r.blink for r in rows)
+    for label, count in n.items():
+        e = [r.error for r in rows if r.burst == f"burst_{label:02d}" and r.registered]
+        assert np.sqrt(np.mean(np.square(e))) <= 0.12 and len(e) > 0.8 * count
     found = {r.burst: r for r in q["recorded_bursts"](spark, sf).collect()}
-    assert not found["burst_zblack"].has_data and found["burst_still"].has_data and [found[b].place for b in sorted(found)] == [1, 2, 3, 4, 5]
-    assert found["burst_gentle"].seconds == round(59 / 32, 6) == found["burst_still"].seconds and found["burst_rough"].fps == 32.0
-    assert all(r.same for r in q["decoded_frames"](spark, sf).collect())
+    assert not found["burst_zblack"].has_data and found["burst_00"].has_data and [found[b].place for b in sorted(found)] == list(range(1, len(n) + 2))
+    assert found["burst_01"].seconds == round((n[1] - 1) / 32, 6) and found["burst_02"].fps == 32.0 and found["burst_03"].frames == n[3]
     sums = q["file_checksums"](spark, sf).collect()
     assert {r.state for r in sums if r.burst != "burst_zblack"} == {"verified"} and {r.state for r in sums if r.burst == "burst_zblack"} == {"unexpected"}
 
@@ -92,10 +92,10 @@ def test_methods_scored_alike(spark, sf):
     for b in {k[0] for k in got}:
         assert got[b, "registered"] >= got[b, "ceiling"] - 0.01 and got[b, "none"] <= got[b, "registered"] + 0.01
     lookup = q["frame_lookup"](spark, sf).collect()
-    assert {r.why for r in lookup if not r.used} == {"blink/blur+brightness"} or all(r.why for r in lookup if not r.used)
-    assert sum(not r.used for r in lookup) == 5
+    unused = sum(not r.used for r in lookup)
+    assert all(r.why for r in lookup if not r.used) and 0 < unused < 0.1 * len(lookup)
     seg = q["stabilized_for_segmenter"](spark, sf).collect()
-    assert len(seg) == 235 and all(r.area > 0 for r in seg)
+    assert len(seg) == len(lookup) - unused and all(r.area > 0 for r in seg)
     steps = q["consecutive_steps"](spark, sf).collect()
     assert all(abs(r.drift_y) < 3 and abs(r.drift_x) < 3 for r in steps)
 
