@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import control, fits, images, live, pictures, predicates, recordings, records, rows, series, structures, vessels
+from . import control, fits, images, live, pictures, predicates, recordings, records, rows, scenes, series, structures, vessels
 from .registry import oracle_sql, queries
 
-__all__ = ["control", "fits", "images", "live", "oracle_sql", "pictures", "predicates", "queries", "recordings", "records", "rows", "series", "structures", "vessels"]
+__all__ = ["control", "fits", "images", "live", "oracle_sql", "pictures", "predicates", "queries", "recordings", "records", "rows", "scenes", "series", "structures", "vessels"]
