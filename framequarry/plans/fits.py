@@ -1,14 +1,21 @@
-"""Queries on models that are fitted as tables: joint fits of overlapping vessels to pictures."""
+"""Queries on models that are fitted as tables: joint fits of overlapping vessels, pruned maps, best blocks of frames."""
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import consensus, field_fit
+from ..operators import blocks, consensus, field_fit, pruning
 from .images import _PX
-from .registry import query, r6, table
+from .registry import query, table
+
+
+def r5(c):
+    """Rounded to 5 digits, negative zero as zero."""
+    return F.round(c, 5) + F.lit(0.0)
+
 
 #: Across (0) or along (1) a picture, and where; a picture's label moves the first three by up to a pixel.
 _VESSELS = ((0, 1.5, 1), (0, 2.2, 1), (1, 2.0, 1), (1, 3.5, 0))
@@ -87,3 +94,34 @@ def settled_vessels(spark, sf_dir):
     out = fate.join(ends, ["system", "owner"], "left")
     fit = lambda c: F.when(F.col("dropped_in").isNull(), F.round(c, 5) + F.lit(0.0))
     return out.select(F.col("system").alias("vec_id"), F.col("owner").alias("vessel"), F.round("score", 5).alias("score"), "dropped_in", fit("first").alias("first"), fit("last").alias("last"))
+
+
+@query("""with recursive c as (select l_partkey as edge, l_orderkey as pixel, sum(l_discount * 10 - 0.4) as c from lineitem group by 1, 2), d as (select o_orderkey as pixel, (o_totalprice % 100) / 60.0 as d from orders),
+ p as (select edge, 0.1 * ln(count(*) + 1) * (2 + edge % 3) as price, edge % 11 = 0 as protected from c group by 1),
+ t(round, edge, pixel, c, d, price, protected) as (select 0, edge, pixel, c, d, price, protected from c join d using (pixel) join p using (edge) union all
+   select round + 1, edge, pixel, c, d, price, protected from (select *, count(*) filter (case when protected then gain <= 0 else gain < price end) over () as goes from
+     (select *, sum(2 * (d - m) * c + c * c) over (partition by edge) as gain from (select *, sum(c) over (partition by pixel) as m from t))) where goes > 0 and not (case when protected then gain <= 0 else gain < price end)),
+ g as (select round, edge, count(*) as pixels, sum(2 * (d - m) * c + c * c) as gain from (select *, sum(c) over (partition by round, pixel) as m from t) group by 1, 2),
+ l as (select edge, max(round) as last from t group by 1), z as (select max(round) as z from t)
+ select l.edge, round(gain, 5) + 0.0 as gain, pixels, case when last < z or (case when protected then gain <= 0 else gain < price end) then last + 1 end as removed_in from l join z on true join g on g.edge = l.edge and g.round = l.last join p on p.edge = l.edge""")
+def pruned_map(spark, sf_dir):
+    """Edges that gain less than their price go, round by round, and only what they touched is scored again."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("edge"), F.col("l_orderkey").alias("pixel")).agg(F.sum(F.col("l_discount") * 10 - 0.4).alias("c"))
+    data = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pixel"), ((F.col("o_totalprice") % 100) / 60.0).alias("d"))
+    edges = li.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).select("edge", (0.1 * F.log(F.col("n") + 1) * (2 + F.col("edge") % 3)).alias("price"), (F.col("edge") % 11 == 0).alias("protected"))
+    out, _ = pruning.pruned(li, data, edges)
+    return out.select("edge", r5("gain").alias("gain"), "pixels", "removed_in")
+
+
+@query(f"""with {_PX}, f as (select label, vec_id, dense_rank() over (partition by label order by vec_id) - 1 as k, pix, v from px), n as (select label, max(k) + 1 as n from f group by 1),
+ s as (select label, unnest(range(0, n - 11, 3)) as first from n), b as (select s.label, s.first, f.k, f.pix, f.v from s join f on f.label = s.label and f.k between s.first and s.first + 11),
+ m as (select label, first, pix, avg(v) as m from b group by 1, 2, 3), zm as (select label, first, pix, (m - avg(m) over w) / (stddev_pop(m) over w + 1e-12) as zm from m window w as (partition by label, first)),
+ zb as (select label, first, k, pix, (v - avg(v) over w) / (stddev_pop(v) over w + 1e-12) as zb from b window w as (partition by label, first, k)),
+ c as (select label, first, sum(zb * zm) / (64 * 12) as score from zb join zm using (label, first, pix) group by 1, 2)
+ select label, cast(arg_max(first, round(score, 9) * 1e6 - first * 1e-6) as bigint) as first, round(max(score), 6) as score from c group by 1""")
+def best_block_of_frames(spark, sf_dir):
+    """The twelve consecutive pictures of a label that agree best with their mean, of blocks that begin at every third."""
+    e = table(spark, sf_dir, "embeddings")
+    index = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
+    frames = e.select(F.col("label").alias("burst"), index.alias("index"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return blocks.best_blocks(frames, 12).select(F.col("burst").alias("label"), "first", F.round("score", 6).alias("score"))
