@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.lineage import cut, shared_folder
 from ..operators import synthetic, velocity
-from ..streaming import live, stabilizer
+from ..streaming import live, stabilizer, timed
 from .registry import EVENTS, query, table
 from .series import _kymograph
 
@@ -160,3 +160,28 @@ def matched_results(spark, sf_dir):
     p = p.withColumn("cell", minute("seen"))
     j = p.join(r, (p.cell == r.cell) & (F.col("made") <= F.col("seen")) & (F.col("made") > F.col("seen") - F.expr("interval 1 minute")))
     return _all(j.select("event_id", "result"), "append").groupBy("event_id").agg(F.max("result").alias("result"))
+
+
+#: The watermark at the end of a stream: a delay of two days before its last row, in whole milliseconds.
+_MARK = "w as (select ((max(us) - 172800000000) // 1000) * 1000 as mark from e)"
+
+
+@query(f"""with {EVENTS}, {_MARK}, r as (select user_id, event_id, us, case when event_type = 'signup' then 'relock' else 'hit' end as kind, mark from e, w where event_type <> 'error' and us < mark),
+ n as (select *, lag(kind) over v as before, lag(us) over v as before_us, lead(us) over v as after_us from r window v as (partition by user_id order by us, event_id))
+ select user_id as stream, us as at_us, 'locked' as change from n where kind = 'hit' and (before is null or before = 'relock' or us - before_us > 21600000000)
+ union all select user_id, us + 21600000000, 'lost' from n where kind = 'hit' and us + 21600000000 < coalesce(after_us, mark)
+ union all select user_id, us, 'relock' from n where kind = 'relock' and before = 'hit' and us - before_us <= 21600000000""")
+def timed_locks_stream(spark, sf_dir):
+    """Streams that lock at a hit, are lost six hours of event time after the last one, and are told to lock anew in band."""
+    kind = F.when(F.col("event_type") == "signup", "relock").when(F.col("event_type") == "error", "miss").otherwise("hit")
+    e = _stream(spark, sf_dir).select(F.col("user_id").alias("stream"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").alias("index"), kind.alias("kind"))
+    return _all(timed.timed_locks(e, 21_600_000_000, "2 days"), "append")
+
+
+@query(f"""with {EVENTS}, {_MARK}, g as (select user_id, us, case when us - lag(us) over x >= 21600000000 then 1 else 0 end as new from e window x as (partition by user_id order by us)),
+ s as (select user_id, us, sum(new) over (partition by user_id order by us rows unbounded preceding) as session from g)
+ select user_id, min(us) as start_us, max(us) + 21600000000 as end_us, count(*) as n from s group by user_id, session having max(us) + 21600000000 <= (select mark from w)""")
+def closed_session_stream(spark, sf_dir):
+    """Sessions of a stream, each given once when the watermark has passed it; nothing is rewritten."""
+    s = _all(timed.closed_sessions(_stream(spark, sf_dir), "user_id", "ts", "6 hours", "2 days"), "append")
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
