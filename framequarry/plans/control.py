@@ -91,16 +91,15 @@ def stage_metrics(spark, sf_dir):
 
     from pyspark.sql import Observation
 
-    out = None
     e = cut(events(spark, sf_dir).select("event_type", "value"))
-    kinds = [r[0] for r in e.select("event_type").distinct().collect()]  # stages are few
-    for kind in sorted(kinds):
-        watch = Observation(f"stage-{uuid.uuid4().hex}")
-        e.filter(F.col("event_type") == kind).observe(watch, F.count(F.lit(1)).alias("n"), F.max("value").alias("m")).write.format("noop").mode("overwrite").save()
-        got = watch.get
-        one = spark.createDataFrame([(kind, got["n"], round(got["m"], 6))], "stage string, rows_seen long, largest double")
-        out = one if out is None else out.union(one)
-    return out
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())  # stages are few
+    watch = Observation(f"stages-{uuid.uuid4().hex}")
+    of = lambda kind, c: F.when(F.col("event_type") == kind, c)
+    seen = [m for k, kind in enumerate(kinds) for m in (F.count(of(kind, F.lit(1))).alias(f"n{k}"), F.max(of(kind, F.col("value"))).alias(f"m{k}"))]
+    if seen:
+        e.observe(watch, *seen).write.format("noop").mode("overwrite").save()
+    rows = [(kind, watch.get[f"n{k}"], round(watch.get[f"m{k}"], 6)) for k, kind in enumerate(kinds)]
+    return spark.createDataFrame(rows, "stage string, rows_seen long, largest double")
 
 
 _CONTROLS = "select event_id, event_type || ' 0x0098' || lpad(cast(event_id % 10000 as varchar), 4, '0') || ' (int)    : min=0 max=' || (event_id % 256) || ' step=1 default=' || cast(floor(value) as bigint) || ' value=' || (event_id % 7) as line from events"
