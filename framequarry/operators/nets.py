@@ -5,6 +5,8 @@ Components come from a fix point over tables; what is here runs on one component
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,8 @@ class _Matcher:
         for u, v, w in edges:
             if w > self.w[u][v]:
                 self.w[u][v] = self.w[v][u] = w
+        #: the nodes (not cycles) that a node or cycle has an edge to, ascending
+        self.near = [[v for v in range(1, n + 1) if self.w[u][v] > 0] if 1 <= u <= n else [] for u in range(m)]
         most = max((w for row in self.w for w in row), default=0)
         self.price = [most if 1 <= u <= n else 0 for u in range(m)]
         self.mate, self.slack, self.pa = [0] * m, [0] * m, [0] * m
@@ -42,7 +46,7 @@ class _Matcher:
         self.via = [[u if u == v and u <= n else 0 for v in range(m)] for u in range(m)]
         for u in range(n + 1, m):
             self.st[u] = 0
-        self.queue: list[int] = []
+        self.queue: deque[int] = deque()
         self.clock = 0
 
     def gap(self, u: int, v: int) -> int:
@@ -55,7 +59,7 @@ class _Matcher:
 
     def find_slack(self, x: int) -> None:
         self.slack[x] = 0
-        for u in range(1, self.n + 1):
+        for u in self.near[x]:
             if self.w[u][x] > 0 and self.st[u] != x and self.kind[self.st[u]] == 0:
                 self.closer(u, x)
 
@@ -140,8 +144,9 @@ class _Matcher:
             self.w[b][k] = self.w[k][b] = 0
         for k in range(1, self.n + 1):
             self.via[b][k] = 0
+        self.near[b] = sorted(set().union(*(self.near[y] for y in ring)))
         for y in ring:
-            for k in range(1, self.top + 1):
+            for k in (*self.near[y], *range(self.n + 1, self.top + 1)):
                 if self.w[y][k] and (not self.w[b][k] or self.gap(y, k) < self.gap(b, k)):
                     self.w[b][k], self.eu[b][k], self.ev[b][k] = self.w[y][k], self.eu[y][k], self.ev[y][k]
                     self.w[k][b], self.eu[k][b], self.ev[k][b] = self.w[k][y], self.eu[k][y], self.ev[k][y]
@@ -188,7 +193,7 @@ class _Matcher:
     def round(self) -> bool:
         for x in range(1, self.top + 1):
             self.kind[x], self.slack[x] = -1, 0
-        self.queue = []
+        self.queue = deque()
         for x in range(1, self.top + 1):
             if self.st[x] == x and not self.mate[x]:
                 self.pa[x], self.kind[x] = 0, 0
@@ -197,11 +202,11 @@ class _Matcher:
             return False
         while True:
             while self.queue:
-                u = self.queue.pop(0)
+                u = self.queue.popleft()
                 if self.kind[self.st[u]] == 1:
                     continue
-                for v in range(1, self.n + 1):
-                    if self.w[u][v] > 0 and self.st[u] != self.st[v]:
+                for v in self.near[u]:
+                    if self.st[u] != self.st[v]:
                         if self.gap(u, v) == 0:
                             if self.found(u, v):
                                 return True
@@ -233,7 +238,7 @@ class _Matcher:
                         self.price[b] += 2 * step
                     elif self.kind[b] == 1:
                         self.price[b] -= 2 * step
-            self.queue = []
+            self.queue = deque()
             for x in range(1, self.top + 1):
                 if self.st[x] == x and self.slack[x] and self.st[self.slack[x]] != x and self.gap(self.slack[x], x) == 0:
                     if self.found(self.slack[x], x):
