@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from .kernels import ncc, phase_shift_2d
 from .pictures import cubic
+from .registration import beside
 
 
 @dataclass(frozen=True)
@@ -142,23 +143,6 @@ def measured(template: np.ndarray, a: np.ndarray, grid: Grid, model: str = "affi
     return Field(m, local)
 
 
-def tile_spread(aligned: np.ndarray, rows: int = 3, columns: int = 4) -> np.ndarray:
-    """(rows, columns): how far each tile of aligned frames (n, h, w) still moves against the mean, less each frame's common shift."""
-    n, h, w = aligned.shape
-    mean, th, tw = np.nanmean(aligned, axis=0), h // rows, w // columns
-    out = np.zeros((n, rows, columns, 2))
-    for r in range(rows):
-        for c in range(columns):
-            p = mean[r * th : (r + 1) * th, c * tw : (c + 1) * tw]
-            for k in range(n):
-                q = aligned[k, r * th : (r + 1) * th, c * tw : (c + 1) * tw]
-                ok = np.isfinite(p) & np.isfinite(q)
-                if ok.mean() > 0.5:
-                    out[k, r, c] = phase_shift_2d(np.where(ok, p, p[ok].mean()), np.where(ok, q, q[ok].mean()))[:2]
-    out -= np.median(out.reshape(n, -1, 2), axis=1)[:, None, None]
-    return np.hypot(*out.std(axis=0).transpose(2, 0, 1))
-
-
 _FIELD = "burst string, `index` int, affine array<double>, local array<double>, update double, ncc double"
 
 
@@ -198,6 +182,36 @@ def templates(frames: DataFrame, patch: int, stride: int) -> DataFrame:
     return part.groupBy("burst", "height", "width").applyInArrow(merge, "burst string, height int, width int, template binary")
 
 
+def tile_moves(frames: DataFrame, tpl: DataFrame, rows: int = 3, columns: int = 4, patch: int = 64, stride: int = 32, write=cut) -> DataFrame:
+    """burst, index, tile, dy, dx: what each tile of a warped frame still moves against the mean, less the frame's common shift.
+
+    ``frames`` have fields (affine, local), ``tpl`` is what :func:`templates` makes of them. Tiles of which half is not
+    seen are left out.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for burst, index, h, w, bits, raw, affine, local, mean in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grid, th, tw = Grid(h, w, patch, stride), h // rows, w // columns
+                a, m = warped(_image(raw, h, w, bits), _of(grid, affine, local), grid), np.frombuffer(mean, "<f8").reshape(h, w)
+                got = []
+                for k in range(rows * columns):
+                    at = np.s_[k // columns * th : (k // columns + 1) * th, k % columns * tw : (k % columns + 1) * tw]
+                    p, q = m[at], a[at]
+                    ok = np.isfinite(p) & np.isfinite(q)
+                    if ok.mean() > 0.5:
+                        got.append((k, *phase_shift_2d(np.where(ok, p, p[ok].mean()), np.where(ok, q, q[ok].mean()))[:2]))
+                common = np.median([g[1:] for g in got], axis=0) if got else (0.0, 0.0)
+                out += [(burst, index, k, float(dy - common[0]), float(dx - common[1])) for k, dy, dx in got]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["burst", "index", "tile", "dy", "dx"])
+
+    cols = ["burst", "index", "height", "width", "bit_depth", "pixels", "affine", "local"]
+    both = beside(frames.select(*cols), tpl, ["burst", "height", "width"], "template", write)
+    return both.select(*cols, "template").mapInArrow(run, "burst string, `index` int, tile int, dy double, dx double")
+
+
 def _updates(frames: DataFrame, tpl: DataFrame, patch: int, stride: int) -> DataFrame:
     """_FIELD: each frame's field composed with what is still measured against the template; update is its size in pixels."""
 

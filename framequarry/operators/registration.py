@@ -58,15 +58,19 @@ def _match(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([o[k] for o in out], pa.float64()) for k in range(4)]], names=["burst", "index", "dy", "dx", "response", "ncc"])
 
 
+def beside(frames: DataFrame, few: DataFrame, on: list[str], value: str, write=cut) -> DataFrame:
+    """frames with ``value`` (bytes) of their recording: broadcast where all of it is within the bound, else salted by frame."""
+    few = write(few.select(*on, value))
+    if (few.agg(F.sum(F.octet_length(value))).first()[0] or 0) <= MOST_BROADCAST:
+        return frames.join(F.broadcast(few), on)
+    dealt = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return frames.withColumn("salt", F.pmod("index", F.lit(SALTS))).join(dealt, [*on, "salt"]).drop("salt")
+
+
 def shifts(frames: DataFrame, tpl: DataFrame, write=cut) -> DataFrame:
     """burst, index, dy, dx, response, ncc of each frame against its recording's template."""
     cols, on = ["index", "height", "width", "bit_depth", "pixels"], ["burst", "height", "width"]
-    tpl = write(tpl.select(*on, "template"))
-    if (tpl.agg(F.sum(F.octet_length("template"))).first()[0] or 0) <= MOST_BROADCAST:
-        rows = frames.select("burst", *cols).join(F.broadcast(tpl), on)
-    else:
-        dealt = tpl.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = frames.select("burst", *cols).withColumn("salt", F.pmod("index", F.lit(SALTS))).join(dealt, [*on, "salt"])
+    rows = beside(frames.select("burst", *cols), tpl, on, "template", write)
     return rows.select("burst", *cols, "template").mapInArrow(_match, "burst string, `index` int, dy double, dx double, response double, ncc double")
 
 

@@ -41,17 +41,18 @@ def burst(n: int, height: int, width: int, seed: int, step: float, blinks: tuple
     return frames, path
 
 
-def kymograph(rows: int, places: int, speed: float, seed: int, noise: float = 0.3) -> np.ndarray:
-    """rows x places: a random pattern that moves by ``speed`` places a row."""
+def kymograph(rows: int, places: int, speed: float, seed: int, noise: float = 0.3, pattern: np.ndarray | None = None) -> np.ndarray:
+    """rows x places: a pattern (random where none is given; repeated where it is short) that moves by ``speed`` places a row."""
     rng = np.random.default_rng(seed)
-    long = gaussian(rng.normal(size=places + int(abs(speed) * rows) + 20), 1.5)
+    size = places + int(abs(speed) * rows) + 20
+    long = gaussian(rng.normal(size=size) if pattern is None else np.resize(pattern, size), 1.5)
     long /= long.std()
     at = np.arange(places)[None] - speed * np.arange(rows)[:, None]
     at -= at.min()
     return np.interp(at.ravel(), np.arange(len(long)), long).reshape(rows, places) + rng.normal(0, noise, (rows, places))
 
 
-def vessel_phantom(width: float, seed: int, blur: float = 1.2, noise: float = 0.01, length: int = 120):
+def vessel_phantom(width: float, seed: int | list[int], blur: float = 1.2, noise: float = 0.01, length: int = 120):
     """(picture with one gently curved dark vessel of constant width, its centre line): a box across it, blurred."""
     rng = np.random.default_rng(seed)
     h = int(4 * max(width, 8) + 40)
@@ -110,7 +111,7 @@ def smooth_path(rng: np.random.Generator, start: tuple[float, float], heading: f
     return np.array(out)
 
 
-def vessel_tree(seed: int, height: int = 128, width: int = 192, trees: int = 3, branches: int = 3) -> tuple[np.ndarray, list[tuple[np.ndarray, float]]]:
+def vessel_tree(seed: int | list[int], height: int = 128, width: int = 192, trees: int = 3, branches: int = 3) -> tuple[np.ndarray, list[tuple[np.ndarray, float]]]:
     """(picture, [(path, radius)]) of branching vessels: each branch leaves its parent at a point on it and is thinner."""
     rng = np.random.default_rng(seed)
     paths: list[tuple[np.ndarray, float]] = []

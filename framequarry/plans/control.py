@@ -64,14 +64,16 @@ def metadata_warnings(spark, sf_dir):
     return j.select("user_id", F.explode(F.filter(found, lambda r: r["bad"])).alias("w")).select("user_id", "w.field", "w.actual", "w.expected")
 
 
-@query("""with p as (select * from (values ('flow', '{"least_length": 20, "least_peak": 0.08, "most_lag": 12, "most_shift": 40}'), ('links', '{"most_turn": 60.0, "most_width_ratio": 2.5, "reach": 12.0}'), ('nonrigid', '{"most_rounds": 6, "patch": 64, "stride": 32, "tolerance": 0.02}'), ('translation', '{"height": 600, "least_ncc": 0.5, "most_rounds": 5, "tolerance": 0.05}')) as t(method, params))
- select method, params, sha256(params)[1:12] as params_hash from p""")
+@query("""with p as (select * from (values ('flow', '{"least_length": 20, "least_peak": 0.08, "most_lag": 12, "most_shift": 40'), ('links', '{"most_turn": 60.0, "most_width_ratio": 2.5, "reach": 12.0'), ('nonrigid', '{"most_rounds": 6, "patch": 64, "stride": 32, "tolerance": 0.02'), ('translation', '{"height": 600, "least_ncc": 0.5, "most_rounds": 5, "tolerance": 0.05')) as t(method, head)),
+ u as (select user_id, count(*) as n from events group by 1), k as (select user_id, method, head || ', "frames": ' || n || '}' as params from u, p) select user_id, method, params, sha256(params)[1:12] as params_hash from k""")
 def method_parameters(spark, sf_dir):
-    """Every method with its tunables and their fingerprint."""
+    """Every method's tunables for each recording, with its frames, and the fingerprint that a result is kept under."""
     import json
 
-    rows = [(name, json.dumps(asdict(p), sort_keys=True), config.fingerprint(p)) for name, p in config.METHODS.items()]
-    return spark.createDataFrame(rows, "method string, params string, params_hash string")
+    heads = F.array(*[F.struct(F.lit(name).alias("method"), F.lit(json.dumps(asdict(p), sort_keys=True)[:-1]).alias("head")) for name, p in config.METHODS.items()])
+    u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    k = u.select("user_id", "n", F.inline(heads)).select("user_id", "method", F.concat("head", F.lit(', "frames": '), F.col("n").cast("string"), F.lit("}")).alias("params"))
+    return k.withColumn("params_hash", F.substring(F.sha2("params", 256), 1, 12))
 
 
 @query("""with r as (select user_id, case when user_id % 4 = 0 then 'old' else 'new' end as hash, case when user_id % 6 = 1 then 'error' else 'ok' end as status from (select distinct user_id from events where user_id % 5 <> 2)),
@@ -115,16 +117,18 @@ def control_text(spark, sf_dir):
     return e.select("event_id", F.regexp_extract("line", r"^(\w+)", 1).alias("name"), F.regexp_extract("line", r"\((\w+)\)", 1).alias("kind"), F.col("m")["max"].alias("most"), F.col("m")["default"].alias("usual"), F.col("m")["value"].alias("value"))
 
 
-@query("select 'small' as task, 1000 as needed, true as fits union all select 'far too large', 9000000000000000000, false")
+@query("""with d as (select lang, sum(coalesce(octet_length(encode(text)), 0)) as b from documents group by 1) select lang, t.task, cast(b as bigint) as needed, t.task = 'once' as fits from d, (values ('once'), ('far too often')) t(task)""")
 def space_precondition(spark, sf_dir):
-    """Whether the shared folder has the room that a result needs, before anything is written."""
+    """Whether the shared folder has the room for the texts of a language, once and 10^15 times, before anything is written."""
     from ..functions.lineage import shared_folder
     from ..sources import results
 
     root = shared_folder(spark)
     cut(spark.range(1))  # the folder exists
-    rows = [(name, need, results.enough_space(spark, root, need)) for name, need in (("small", 1000), ("far too large", 9_000_000_000_000_000_000))]
-    return spark.createDataFrame(rows, "task string, needed long, fits boolean")
+    left = results.space_left(spark, root)
+    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("needed"))
+    tasks = F.array(*[F.struct(F.lit(n).alias("task"), F.lit(x).alias("times")) for n, x in (("once", 1.0), ("far too often", 1e15))])
+    return d.select("lang", "needed", F.inline(tasks)).select("lang", "task", "needed", (F.col("needed") * F.col("times") <= left).alias("fits"))
 
 
 @query("""with c as (select user_id, value, row_number() over (partition by user_id order by event_id) - 1 as pos, count(*) over (partition by user_id) as n from events), k as (select c.*, g.k, greatest(0, 1 - abs(pos * 4.0::double / greatest(n - 1, 1) - g.k)) as w from c, range(0, 5) g(k))

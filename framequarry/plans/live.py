@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.lineage import cut, shared_folder
-from ..operators import synthetic, velocity
+from ..operators import velocity
 from ..streaming import live, stabilizer, timed
 from .registry import EVENTS, query, table
 from .series import _kymograph
+from .table_frames import live_signals
 
 
 def _stream(spark, sf_dir) -> DataFrame:
@@ -93,38 +94,15 @@ def kymograph_velocity(spark, sf_dir):
     return velocity.velocities(_kymograph(spark, sf_dir))
 
 
-def _live_frames(spark) -> DataFrame:
-    """Three streams of 220 drawn frames: a scene that moves, blinks, another scene, and the first again; with their truth."""
-    import pyarrow as pa
-
-    def draw(batches):
-        for batch in batches:
-            rows = []
-            for i in batch.column(0).to_pylist():
-                s, k = i // 220, i % 220
-                scenes = [synthetic.scene(1, 256, 60 + 2 * s + n)[0] for n in (0, 1)]
-                scenes = [a + 0.1 * np.convolve(np.random.default_rng(80 + 2 * s + n).normal(size=272), np.hanning(17), "valid") for n, a in enumerate(scenes)]
-                scenes = [0.6 + 0.08 * (a - a.mean()) / a.std() for a in scenes]
-                path = np.cumsum(np.random.default_rng(10 + s).normal(0, 0.6, 220))
-                other = 90 <= k < 150
-                a = stabilizer.moved(scenes[int(other)], path[k]) + np.random.default_rng(500 + i).normal(0, 0.005, 256)
-                if k in (60, 61, 62):
-                    a = 0.2 * np.convolve(np.pad(a, 20, mode="wrap"), np.ones(41) / 41, "valid")
-                rows.append((f"s{s}", k, k / 16.0, a.tolist(), float(path[k])))
-            kinds = (pa.string(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["stream", "index", "seconds", "frame", "truth"])
-
-    return spark.range(0, 660, 1, 6).mapInArrow(draw, "stream string, `index` long, seconds double, frame array<double>, truth double")
-
-
 @query()
 def live_stabilizer(spark, sf_dir):
     """Streams that lock, register, pass over blinks, lose a scene after a second and rejoin it."""
     root = f"{shared_folder(spark)}/fq-frames-{uuid.uuid4().hex}"
-    drawn = cut(_live_frames(spark))
-    for k in range(5):  # as a camera writes: every file has some seconds of all streams, and files come in the order of time
-        drawn.filter(f"index div 44 = {k}").coalesce(1).write.mode("append").parquet(root)
-    frames = live.replay(spark, root, "stream string, `index` bigint, seconds double, frame array<double>, truth double", 1)
+    drawn = cut(live_signals(spark, sf_dir))
+    span = (drawn.agg(F.max("index")).first()[0] or 0) // 5 + 1
+    for k in range(5):  # as cameras write: files have a fifth of the time each, and come in the order of time
+        drawn.filter(f"index div {span} = {k}").repartition(4, "stream").write.mode("append").parquet(root)
+    frames = live.replay(spark, root, "stream string, `index` bigint, seconds double, frame array<double>, truth double", 4)
     out = _all(stabilizer.stabilize(frames), "append", state=True)
     return out.withColumn("offset", F.round("offset", 2))
 

@@ -312,12 +312,13 @@ def log_preparation(spark, sf_dir):
 _BANK = "r as (select a.d as angle, cos(pi() * a.d / 8) as c, sin(pi() * a.d / 8) as s from range(0, 8) a(d)), k0 as (select angle, b.d as dy, e.d as dx, e.d * c + b.d * s as al, -e.d * s + b.d * c as ac from r, range(-2, 3) b(d), range(-2, 3) e(d)), k1 as (select angle, dy, dx, (ac * ac / 0.81 - 1) * exp(-0.5 * (ac * ac / 0.81 + al * al / 3.24)) as g from k0), k2 as (select angle, dy, dx, g - avg(g) over (partition by angle) as g from k1), bank as (select angle, dy, dx, g / sqrt(sum(g * g) over (partition by angle)) as w from k2)"
 
 
-@query(f"with {_BANK} select cast(angle as bigint) as angle, cast(dy as bigint) as dy, cast(dx as bigint) as dx, round(w, 6) + 0.0 as w from bank")
+@query(f"with {PX}, {_BANK} select vec_id, cast(angle as bigint) as angle, round(sum(w * v), 6) + 0.0 as response from px join bank on px.y = 4 + dy and px.x = 4 + dx group by 1, 2")
 def kernel_bank(spark, sf_dir):
-    """Line filters of eight orientations, mean 0, squares summing to 1."""
+    """What line filters of eight orientations (mean 0, squares summing to 1) give at the middle of each picture."""
     k = P.line_kernels(0.9, 2.0, 2, 8)
-    rows = [(a, y - 2, x - 2, float(k[a, y, x])) for a in range(8) for y in range(5) for x in range(5)]
-    return spark.createDataFrame(rows, "angle long, dy long, dx long, w double").withColumn("w", r6("w"))
+    bank = spark.createDataFrame([(a, 8 * (2 + y) + 2 + x, float(k[a, y, x])) for a in range(8) for y in range(5) for x in range(5)], "angle long, i int, w double")
+    px = pictures(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode("v").alias("i", "v"))
+    return px.join(F.broadcast(bank), "i").groupBy("vec_id", "angle").agg(r6(F.sum(F.col("w") * F.col("v"))).alias("response"))  # 200 rows
 
 
 @query(f"""with {PX}, {_BANK}, a as (select p.vec_id, p.i, p.y, p.x, angle, sum(w * n.v) as v from px p, bank, px n where n.vec_id = p.vec_id and n.y = 7 - abs(7 - abs(p.y + dy)) and n.x = 7 - abs(7 - abs(p.x + dx)) group by all),

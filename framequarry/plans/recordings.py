@@ -20,7 +20,7 @@ from ..operators import pictures as P
 from ..sources import bursts, results
 from .pictures import PX, pictures
 from .registry import events, query, r6, table
-from .table_frames import recorded
+from .table_frames import numbers, patterns, recorded, turning
 
 
 def _folder(spark, name: str) -> str:
@@ -265,55 +265,41 @@ def segmented_pictures(spark, sf_dir):
     return P.run(pictures(spark, sf_dir), work, "area long").select(F.col("id").alias("vec_id"), F.lit("dark").alias("segmenter"), "area")
 
 
-@query("select ident, label, cast(folder as bigint) as folder from (values ('dark', 'Dark pixels', 0), ('mine', 'A ridge finder', 1), ('ridges', 'Ridges', 0)) as t(ident, label, folder)")
+@query(f"""with {PX}, m as (select vec_id, median(v) as med, avg(v) as mean, stddev_pop(v) as sd from px group by 1)
+ select 'dark' as ident, 'Dark pixels' as label, cast(0 as bigint) as folder, count(*) filter (v < med - 0.8 * sd) as area from px join m using (vec_id)
+ union all select 'mine', 'Above zero', 1, count(*) filter (v > 0) from px union all select 'bright', 'Bright pixels', 0, count(*) filter (v > mean + sd) from px join m using (vec_id)""")
 def segmenter_listing(spark, sf_dir):
-    """The registry: by label, the first folder wins."""
-    registry = plugins.default_registry()
-    registry.add(plugins.Entry("ridges", "Other ridges", lambda a: a > 0, folder_rank=1))
-    registry.add(plugins.Entry("mine", "A ridge finder", lambda a: a > 0, folder_rank=1))
-    return spark.createDataFrame([(e.ident, e.label, e.folder_rank) for e in registry.listed()], "ident string, label string, folder long")
+    """The registry, by label, where the first folder wins, and what each segmenter marks on all pictures."""
+    registry = plugins.Registry()
+    registry.add(plugins.Entry("mine", "Above zero", lambda a: a > 0, folder_rank=1))
+    registry.add(plugins.Entry("dark", "Other dark pixels", lambda a: a > 0, folder_rank=1))
+    registry.add(plugins.Entry("dark", "Dark pixels", lambda a: a < np.median(a) - 0.8 * a.std()))
+    registry.add(plugins.Entry("bright", "Bright pixels", lambda a: a > a.mean() + a.std()))
+    registry.add(plugins.Entry("bright", "Other bright pixels", lambda a: a < 0, folder_rank=1))
+    listed = registry.listed()
+    work = lambda stack: {e.ident: np.array([e.run(a).sum() for a in stack]) for e in listed}
+    areas = P.run(pictures(spark, sf_dir), work, ", ".join(f"{e.ident} long" for e in listed))
+    entry = lambda e: F.struct(F.lit(e.ident).alias("ident"), F.lit(e.label).alias("label"), F.lit(e.folder_rank).cast("long").alias("folder"), F.coalesce(F.sum(e.ident), F.lit(0)).alias("area"))
+    return areas.agg(F.array(*[entry(e) for e in listed]).alias("x")).select(F.inline("x"))
 
 
 @query()
 def vessel_scenes(spark, sf_dir):
-    """Drawn scenes of branching vessels: how many paths, their length, how dark, and how much of them a ridge filter finds."""
+    """A scene of branching vessels for each block of vectors, whose numbers decide their ways: how many paths, their length, how dark, and how much of them a ridge filter finds."""
     import pyarrow as pa
 
     def task(batches):
         for batch in batches:
             rows = []
-            for i in batch.column(0).to_pylist():
-                a, paths = synthetic.vessel_tree(int(i))
+            for i, _, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, paths = synthetic.vessel_tree(numbers(e))
                 strength = P.ridges(a[None], ((1.5, 6), (3.0, 12)), np.array([0.02]))[0]
                 on = [strength[int(y), int(x)] > 0.3 for path, _ in paths for y, x in path if 8 <= y < a.shape[0] - 8 and 8 <= x < a.shape[1] - 8]
-                rows.append((i, len(paths), int(sum(len(p) for p, _ in paths)), float(a.min()), float(np.mean(on))))
+                rows.append((i, len(paths), int(sum(len(p) for p, _ in paths)), float(a.min()), float(np.mean(on)) if on else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["scene", "paths", "points", "darkest", "found"])
 
-    return spark.range(0, 8, 1, 4).mapInArrow(task, "scene long, paths long, points long, darkest double, found double")
-
-
-def _turning(spark, n: int = 16, height: int = 160, width: int = 224) -> DataFrame:
-    """Frames of one scene that turn by up to 0.6 degrees about its middle, with the true angle."""
-    import pyarrow as pa
-
-    from ..operators import fields
-
-    def draw(batches):
-        grid, a = fields.Grid(height, width), synthetic.scene(height, width, 71)
-        for batch in batches:
-            rows = []
-            for k in batch.column(0).to_pylist():
-                angle = np.radians(0.6) * np.sin(k)
-                m = np.array([[np.cos(angle) - 1, -np.sin(angle)], [np.sin(angle), np.cos(angle) - 1]])
-                d = fields.Field(np.column_stack([m, -m @ np.array([(width - 1) / 2, (height - 1) / 2])]), np.zeros((len(grid.y), len(grid.x), 2)))
-                f = fields.warped(a, d, grid)
-                f = np.where(np.isfinite(f), f, a.mean()) + np.random.default_rng(k).normal(0, 0.005, a.shape)
-                rows.append(("burst_turning", k, height, width, 12, (np.clip(f, 0, 1) * 4095).astype("<u2").tobytes(), float(np.degrees(angle))))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["burst", "index", "height", "width", "bit_depth", "pixels", "angle"])
-
-    return spark.range(0, n, 1, 4).mapInArrow(draw, "burst string, `index` int, height int, width int, bit_depth int, pixels binary, angle double")
+    return patterns(spark, sf_dir).mapInArrow(task, "scene long, paths long, points long, darkest double, found double")
 
 
 @query()
@@ -321,7 +307,7 @@ def nonrigid_recording(spark, sf_dir):
     """Frames that turn: patch shifts, robust affine and local fields over the translation result; the angle found, written and read back."""
     from ..operators import fields
 
-    frames = cut(_turning(spark))
+    frames = cut(turning(spark, sf_dir))
     t = cut(registration.stabilize(frames, least_ncc=0.3))
     path = _folder(spark, "fields")
     f = results.once(spark, path, lambda: fields.refine(frames, t))
@@ -335,29 +321,21 @@ def nonrigid_recording(spark, sf_dir):
 
 @query()
 def tile_residuals(spark, sf_dir):
-    """How far tiles of a recording still move against the mean: as recorded, and after the non-rigid fields."""
-    import pyarrow as pa
-
+    """How far tiles of a recording still move against the mean: after translation, and after the non-rigid fields."""
     from ..operators import fields
 
-    frames = cut(_turning(spark))
+    frames = cut(turning(spark, sf_dir))
     t = cut(registration.stabilize(frames, least_ncc=0.3))
     f = cut(fields.refine(frames, t))
-    none = t.select("burst", "index", F.array(F.lit(0.0), F.lit(0.0), "dx", F.lit(0.0), F.lit(0.0), "dy").alias("affine"), F.lit(None).cast("array<double>").alias("local"))
+    h, w = frames.select("height", "width").first() or (0, 0)  # all frames are of one size
+    still = F.array_repeat(F.lit(0.0), 2 * len(fields.Grid(h, w).y) * len(fields.Grid(h, w).x))
+    none = t.select("burst", "index", F.array(F.lit(0.0), F.lit(0.0), "dx", F.lit(0.0), F.lit(0.0), "dy").alias("affine"), still.alias("local"))
     both = none.withColumn("method", F.lit("translation")).union(f.select("burst", "index", "affine", "local").withColumn("method", F.lit("nonrigid")))
-    rows = frames.join(both, ["burst", "index"]).select(F.concat_ws("/", "burst", "method").alias("key"), "index", "height", "width", "bit_depth", "pixels", "affine", "local")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("index")
-        h, w = table.column("height")[0].as_py(), table.column("width")[0].as_py()
-        grid, stack = fields.Grid(h, w), []
-        for bits, raw, affine, local in zip(*(table.column(c).to_pylist() for c in ("bit_depth", "pixels", "affine", "local")), strict=True):
-            local = np.zeros((len(grid.y), len(grid.x), 2)) if local is None else np.array(local).reshape(len(grid.y), len(grid.x), 2)
-            stack.append(fields.warped(np.frombuffer(raw, "<u2").reshape(h, w) / float((1 << bits) - 1), fields.Field(np.array(affine).reshape(2, 3), local), grid))
-        s = fields.tile_spread(np.array(stack), 2, 3)
-        return pa.table({"key": pa.array([table.column("key")[0].as_py()]), "largest": pa.array([float(s.max())]), "middle": pa.array([float(np.median(s))])})
-
-    got = rows.groupBy("key").applyInArrow(run, "key string, largest double, middle double")  # a recording is a group
+    rows = frames.join(both, ["burst", "index"]).select(F.concat_ws("/", "burst", "method").alias("burst"), "index", "height", "width", "bit_depth", "pixels", "affine", "local")
+    rows = cut(rows)
+    moves = fields.tile_moves(rows, fields.templates(rows, 64, 32), 2, 3)
+    spread = moves.groupBy("burst", "tile").agg(F.sqrt(F.var_pop("dy") + F.var_pop("dx")).alias("s"))
+    got = spread.groupBy(F.col("burst").alias("key")).agg(F.max("s").alias("largest"), F.median("s").alias("middle"))  # six tiles
     return got.select("key", F.round("largest", 3).alias("largest"), F.round("middle", 3).alias("middle"))
 
 
@@ -368,8 +346,8 @@ def feature_registration(spark, sf_dir):
 
     from ..operators import fields
 
-    frames = cut(_turning(spark))
-    first = F.broadcast(frames.filter("index = 0").select("burst", F.col("pixels").alias("reference")))  # one frame a recording
+    frames = cut(turning(spark, sf_dir))
+    first = frames.filter("index = 0").select("burst", F.col("pixels").alias("reference"))
 
     def run(batches):
         kept: tuple = ()
@@ -390,7 +368,7 @@ def feature_registration(spark, sf_dir):
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["burst", "index", "matches", "inliers", "scale", "turn", "model", "misfit"])
 
-    rows = frames.join(first, "burst").select("burst", "index", "height", "width", "pixels", "reference")
+    rows = registration.beside(frames, first, ["burst"], "reference").select("burst", "index", "height", "width", "pixels", "reference")
     got = rows.mapInArrow(run, "burst string, `index` int, matches long, inliers long, scale double, turn double, model string, misfit double")
     return got.select("burst", "index", "matches", "inliers", F.round("scale", 4).alias("scale"), F.round("turn", 3).alias("turn"), "model", F.round("misfit", 3).alias("misfit"), (F.col("inliers") >= 10).alias("good"))
 
@@ -422,7 +400,7 @@ def consecutive_steps(spark, sf_dir):
 
 @query()
 def negative_control(spark, sf_dir):
-    """Velocity along lines beside drawn vessels, where nothing flows: no estimate may pass as reliable."""
+    """Velocity along lines of the table's patterns: some flow, some stand still, and none of those may pass as reliable."""
     import pyarrow as pa
 
     from ..operators import velocity
@@ -430,16 +408,17 @@ def negative_control(spark, sf_dir):
     def task(batches):
         for batch in batches:
             rows = []
-            for i in batch.column(0).to_pylist():
+            for i, kind, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                e, flowing = np.array(e), kind % 2 == 0
+                e = (e - e.mean()) / max(e.std(), 1e-9)
                 rng = np.random.default_rng(3000 + i)
-                flowing = i % 2 == 0
-                k = synthetic.kymograph(100, 90, 1.8, seed=i) if flowing else rng.normal(size=(100, 90)) + np.convolve(rng.normal(size=98), np.ones(9) / 3, "valid")[None]
+                k = synthetic.kymograph(100, 90, 1.4 + 0.2 * kind, seed=i, pattern=e) if flowing else rng.normal(size=(100, 90)) + np.convolve(np.resize(e, 98), np.ones(9) / 3, "valid")[None]
                 v, _, agree, reliable = velocity.estimate(velocity.without_static(k))
                 rows.append((i, flowing, float(v), agree, reliable))
             kinds = (pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["line", "flowing", "velocity", "agree", "reliable"])
 
-    return spark.range(0, 16, 1, 4).mapInArrow(task, "line long, flowing boolean, velocity double, agree long, reliable boolean")
+    return patterns(spark, sf_dir).mapInArrow(task, "line long, flowing boolean, velocity double, agree long, reliable boolean")
 
 
 @query()

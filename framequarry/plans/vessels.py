@@ -16,6 +16,7 @@ from .pictures import PX, pictures
 from .registry import events, query, r6, table
 from .rows import _ENDS, _NEAR, _POS, _curves, _ends, _near, end_links
 from .series import _KYMO, _kymograph
+from .table_frames import numbers, patterns
 
 
 @query(f"""with {_POS}, a as (select *, sqrt(pow(value - lag(value) over w, 2) + pow(y - lag(y) over w, 2)) as step from c window w as (partition by user_id order by pos)),
@@ -282,22 +283,22 @@ def profile_widths(spark, sf_dir):
 
 @query()
 def diameter_phantoms(spark, sf_dir):
-    """Drawn vessels of known width, measured along their length: the middle of what is valid."""
+    """A vessel for each block of vectors, as wide as the place of their largest number says, measured along its length: the middle of what is valid."""
     from ..operators.synthetic import vessel_phantom
 
     def task(batches):
         for batch in batches:
             rows = []
-            for i in batch.column(0).to_pylist():
-                width = (3, 4, 6, 8, 10, 14, 18, 24)[i % 8]
-                image, xy = vessel_phantom(width, seed=i)
+            for i, _, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                width = (3, 4, 6, 8, 10, 14, 18, 24)[int(np.argmax(e)) % 8]
+                image, xy = vessel_phantom(width, seed=numbers(e))
                 d = profiles.diameters(image, xy, width)
                 ok = d["valid"]
                 rows.append((i, float(width), float(np.median(d["width"][ok])) if ok.any() else None, float(np.median(d["fitted"][ok])) if ok.any() else None, float(ok.mean())))
             kinds = (pa.int64(), *[pa.float64()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["phantom", "width", "half_width", "fitted", "valid"])
 
-    return spark.range(0, 16, 1, 8).mapInArrow(task, "phantom long, width double, half_width double, fitted double, valid double")
+    return patterns(spark, sf_dir).mapInArrow(task, "phantom long, width double, half_width double, fitted double, valid double")
 
 
 @query()
@@ -346,7 +347,7 @@ def fitted_lines(spark, sf_dir):
 
 @query()
 def kymograph_phantoms(spark, sf_dir):
-    """Drawn flow of known speed, measured by every estimator, and across a joint."""
+    """The table's patterns flowing at a known speed, measured by every estimator, and across a joint."""
     from ..operators.synthetic import kymograph
 
     speeds = (-2.5, -1.2, 0.8, 1.5, 2.2, 6.0)
@@ -354,9 +355,9 @@ def kymograph_phantoms(spark, sf_dir):
     def task(batches):
         for batch in batches:
             rows = []
-            for i in batch.column(0).to_pylist():
-                v = speeds[i % len(speeds)]
-                k = kymograph(120, 100, v, seed=i)
+            for i, kind, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v = speeds[kind]
+                k = kymograph(120, 100, v, seed=i, pattern=np.array(e))
                 ridge, r2, height = velocity.ridge_speed(velocity.correlation_map(k, 12, 40))
                 fast, score, chance = velocity.fast_speed(k, least=0.5, shuffles=5)
                 ratio = velocity.transit_ratio(k, 50, v)[0]
@@ -364,7 +365,7 @@ def kymograph_phantoms(spark, sf_dir):
             kinds = (pa.int64(), *[pa.float64()] * 7, pa.bool_(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["phantom", "speed", "by_rows", "ridge", "explained", "height", "flight", "fast", "beats_chance", "transit"])
 
-    return spark.range(0, 12, 1, 6).mapInArrow(task, "phantom long, speed double, by_rows double, ridge double, explained double, height double, flight double, fast double, beats_chance boolean, transit double")
+    return patterns(spark, sf_dir).mapInArrow(task, "phantom long, speed double, by_rows double, ridge double, explained double, height double, flight double, fast double, beats_chance boolean, transit double")
 
 
 @query()

@@ -40,10 +40,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(where))
 
 
+def space_left(spark: SparkSession, path: str) -> int:
+    """Bytes that the file system of ``path`` has left."""
+    _, fs = _file_system(spark, path)
+    return int(fs.getStatus().getRemaining())
+
+
 def enough_space(spark: SparkSession, path: str, needed: int) -> bool:
     """Whether the file system of ``path`` has ``needed`` bytes left."""
-    _, fs = _file_system(spark, path)
-    return int(fs.getStatus().getRemaining()) >= needed
+    return space_left(spark, path) >= needed
 
 
 def once(spark: SparkSession, path: str, make) -> DataFrame:
