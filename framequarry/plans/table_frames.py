@@ -95,12 +95,14 @@ def turning(spark, sf_dir, height: int = 128, width: int = 160) -> DataFrame:
 
 #: Frames of a live stream a vector, and when, of 220 frames, another scene is seen.
 STEPS, ROUND, ELSEWHERE = 5, 220, (90, 150)
+#: Strides in which a mean vector is read, one after the other, for a stream's scene and for the other one.
+WAYS = ((1, 5, 11, 23), (3, 7, 13, 29))
 
 
 def live_signals(spark, sf_dir) -> DataFrame:
     """stream, index, seconds, frame (256 numbers), truth: each label a stream, each vector five frames that its numbers move.
 
-    Frames 60 to 62 of a round are a blink; from 90 to 150 another scene (the mean vector backwards) is seen.
+    Frames 60 to 62 of a round are a blink; from 90 to 150 another scene (the mean vector in other orders) is seen.
     """
     from ..streaming.stabilizer import moved
 
@@ -109,9 +111,9 @@ def live_signals(spark, sf_dir) -> DataFrame:
             out = []
             for burst, k, ident, e, mean in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 other = ELSEWHERE[0] <= k % ROUND < ELSEWHERE[1]
-                a = np.resize(np.array(mean[::-1] if other else mean), 256) * np.linspace(1, 3, 256)
-                a = np.convolve(np.pad(a, 8, mode="wrap"), np.hanning(17), "valid")
-                a = moved(0.6 + 0.08 * (a - a.mean()) / max(a.std(), 1e-9), 5 * e) + np.random.default_rng([ident, k]).normal(0, 0.005, 256)
+                at = np.arange(len(mean))[None] * np.array(WAYS[int(other)])[:, None] % len(mean)
+                a = np.convolve(np.pad(np.resize(np.array(mean)[at], 256), 4, mode="wrap"), np.hanning(9), "valid")
+                a = moved(0.6 + 0.03 * (a - a.mean()) / max(np.diff(a).std(), 1e-9), 5 * e) + np.random.default_rng([ident, k]).normal(0, 0.005, 256)
                 if k % ROUND in (60, 61, 62):
                     a = 0.2 * np.convolve(np.pad(a, 20, mode="wrap"), np.ones(41) / 41, "valid")
                 out.append((burst.replace("burst_", "s"), k, k / 16.0, a.tolist(), 5 * e))
