@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.text import printed
 from .registry import EVENTS, events, query, r6, table
 
 
@@ -178,4 +179,4 @@ def vessel_formulas(spark, sf_dir):
     name = F.concat("event_type", F.lit("_"), (F.col("event_id") % 3 * 4 + 8).cast("string"), F.lit("p"))
     bits = F.coalesce(F.nullif(F.regexp_extract(name, "_([0-9]+)", 1), F.lit("")), F.lit("0")).cast("int")
     flow = v / 1.6 * math.pi * F.pow(F.col("event_id") % 7, F.lit(2)) / 4
-    return events(spark, sf_dir).select("event_id", bits.alias("bits"), F.round(flow, 6).alias("flow"), F.when(v > 0, F.round(1 / (v * v), 6)).otherwise(F.lit(0.0)).alias("weight"), F.round(0.9 * v - 0.1 * y + 3, 6).alias("ax"), F.round(0.1 * v + 0.9 * y - 2, 6).alias("ay"), F.format_string("%.2f", v).alias("shown"))
+    return events(spark, sf_dir).select("event_id", bits.alias("bits"), F.round(flow, 6).alias("flow"), F.when(v > 0, F.round(1 / (v * v), 6)).otherwise(F.lit(0.0)).alias("weight"), F.round(0.9 * v - 0.1 * y + 3, 6).alias("ax"), F.round(0.1 * v + 0.9 * y - 2, 6).alias("ay"), F.coalesce(printed(v, 2), F.lit("n/a")).alias("shown"))

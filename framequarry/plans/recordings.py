@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, shared_folder
+from ..functions.text import exact_sum, printed
 from ..operators import plugins, ranks, registration, synthetic
 from ..operators import pictures as P
 from ..sources import bursts, results
@@ -228,8 +229,8 @@ def content_keyed_cache(spark, sf_dir):
 @query("""select o_custkey, 'burst_' || o_custkey || '  ' || lpad(cast(count(*) as varchar), 5, ' ') || ' frames  ' || lpad(printf('%.1f', sum(o_totalprice) / 1000), 10, ' ') || ' kB' as line from orders group by 1""")
 def release_notes(spark, sf_dir):
     """Lines of a release's table in fixed columns."""
-    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
-    line = F.concat(F.lit("burst_"), F.col("o_custkey").cast("string"), F.lit("  "), F.lpad(F.col("n").cast("string"), 5, " "), F.lit(" frames  "), F.lpad(F.format_string("%.1f", F.col("s") / 1000), 10, " "), F.lit(" kB"))
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), exact_sum(F.col("o_totalprice")).alias("s"))
+    line = F.concat(F.lit("burst_"), F.col("o_custkey").cast("string"), F.lit("  "), F.lpad(F.col("n").cast("string"), 5, " "), F.lit(" frames  "), F.lpad(printed(F.col("s") / 1000, 1), 10, " "), F.lit(" kB"))
     return g.select("o_custkey", line.alias("line"))
 
 
@@ -239,7 +240,7 @@ def burst_review(spark, sf_dir):
     w = Window.partitionBy("user_id")
     b = table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w.orderBy("ts", "event_id"))).withColumn("n", F.count(F.lit(1)).over(w))
     title = F.concat(F.lit("frame "), F.col("k").cast("string"), F.lit(" / "), F.col("n").cast("string"))
-    return b.select("event_id", title.alias("title"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("taken"), F.concat(F.format_string("%.2f", "value"), F.lit(" ms")).alias("exposure"))
+    return b.select("event_id", title.alias("title"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("taken"), F.concat(printed(F.col("value"), 2), F.lit(" ms")).alias("exposure"))
 
 
 @query(f"with {PX}, m as (select vec_id, avg(v) filter (v > -1) as m from px group by 1) select vec_id, count(*) filter (v > -1) as valid, round(sum(case when v > -1 then v else m end), 6) + 0.0 as total from px join m using (vec_id) group by 1")
