@@ -91,7 +91,7 @@ def settled_vessels(spark, sf_dir):
     touching = systems.select("system", F.lit(1).alias("one")).join(pairs.withColumn("one", F.lit(1)), "one").select("system", "owner", "other")
     fate, fits = field_fit.settle(entries, targets, owners, touching, _NEEDED)
     ends = fits.withColumn("owner", F.floor(F.col("col") / 2)).groupBy("system", "owner").agg(F.min_by("x", "col").alias("first"), F.max_by("x", "col").alias("last"))
-    out = fate.join(ends, ["system", "owner"], "left")
+    out = fate.join(ends.hint("merge"), ["system", "owner"], "left")  # grows with the table: not broadcast
     fit = lambda c: F.when(F.col("dropped_in").isNull(), F.round(c, 5) + F.lit(0.0))
     return out.select(F.col("system").alias("vec_id"), F.col("owner").alias("vessel"), F.round("score", 5).alias("score"), "dropped_in", fit("first").alias("first"), fit("last").alias("last"))
 

@@ -177,3 +177,29 @@ def test_solver_says_when_it_does_not_get_there(spark):
     assert empty.count() == 0
     lone = field_fit.conjugate_gradients(h.filter("i = 0 and j = 0"), rhs.filter(F.col("i") < 2))
     assert sorted((r.i, r.x) for r in lone.collect()) == [(0, 1.0), (1, 0.0)]
+
+
+def test_systems_solved_outright_as_by_rounds(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, r, c, float(rng.normal())) for s in range(3) for r in range(9) for c in range(2 + s) if rng.random() < 0.8]
+    entries = spark.createDataFrame(rows, "system long, row long, col long, a double")
+    targets = spark.createDataFrame([(s, r, float(rng.normal())) for s in range(3) for r in range(9)], "system long, row long, d double")
+    for direct in (64, 3):  # all systems outright; the largest by rounds
+        x, inverse = field_fit.fitted(entries, targets, direct=direct)
+        got, inv = {(r.system, r.i): r.x for r in x.collect()}, {(r.system, r.k, r.i): r.v for r in inverse.collect()}
+        d = {(r.system, r.row): r.d for r in targets.collect()}
+        for s in range(3):
+            a = np.zeros((9, 2 + s))
+            for q, r, c, v in rows:
+                if q == s:
+                    a[r, c] = v
+            want = np.linalg.lstsq(a, np.array([d[s, r] for r in range(9)]), rcond=None)[0]
+            assert np.allclose([got[s, c] for c in range(2 + s)], want, atol=1e-8)
+            assert np.allclose([[inv[s, k, c] for c in range(2 + s)] for k in range(2 + s)], np.linalg.inv(a.T @ a), atol=1e-8)
+
+
+def test_fit_broadcasts_nothing_that_grows(spark):
+    entries = spark.createDataFrame([(s, 0, 0, 1.0) for s in range(50)], "system long, row long, col long, a double")
+    targets = spark.createDataFrame([(s, 0, 2.0) for s in range(50)], "system long, row long, d double")
+    for t in (*field_fit.normal_equations(entries, targets), field_fit.weakest_apart(targets.select("system", F.col("row").alias("owner"), F.col("d").alias("score")), entries.select("system", F.col("row").alias("owner"), F.lit(1).cast("long").alias("other")))):
+        assert "Broadcast" not in t._jdf.queryExecution().executedPlan().toString()
