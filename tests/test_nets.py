@@ -104,3 +104,13 @@ def test_inferred_flow_balances(spark, sf):
             known[node] = known.get(node, True) and rows[e].q is not None
     inferred = [e for e in o if rows[e].inferred]
     assert inferred and all(any(known[n] and abs(net[n]) < 1 for n in o[e]) for e in inferred)
+
+
+def test_matcher_keeps_edges_not_all_pairs():
+    import tracemalloc
+
+    tracemalloc.start()
+    nets._Matcher(2000, [(k, k + 1, 2) for k in range(1, 2000)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
