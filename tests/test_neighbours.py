@@ -2,8 +2,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framequarry.operators.neighbours import k_nearest
+from framequarry.operators.spatial import nearest_in_reach
 
 
 def plain(targets, k, queries=None):
@@ -51,3 +53,36 @@ def test_sparse_points_beside_a_dense_cell(spark):
     for q, x, y in sparse:
         d = np.hypot(xy[:, 0] - x, xy[:, 1] - y)
         assert got[q] == ids[np.lexsort((ids, d))[:3]].tolist()
+
+
+def _in_reach(rows, k, apart):
+    out = {}
+    for a, x, y, g, v in rows:
+        near = sorted((math.sqrt(sum((p - q) ** 2 for p, q in zip(v, w, strict=True))), b) for b, u, z, h, w in rows if b != a and (not apart or g != h) and math.hypot(x - u, y - z) <= 0.5)
+        if near:
+            out[a] = [b for _, b in near[:k]]
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_nearest_in_reach_against_brute_force(spark, block):
+    """Crowded cells are dealt to blocks of both sides; ties of distance go to the smaller identifier."""
+    rng = np.random.default_rng(5)
+    rows = [(k, float(x), float(y), int(k % 3), [float(n) for n in rng.integers(0, 3, 4)]) for k, (x, y) in enumerate(rng.normal(0, 0.6, (150, 2)))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, g int, e array<double>")
+    for k, vector, other in ((2, "e", None), (1, "e", "g"), (3, "e", "g")):
+        got = nearest_in_reach(df, "id", "x", "y", 0.5, k, vector, other, block=block)
+        assert {r.a: [n.b for n in r.near] for r in got.collect()} == _in_reach(rows, k, other is not None)
+    asked = nearest_in_reach(df, "id", "x", "y", 0.5, 1, other="g", asked=F.col("id") < 20, block=block)
+    assert {r.a: r.near[0].b for r in asked.collect()} == {a: n[0] for a, n in _in_reach([(a, x, y, g, [x, y]) for a, x, y, g, _ in rows], 1, True).items() if a < 20}
+
+
+@pytest.mark.parametrize("name", ["ratio_test_matches", "footprint_share", "faint_bridges", "end_links"])
+def test_pairs_in_reach_are_not_joined_again(spark, sf, name):
+    """Pairs grow with the square of the points: above the join that makes them there is no join with the points' columns."""
+    from framequarry import plans
+
+    plan = plans.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    at = [len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines() if "Join Inner" in line and ("cx" in line or "double" in line)]
+    above = [line for line in plan.splitlines() if "Join Inner" in line and "cx" not in line and at and len(line) - len(line.lstrip(" :+-")) < min(at)]
+    assert not any(f" {k}#" in line or f"({k}#" in line for line in above for k in "ab")
