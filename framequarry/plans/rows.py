@@ -166,7 +166,8 @@ def edge_towards(spark, sf_dir):
  from p left join n on n.a = p.vec_id and n.rn = 1 group by 1""")
 def footprint_share(spark, sf_dir):
     """Share of a curve's points inside the nearest other curve's footprint."""
-    n = _near(spark, sf_dir).filter("la <> lb").groupBy(F.col("a").alias("vec_id")).agg(F.min(F.struct("d", "b", "lb")).alias("x"))
+    near = F.col("near")[0]
+    n = _nearest(spark, sf_dir, 1, other="label").select(F.col("a").alias("vec_id"), F.struct(near["dist"].alias("d"), near["other"].alias("lb")).alias("x"))
     p = table(spark, sf_dir, "embeddings").select("vec_id", "label").join(n, "vec_id", "left")
     inside = F.when(F.col("x.d") <= 0.7 * 0.02 * (F.col("x.lb") % 3) + 0.01, 1.0).otherwise(0.0)
     return p.groupBy("label").agg(F.count(F.lit(1)).alias("points"), F.count("x").alias("reached"), F.round(F.avg(inside), 6).alias("inside"), (F.avg(inside) >= 0.4).alias("within"))
