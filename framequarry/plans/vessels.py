@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import chains, graph, kernels, nets, profiles, velocity
+from ..operators import chains, graph, kernels, nets, profiles, spatial, velocity
 from ..operators import pictures as P
 from .pictures import PX, pictures
 from .registry import events, query, r6, table
@@ -167,7 +167,11 @@ def edge_crossings(spark, sf_dir):
 def faint_bridges(spark, sf_dir):
     """Ends of faint tracks, each with the nearest mapped point of another edge, and whether the gap is bridged."""
     e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).select("label", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("tip"))
-    n = _near(spark, sf_dir).filter("la <> lb").groupBy(F.col("a").alias("tip")).agg(F.min(F.struct("d", "b", "lb")).alias("x"))
+    # only the tips ask; they are among their labels' points
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), "label")
+    p = p.join(e.select(F.col("tip").alias("vec_id"), F.lit(True).alias("is_tip")), "vec_id", "left").withColumn("is_tip", F.col("is_tip").isNotNull())
+    near = F.col("near")[0]
+    n = spatial.nearest_in_reach(p, "vec_id", "x", "y", 0.04, 1, other="label", asked=F.col("is_tip")).select(F.col("a").alias("tip"), F.struct(near["dist"].alias("d"), near["b"].alias("b"), near["other"].cast("int").alias("lb")).alias("x"))
     return e.join(n, "tip").select("label", "tip", F.col("x.b").alias("onto"), F.col("x.lb").alias("edge"), F.round("x.d", 6).alias("gap"), (F.col("x.d") <= 0.02).alias("joined"))
 
 
