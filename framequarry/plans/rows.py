@@ -204,9 +204,7 @@ def end_links(spark, sf_dir):
     """Ends that may continue into each other: within reach, turn, width ratio and sideways step small enough; and what it costs."""
     size = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
     u = _ends(spark, sf_dir).filter("dx <> 0 or dy <> 0").select((F.col("user_id") * 2 + F.col("tip")).alias("id"), "x", "y", (F.col("dx") / size).alias("tx"), (F.col("dy") / size).alias("ty"), F.greatest("w", F.lit(0.1)).alias("w"))
-    pairs = spatial.radius_pairs(u, "id", "x", "y", 12.0).select("a", "b", F.col("dist").alias("gap"))
-    side = lambda k: u.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("x", "y", "tx", "ty", "w")])
-    j = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.floor(F.col("a") / 2) != F.floor(F.col("b") / 2))
+    j = spatial.radius_pairs(u, "id", "x", "y", 12.0, ("x", "y", "tx", "ty", "w")).withColumnRenamed("dist", "gap").filter(F.floor(F.col("a") / 2) != F.floor(F.col("b") / 2))
     dot = F.col("txa") * F.col("txb") + F.col("tya") * F.col("tyb")
     dx, dy = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
     j = j.withColumn("turn", F.degrees(F.acos(F.greatest(F.least(-dot, F.lit(1.0)), F.lit(-1.0))))).withColumn("wide", F.greatest("wa", "wb") / F.least("wa", "wb"))
