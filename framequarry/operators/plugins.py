@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.batches import small
 from .kernels import vesselness
 
 Segmenter = Callable[[np.ndarray], np.ndarray]
@@ -60,7 +61,7 @@ def segment(frames: DataFrame, registry: Registry, ident: str) -> DataFrame:
     run_one = registry[ident].run
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for h, w, bits, raw in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 if raw is None or not h or not w or len(raw) != h * w * (2 if bits > 8 else 1):

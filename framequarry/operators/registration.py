@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import small
 from ..functions.lineage import cut
 from .kernels import ncc, phase_shift_2d
 from .synthetic import shifted
@@ -24,7 +25,7 @@ def _image(raw: bytes, h: int, w: int, bits: int) -> np.ndarray:
 def _sums(batches):
     """Aligned sums of each batch's frames by recording: what the reducer gets is a picture a task, not a frame."""
     sums: dict[tuple, list] = {}
-    for batch in batches:
+    for batch in small(batches):
         for burst, h, w, bits, raw, dy, dx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             a = _image(raw, h, w, bits)
             slot = sums.setdefault((burst, h, w), [0, np.zeros((h, w))])
@@ -49,7 +50,7 @@ def templates(frames: DataFrame) -> DataFrame:
 
 
 def _match(batches):
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for h, w, bits, raw, tpl in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
             a, t = _image(raw, h, w, bits), np.frombuffer(tpl, "<f8").reshape(h, w)
@@ -101,7 +102,7 @@ def working_frames(frames: DataFrame, height: int = 600) -> DataFrame:
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for h, w, bits, raw in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 if raw is None or not h or not w or len(raw) != h * w * (2 if bits > 8 else 1):

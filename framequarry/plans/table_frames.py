@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import small
 from ..operators.kernels import gaussian
 from ..operators.synthetic import shifted
 from .registry import table
@@ -21,7 +22,7 @@ HEIGHT, WIDTH, BITS = 64, 96, 12
 #: Pixels a unit of a vector; a third number over this makes a blink.
 REACH, BLINK = 12.0, 0.28
 
-_KINDS = (("burst", pa.string()), ("index", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("bit_depth", pa.int32()), ("pixels", pa.binary()), ("true_dy", pa.float64()), ("true_dx", pa.float64()), ("blink", pa.bool_()))
+_KINDS = (("burst", pa.string()), ("index", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("bit_depth", pa.int32()), ("pixels", pa.binary()), ("true_dy", pa.float64()), ("true_dx", pa.float64()), ("blink", pa.bool_()), ("place", pa.int32()))
 
 
 def scene(amplitudes: np.ndarray, height: int = HEIGHT, width: int = WIDTH) -> np.ndarray:
@@ -49,23 +50,25 @@ def _rows(spark, sf_dir) -> DataFrame:
 
 
 def recorded(spark, sf_dir) -> DataFrame:
-    """burst, index, height, width, bit_depth, pixels, true_dy, true_dx, blink of all vectors."""
-    rows = _dealt(_rows(spark, sf_dir).select("burst", "index", "vec_id", F.col("e")[0].alias("y"), F.col("e")[1].alias("x"), F.col("e")[2].alias("z"), "mean"))
+    """burst, index, height, width, bit_depth, pixels, true_dy, true_dx, blink of all vectors; place, from 1, among a recording's blinks or its other frames."""
+    place = F.row_number().over(Window.partitionBy("burst", F.coalesce(F.col("z") > BLINK, F.lit(False))).orderBy("index"))
+    rows = _rows(spark, sf_dir).select("burst", "index", "vec_id", F.col("e")[0].alias("y"), F.col("e")[1].alias("x"), F.col("e")[2].alias("z"), "mean")
+    rows = _dealt(rows.withColumn("place", place).select("burst", "index", "vec_id", "y", "x", "z", "place", "mean"))
 
     def draw(batches):
         kept: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             out = []
-            for burst, i, ident, y, x, z, mean in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for burst, i, ident, y, x, z, place, mean in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if burst not in kept:
                     kept = {burst: scene(np.array(mean))} if len(kept) > 64 else kept | {burst: scene(np.array(mean))}
                 f = shifted(kept[burst], REACH * y, REACH * x) + np.random.default_rng(ident).normal(0, 0.01, (HEIGHT, WIDTH))
                 blink = z > BLINK
                 f = gaussian(f, 8) * 0.4 if blink else f
-                out.append((burst, i, HEIGHT, WIDTH, BITS, (np.clip(f, 0, 1) * ((1 << BITS) - 1)).astype("<u2").tobytes(), REACH * y, REACH * x, blink))
+                out.append((burst, i, HEIGHT, WIDTH, BITS, (np.clip(f, 0, 1) * ((1 << BITS) - 1)).astype("<u2").tobytes(), REACH * y, REACH * x, blink, place))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, (_, t) in enumerate(_KINDS)], names=[n for n, _ in _KINDS])
 
-    return rows.mapInArrow(draw, "burst string, `index` int, height int, width int, bit_depth int, pixels binary, true_dy double, true_dx double, blink boolean")
+    return rows.mapInArrow(draw, "burst string, `index` int, height int, width int, bit_depth int, pixels binary, true_dy double, true_dx double, blink boolean, place int")
 
 
 def turning(spark, sf_dir, height: int = 128, width: int = 160) -> DataFrame:
@@ -74,7 +77,7 @@ def turning(spark, sf_dir, height: int = 128, width: int = 160) -> DataFrame:
 
     def draw(batches):
         grid, kept = fields.Grid(height, width), {}
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for burst, i, ident, turn, mean in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if burst not in kept:
@@ -107,7 +110,7 @@ def live_signals(spark, sf_dir) -> DataFrame:
     from ..streaming.stabilizer import moved
 
     def draw(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for burst, k, ident, e, mean in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 other = ELSEWHERE[0] <= k % ROUND < ELSEWHERE[1]

@@ -8,6 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import small
 from . import schemas, tiff
 
 #: Frames per second where a manifest says nothing.
@@ -66,7 +67,7 @@ def frames(spark: SparkSession, root: str) -> DataFrame:
     number = F.regexp_extract("path", r"frame_(\d+)\.tif$", 1).cast("int")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for content in batch.column(2).to_pylist():
                 try:
@@ -91,7 +92,7 @@ def write_frames(df: DataFrame, root: str) -> DataFrame:
 
         store, top = FileSystem.from_uri(root if ":" in root else f"file://{root}")
         made = set()
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for burst, index, h, w, bits, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 folder = f"{top.rstrip('/')}/{burst}"

@@ -12,6 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import small
 from . import schemas
 
 
@@ -154,7 +155,7 @@ def stabilized(frames: DataFrame, transforms: DataFrame) -> DataFrame:
     used = result_lookup(frames, transforms).filter("used").select("burst", "index", "height", "width", "bit_depth", "pixels", "dy", "dx")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for h, w, bits, raw, dy, dx in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
                 kind = "<u2" if bits > 8 else np.uint8
