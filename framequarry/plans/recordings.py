@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import small
 from ..functions.lineage import cut, shared_folder
 from ..functions.text import exact_sum, printed
 from ..operators import plugins, ranks, registration, synthetic
@@ -114,11 +115,12 @@ def _warped_overlap(frames: DataFrame, shift: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             sums: dict = {}
-            for burst, h, w, bits, raw, dy, dx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a = synthetic.shifted(np.frombuffer(raw, "<u2").reshape(h, w) / float((1 << bits) - 1), -(dy or 0), -(dx or 0))
-                m = (a < np.median(a) - 0.6 * a.std())[10:-10, 10:-10].astype(np.int64)
-                n, total = sums.get(burst, (0, 0))
-                sums[burst] = (n + 1, total + m)
+            for piece in small([batch]):
+                for burst, h, w, bits, raw, dy, dx in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                    a = synthetic.shifted(np.frombuffer(raw, "<u2").reshape(h, w) / float((1 << bits) - 1), -(dy or 0), -(dx or 0))
+                    m = (a < np.median(a) - 0.6 * a.std())[10:-10, 10:-10].astype(np.int64)
+                    n, total = sums.get(burst, (0, 0))
+                    sums[burst] = (n + 1, total + m)
             out = [(b, n, t.astype("<i8").tobytes()) for b, (n, t) in sums.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["burst", "n", "total"])
 
@@ -290,7 +292,7 @@ def vessel_scenes(spark, sf_dir):
     import pyarrow as pa
 
     def task(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for i, _, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, paths = synthetic.vessel_tree(numbers(e))
@@ -352,7 +354,7 @@ def feature_registration(spark, sf_dir):
 
     def run(batches):
         kept: tuple = ()
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for index, h, w, raw, ref in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
                 if not kept or kept[0] != ref:
@@ -383,10 +385,13 @@ def consecutive_steps(spark, sf_dir):
 
     frames = cut(recorded(spark, sf_dir).filter("not blink"))
     w = Window.partitionBy("burst").orderBy("index")
-    pairs = frames.select("burst", "index", "height", "width", "pixels", "true_dy", "true_dx", F.lag("pixels").over(w).alias("before"))
+    # pictures are met by their places; a recording's window sees numbers only
+    before = frames.select("burst", (F.col("place") + 1).alias("place"), F.col("pixels").alias("before"))
+    pairs = frames.select("burst", "place", "index", "height", "width", "pixels", "true_dy", "true_dx").join(before, ["burst", "place"], "left")
+    pairs = pairs.select("burst", "index", "height", "width", "pixels", "true_dy", "true_dx", "before")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for h, wd, raw, ref in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 7)), strict=True):
                 a = np.frombuffer(raw, "<u2").reshape(h, wd) / 4095.0
@@ -407,7 +412,7 @@ def negative_control(spark, sf_dir):
     from ..operators import velocity
 
     def task(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for i, kind, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 e, flowing = np.array(e), kind % 2 == 0
