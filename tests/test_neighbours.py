@@ -86,3 +86,23 @@ def test_pairs_in_reach_are_not_joined_again(spark, sf, name):
     at = [len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines() if "Join Inner" in line and ("cx" in line or "double" in line)]
     above = [line for line in plan.splitlines() if "Join Inner" in line and "cx" not in line and at and len(line) - len(line.lstrip(" :+-")) < min(at)]
     assert not any(f" {k}#" in line or f"({k}#" in line for line in above for k in "ab")
+
+
+def test_shared_pixels_in_lists_and_ranges(spark, monkeypatch):
+    """A pixel with many owners is cut into lists; every pair is counted once for each pixel, whatever the ranges."""
+    from collections import Counter
+    from itertools import combinations
+
+    from framequarry.operators import spatial
+
+    monkeypatch.setattr(spatial, "LIST", 3)
+    monkeypatch.setattr(spatial, "PAIRS_A_TASK", 10)
+    rng = np.random.default_rng(6)
+    rows = [(int(o), int(p)) for o, p in zip(rng.integers(0, 30, 400), rng.integers(0, 20, 400), strict=True)] + [(1, 99), (None, 99), (2, None)]
+    owners: dict = {}
+    for o, p in rows:
+        if o is not None and p is not None:
+            owners.setdefault(p, set()).add(o)
+    want = Counter(pair for own in owners.values() for pair in combinations(sorted(own), 2))
+    got = spatial.shared_pixels(spark.createDataFrame(rows, "o long, p long"), "o", "p", 2).collect()
+    assert {(r.a, r.b): r.n for r in got} == {k: n for k, n in want.items() if n >= 2}
