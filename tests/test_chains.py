@@ -203,3 +203,31 @@ def test_fit_broadcasts_nothing_that_grows(spark):
     targets = spark.createDataFrame([(s, 0, 2.0) for s in range(50)], "system long, row long, d double")
     for t in (*field_fit.normal_equations(entries, targets), field_fit.weakest_apart(targets.select("system", F.col("row").alias("owner"), F.col("d").alias("score")), entries.select("system", F.col("row").alias("owner"), F.lit(1).cast("long").alias("other")))):
         assert "Broadcast" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_shrink_the_graph(spark):
+    """Random components, a path in a bad order, a star and a loop; edges that are settled are not written again."""
+    import numpy as np
+
+    from framequarry.functions.lineage import cut
+    from framequarry.operators.graph import components
+
+    rng = np.random.default_rng(7)
+    path = [1000 + int(k) for k in rng.permutation(40)]
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + list(zip(path, path[1:], strict=False)) + [(9999, 2000 + k) for k in range(50)] + [(5000, 5000)]
+    label = {x: x for p in pairs for x in p}
+    for _ in range(len(label)):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    widths = []
+
+    def write(df):
+        out = cut(df)
+        if out.columns == ["a", "b"]:
+            widths.append(out.count())
+        return out
+
+    got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "u long, v long"), "u", "v", write).collect()}
+    assert got == label
+    assert len(widths) > 1 and widths[-1] == 0
+    assert all(b < a for a, b in zip(widths, widths[1:], strict=False))
