@@ -116,7 +116,7 @@ _LINES = "g as (select distinct l_partkey as u, l_suppkey as v from lineitem), b
  select node, depth from t""")
 def bfs_depth_orientation(spark, sf_dir):
     """Depth of all nodes that can be reached from the smallest one (M8)."""
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v"))
     return graph.depths(e, "u", "v", e.agg(F.min(F.least("u", "v")).alias("node")))
 
 
@@ -124,8 +124,9 @@ def bfs_depth_orientation(spark, sf_dir):
  select u, v, case when x.depth < y.depth then 1 when x.depth > y.depth then -1 when u < v then 1 else -1 end as direction, least(x.depth, y.depth) as level from g join t x on x.node = u join t y on y.node = v where u <> v""")
 def structural_orientation(spark, sf_dir):
     """Each edge pointed away from the root by the depths of its ends (M8)."""
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
-    d = graph.depths(e, "u", "v", e.agg(F.min(F.least("u", "v")).alias("node")))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v"))
+    e = lines.distinct()
+    d = graph.depths(lines, "u", "v", lines.agg(F.min(F.least("u", "v")).alias("node")))
     at = lambda k: d.select(F.col("node").alias(k), F.col("depth").alias(f"d{k}"))
     rows = e.filter("u <> v").join(at("u"), "u").join(at("v"), "v")
     direction = F.when(F.col("du") < F.col("dv"), 1).when(F.col("du") > F.col("dv"), -1).when(F.col("u") < F.col("v"), 1).otherwise(-1)

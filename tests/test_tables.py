@@ -160,3 +160,18 @@ def test_greedy_matching_goes_to_the_end(spark):
     path = spark.range(102).coalesce(1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.col("id").cast("double").alias("cost"))
     got = {(r.a, r.b) for r in graph.greedy_matching(path, "a", "b", "cost").collect()}
     assert got == {(k, k + 1) for k in range(0, 102, 2)}
+
+
+def test_depths_shuffle_each_edge_once(spark):
+    from framequarry.operators import graph
+
+    plans = []
+
+    def write(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3), (3, 3), (4, 5), (6, None)], "u int, v int")
+    got = {r.node: r.depth for r in graph.depths(edges, "u", "v", spark.createDataFrame([(1,)], "node int"), write=write).collect()}
+    assert got == {1: 0, 2: 1, 3: 2}
+    assert plans[0].count("Exchange hashpartitioning") == 1
