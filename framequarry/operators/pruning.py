@@ -23,15 +23,17 @@ def _gains(cover: DataFrame, residual: DataFrame) -> DataFrame:
     return rows.groupBy("edge").agg(F.sum(2 * F.col("r") * F.col("c") + F.col("c") * F.col("c")).alias("gain"), F.count(F.lit(1)).alias("pixels"))
 
 
-def pruned(cover: DataFrame, data: DataFrame, edges: DataFrame, most: int = 1000, write=cut) -> tuple[DataFrame, list[int]]:
+def pruned(cover: DataFrame, data: DataFrame, edges: DataFrame, most: int = 1000, write=cut, summed: bool = False) -> tuple[DataFrame, list[int]]:
     """(edge, gain, pixels, removed_in) of all edges, and how many rows of ``cover`` each round read for scoring.
 
     ``cover``: edge, pixel, c; ``data``: pixel, d; ``edges``: edge, price, protected. An edge goes if its gain is below
     its price, a protected one only if it gains nothing; ``removed_in`` is the round, from 1, and null for those that
     stay. Gains are the last ones before an edge went, or those at the end. Edges without pixels gain nothing. Raises if
-    ``most`` rounds do not end it.
+    ``most`` rounds do not end it. Of a ``cover`` that is ``summed``, with one row for each edge and pixel and written
+    already, no pair is looked for again.
     """
-    cover = write(cover.groupBy("edge", "pixel").agg(F.sum("c").alias("c")))
+    if not summed:
+        cover = write(cover.groupBy("edge", "pixel").agg(F.sum("c").alias("c")))
     model = cover.groupBy("pixel").agg(F.sum("c").alias("m"))
     residual = write(data.join(model, "pixel").select("pixel", (F.col("d") - F.col("m")).alias("r")))
     price = write(edges.select("edge", "price", F.coalesce("protected", F.lit(False)).alias("protected")))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import blocks, consensus, field_fit, pruning
 from .images import _PX
 from .registry import query, table
@@ -107,9 +108,10 @@ def settled_vessels(spark, sf_dir):
 def pruned_map(spark, sf_dir):
     """Edges that gain less than their price go, round by round, and only what they touched is scored again."""
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("edge"), F.col("l_orderkey").alias("pixel")).agg(F.sum(F.col("l_discount") * 10 - 0.4).alias("c"))
+    li = cut(li)  # read by every round
     data = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pixel"), ((F.col("o_totalprice") % 100) / 60.0).alias("d"))
     edges = li.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).select("edge", (0.1 * F.log(F.col("n") + 1) * (2 + F.col("edge") % 3)).alias("price"), (F.col("edge") % 11 == 0).alias("protected"))
-    out, _ = pruning.pruned(li, data, edges)
+    out, _ = pruning.pruned(li, data, edges, summed=True)
     return out.select("edge", r5("gain").alias("gain"), "pixels", "removed_in")
 
 
