@@ -231,3 +231,26 @@ def test_components_shrink_the_graph(spark):
     assert got == label
     assert len(widths) > 1 and widths[-1] == 0
     assert all(b < a for a, b in zip(widths, widths[1:], strict=False))
+
+
+def test_ranking_a_long_chain_writes_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(chains, "REST", 16, raising=False)
+    seen = []
+
+    def write(df):
+        df = df.localCheckpoint()
+        seen.append(df.count())
+        return df
+
+    n = 3000
+    order = [(k * 1009) % n for k in range(n)]  # places and numbers have nothing in common
+    chain = [(2 * a + 1, 2 * b, 1.0) for a, b in zip(order, order[1:])]
+    ring = [(2 * a + 1 - a % 2, 2 * b + b % 2, float(b)) for a, b in zip(range(5000, 5090), [*range(5001, 5090), 5000])]  # every other edge turned, dearest into 5089
+    links = spark.createDataFrame(chain + ring, "a long, b long, cost double")
+    got = {r.edge: (r.chain, r.place, r.reversed) for r in chains.ranked_chains(links, write=write).collect()}
+    turned = 2 * order[0] > 2 * order[-1] + 1
+    want = {e: (order[-1], n - 1 - k, True) if turned else (order[0], k, False) for k, e in enumerate(order)}
+    # 5088 and 5089 are the free ends of the ring; from the smaller one it goes down to 5000, then to 5089
+    want |= {e: (5088, 5088 - e if e < 5089 else 89, e % 2 == 0) for e in range(5000, 5090)}
+    assert got == want
+    assert sum(seen) < 14 * (n + 90)  # by doubling, each of twelve rounds wrote both directions of every edge
