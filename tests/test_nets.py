@@ -114,3 +114,25 @@ def test_matcher_keeps_edges_not_all_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20 << 20
+
+
+def test_matcher_searches_around_each_node():
+    """A long path, where prices prove the weight, does not cost the square of its nodes; triangles in a row shrink and open again."""
+    import time
+
+    rnd, n = random.Random(8), 6000
+    path = [(k, k + 1, 1 + rnd.random()) for k in range(n)]
+    began = time.monotonic()
+    taken, price = nets.priced_matching(path)
+    weight = lambda edges, pairs: sum(round(w * nets.PARTS) for a, b, w in edges if (a, b) in pairs)
+    best, before = 0, 0
+    for _, _, w in path:
+        best, before = max(best, before + round(w * nets.PARTS)), best
+    assert weight(path, taken) == best
+    assert all(price[a] + price[b] >= round(w * nets.PARTS) / nets.PARTS and price[a] >= 0 for a, b, w in path)
+    assert sum(price.values()) * nets.PARTS == best
+    assert time.monotonic() - began < 30
+    # triangles in a row: an edge of each, and every second link between them
+    n = 300
+    odd = [e for k in range(0, n, 3) for e in ((k, k + 1, 3.0), (k + 1, k + 2, 3.0), (k, k + 2, 3.0), (k + 2, k + 3, 1.0))][:-1]
+    assert weight(odd, nets.maximum_matching(odd)) == (3 * (n // 3) + n // 6) * nets.PARTS
