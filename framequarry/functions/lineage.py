@@ -17,9 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+#: Bytes of a row group: what is read back is split at these, so a file that one task wrote is not one task again.
+ROW_GROUP = 4 << 20
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fq-cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -36,8 +36,11 @@ def scene(amplitudes: np.ndarray, height: int = HEIGHT, width: int = WIDTH) -> n
 
 
 def _dealt(df: DataFrame, *by: str) -> DataFrame:
-    """Few small rows that cost much each go to all shuffle partitions, which repartition() without their number would merge."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(by or ("burst", "index")))
+    """Few small rows that cost much each go to all shuffle partitions, which repartition() without their number would merge.
+
+    By a hash of the columns: rows that were grouped by the columns themselves would stay where they are, in merged partitions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*(by or ("burst", "index"))))
 
 
 def _rows(spark, sf_dir) -> DataFrame:
