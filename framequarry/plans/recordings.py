@@ -353,13 +353,14 @@ def feature_registration(spark, sf_dir):
     first = frames.filter("index = 0").select("burst", F.col("pixels").alias("reference"))
 
     def run(batches):
-        kept: tuple = ()
+        kept: dict[bytes, tuple] = {}  # frames of all recordings come mixed
         for batch in small(batches):
             rows = []
             for index, h, w, raw, ref in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
-                if not kept or kept[0] != ref:
-                    kept = (ref, *fields.corner_patches(np.frombuffer(ref, "<u2").reshape(h, w) / 4095.0))
-                _, p, dp = kept
+                if ref not in kept:
+                    corners = fields.corner_patches(np.frombuffer(ref, "<u2").reshape(h, w) / 4095.0)
+                    kept = {ref: corners} if len(kept) > 64 else kept | {ref: corners}
+                p, dp = kept[ref]
                 q, dq = fields.corner_patches(np.frombuffer(raw, "<u2").reshape(h, w) / 4095.0)
                 m = fields.matched(dp, dq)
                 s, good = fields.consensus(p[m[:, 0]], q[m[:, 1]], seed=index)
