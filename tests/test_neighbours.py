@@ -106,3 +106,34 @@ def test_shared_pixels_in_lists_and_ranges(spark, monkeypatch):
     want = Counter(pair for own in owners.values() for pair in combinations(sorted(own), 2))
     got = spatial.shared_pixels(spark.createDataFrame(rows, "o long, p long"), "o", "p", 2).collect()
     assert {(r.a, r.b): r.n for r in got} == {k: n for k, n in want.items() if n >= 2}
+
+
+def test_shared_runs_over_stretches_and_parts(spark):
+    """Runs go on over the ends of stretches, a pixel of many owners is divided, and pairs are never rows."""
+    import random
+
+    from framequarry.operators.spatial import shared_runs
+
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(12), rnd.randrange(-40, 160), 0) for _ in range(700)] + [(k, 300, 0) for k in range(40)] + [(None, 5, 0), (3, None, 0)]
+    rows = [(o, p, None if o == 7 else (o or 0) % 4) for o, p, _ in rows]
+    df = spark.createDataFrame(rows, "o long, p long, node int")
+    at: dict = {}
+    own = {(o, p, n) for o, p, n in rows if None not in (o, p, n)}
+    for o, p, n in own:
+        for q, r, m in own:
+            if p == r and o < q and n != m:
+                at.setdefault((o, q), []).append(p)
+    want = []
+    for (a, b), ps in at.items():
+        runs: list[list[int]] = []
+        for p in sorted(ps):
+            if runs and p - runs[-1][-1] <= 6:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        want += [(a, b, r[0], len(r)) for r in runs]
+    for most in (3, 40, 10**6):
+        got = sorted(tuple(r) for r in shared_runs(df, "o", "p", "node", 6, most=most).collect())
+        assert got == sorted(want)
+    assert shared_runs(df.limit(0), "o", "p", "node", 6).collect() == []
