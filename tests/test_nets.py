@@ -136,3 +136,46 @@ def test_matcher_searches_around_each_node():
     n = 300
     odd = [e for k in range(0, n, 3) for e in ((k, k + 1, 3.0), (k + 1, k + 2, 3.0), (k, k + 2, 3.0), (k + 2, k + 3, 1.0))][:-1]
     assert weight(odd, nets.maximum_matching(odd)) == (3 * (n // 3) + n // 6) * nets.PARTS
+
+
+def test_matching_takes_few_links_of_many(spark):
+    """Of a crowd where everything links to everything, with many equals, tasks see a part, and the weight is that of all links."""
+    from framequarry.functions.lineage import cut
+
+    rnd = random.Random(5)
+    rows = [(a, b, rnd.choice([3.0, 3.0, 2.5, 1 + 2 * rnd.random()])) for a in range(90) for b in range(a + 1, 90) if a % 3 or b % 5]
+    rows += [(100 + a, 200 + b, 1.0) for a in range(12) for b in range(30)] + [(300, 301, 0.5), (301, 302, 0.4), (303, 303, 1.0)]
+    written = []
+
+    def write(df):
+        out = cut(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    got = nets.matching(spark.createDataFrame(rows, "a long, b long, w double").repartition(4), "a", "b", "w", write).collect()
+    ends = [x for r in got for x in (r.a, r.b)]
+    value = {(a, b): w for a, b, w in rows}
+    assert len(ends) == len(set(ends)) and all(value[r.a, r.b] == r.weight for r in got)
+    whole = lambda pairs: sum(round(value[p] * nets.PARTS) for p in pairs)
+    assert whole((r.a, r.b) for r in got) == whole(nets.maximum_matching(rows))
+    pairs = [n for c, n in written if {"a", "b"} <= set(c)]
+    assert max(pairs[1:]) < len(rows) / 2
+
+
+def test_matcher_goes_on_from_prices():
+    """Edges added in parts, each time from the prices and pairs so far, give the weight of all edges."""
+    rnd = random.Random(9)
+    for _ in range(200):
+        n = rnd.randrange(3, 14)
+        edges = [(a, b, 2 * rnd.choice([4, 4, rnd.randrange(1, 30)])) for a in range(1, n) for b in range(a + 1, n + 1) if rnd.random() < 0.7]
+        rnd.shuffle(edges)
+        start = mate = None
+        for part in (len(edges) // 3, 2 * len(edges) // 3, len(edges)):
+            m = nets._Matcher(n, edges[:part], start, mate)
+            m.run()
+            start, mate = m.starts(), m.mate[1 : n + 1]
+            assert all(not v or mate[v - 1] == u for u, v in enumerate(mate, 1))
+            taken = [(u, v) for u, v in enumerate(mate, 1) if u < v]
+            alone = nets.maximum_matching([(a, b, w / nets.PARTS) for a, b, w in edges[:part]])
+            total = lambda pairs: sum(w for a, b, w in edges[:part] if (a, b) in pairs)  # noqa: E731, B023
+            assert total(taken) == total(alone)
