@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import steady_sum
+
 
 def steps(df: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
     """df with step (from the point before, 0 for the first) and arc (running sum)."""
@@ -31,5 +33,5 @@ def tortuosity(df: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame
     rows = rows.withColumn("side", F.round(pdx * F.col("dy") - pdy * F.col("dx"), 6)).withColumn("turn", F.atan2("side", pdx * F.col("dx") + pdy * F.col("dy")))
     rows = rows.withColumn("flip", F.col("side") * F.lag("side").over(by) < 0)
     ends = lambda c: (F.max_by(c, order) - F.min_by(c, order))
-    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("points"), F.sum("step").alias("length"), F.sqrt(F.pow(ends(x), 2) + F.pow(ends(y), 2)).alias("chord"), F.sum(F.abs("turn")).alias("turning"), F.count_if("flip").alias("inflections"))
+    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("points"), steady_sum(F.col("step")).alias("length"), F.sqrt(F.pow(ends(x), 2) + F.pow(ends(y), 2)).alias("chord"), steady_sum(F.abs("turn")).alias("turning"), F.count_if("flip").alias("inflections"))
     return out.withColumn("distance_metric", F.when(F.col("chord") > 0, F.col("length") / F.col("chord")))
