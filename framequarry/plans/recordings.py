@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -39,8 +40,10 @@ def _recordings(spark, sf_dir) -> tuple[str, DataFrame]:
     for row in files.groupBy("burst").agg(F.max("index").alias("last")).collect():  # a row a recording
         stamps = row.burst != "burst_01"  # one has no camera clock, so its times come from the manifest
         head = "index,filename,camera_timestamp_ns" if stamps else "index,filename"
-        lines = [f"{k},frame_{k:06d}.tif" + (f",{5_000_000_000 + k * 31_250_000}" if stamps else "") for k in range(row["last"] + 1)]
-        results.put_lines(spark, f"{root}/{row.burst}/frames.csv", [head, *lines])
+        line = lambda k, stamps=stamps: f"{k},frame_{k:06d}.tif" + (f",{5_000_000_000 + k * 31_250_000}" if stamps else "")
+        n = row["last"] + 1
+        pieces = ("\n".join(map(line, range(k, min(k + 1024, n)))) for k in range(0, n, 1024))  # many lines a call, never all of them
+        results.put_lines(spark, f"{root}/{row.burst}/frames.csv", chain([head], pieces))
         manifest = {"acquisition_requested": {"pixel_format": "Mono12", "requested_fps": 32.0}, "capture": {"effective_fps": 32.0 if row.burst != "burst_02" else None}, "pixel_values": {"bit_depth": 12, "dtype": "uint16"}}
         results.put_lines(spark, f"{root}/{row.burst}/manifest.json", [json.dumps(manifest)])
     return root, drawn
@@ -76,7 +79,7 @@ def decoded_frames(spark, sf_dir):
 def file_checksums(spark, sf_dir):
     """Size and digest of every file of every recording, against the digest of what was written."""
     root, drawn = _recordings(spark, sf_dir)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "frame_*.tif").load(root)
+    raw = bursts.binary(spark, root, "frame_*.tif")
     got = raw.select(F.regexp_extract("path", bursts.BURST, 1).alias("burst"), F.regexp_extract("path", r"frame_(\d+)", 1).cast("int").alias("index"), "length", F.sha2("content", 256).alias("sha256"))
     again = bursts.write_frames(drawn.select("burst", "index", "height", "width", "bit_depth", "pixels"), _folder(spark, "copy"))
     state = F.when(F.col("bytes").isNull(), "unexpected").when(F.col("bytes") != F.col("length"), "size").otherwise("verified")

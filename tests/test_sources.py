@@ -1,4 +1,5 @@
 import json
+import shutil
 import struct
 
 import numpy as np
@@ -62,6 +63,25 @@ def test_recordings(spark, root):
     assert all(r.has_data for r in bursts.has_image_data(frames).collect())
 
 
+def test_names_of_files_stay_in_tasks(spark, root, tmp_path):
+    """The driver has no index of the files, what is read is what Spark's reader reads, and roots that tasks cannot list are left to it."""
+    shutil.copytree(root.removeprefix("file://"), tmp_path / "deep" / "er")
+    for name in ("_hidden", ".hidden"):
+        shutil.copytree(tmp_path / "deep" / "er" / "burst_1", tmp_path / "deep" / name)
+    top = f"file://{tmp_path}/deep"
+    theirs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "frame_*.tif").load(top)
+    key = lambda df: {(r.path.replace("file:///", "file:/"), r.length, r.modificationTime, bytes(r.content)) for r in df.collect()}
+    ours = bursts.binary(spark, top, "frame_*.tif")
+    assert key(ours) == key(theirs) and ours.count() == 19
+    for df in (bursts.discover(spark, top), bursts.frames(spark, top), bursts.frames_meta(spark, top), bursts.manifests(spark, top)):
+        assert not [f for f in df.inputFiles() if "burst_" in f]
+    assert bursts.frames(spark, f"{top}/*/burst_1").count() == 6 == bursts.discover(spark, f"{top}/*/burst_1").count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        bursts.discover(spark, f"{top}/none")
+    (tmp_path / "empty").mkdir()
+    assert bursts.frames(spark, f"file://{tmp_path}/empty").count() == 0 == bursts.discover(spark, str(tmp_path / "empty")).count()
+
+
 def test_sinks(spark, root, tmp_path):
     frames = bursts.frames(spark, root).filter("pixels is not null")
     out = bursts.write_frames(frames, str(tmp_path / "copy"))
