@@ -175,3 +175,33 @@ def test_depths_shuffle_each_edge_once(spark):
     got = {r.node: r.depth for r in graph.depths(edges, "u", "v", spark.createDataFrame([(1,)], "node int"), write=write).collect()}
     assert got == {1: 0, 2: 1, 3: 2}
     assert plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_greedy_matching_lists_few(spark, monkeypatch):
+    """Where every round takes one pair, all candidates are written once, not in every round; ends that wait go on."""
+    import random
+
+    from framequarry.functions.lineage import cut
+
+    monkeypatch.setattr(graph, "LISTED", 4, raising=False)
+    rnd, n = random.Random(6), 24
+    rows = [(a, b, float(a) if b == a + 1 else 100 + rnd.choice([1.0, 1.0, rnd.random()])) for a in range(n) for b in range(a + 1, n)]
+    rows += [(50 + a, 70 + b, 7.0) for a in range(9) for b in range(6)] + [(1, 1, 0.0), (3, 2, 0.5)]
+    sizes = []
+
+    def write(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    want, used = set(), set()
+    for c, a, b in sorted((c, min(a, b), max(a, b)) for a, b, c in rows if a != b):
+        if not {a, b} & used:
+            used |= {a, b}
+            want.add((a, b, c))
+    for swept in (1 << 20, 0, 30):
+        monkeypatch.setattr(graph, "SWEPT", swept, raising=False)
+        sizes.clear()
+        got = graph.greedy_matching(spark.createDataFrame(rows, "a long, b long, c double").repartition(3), "a", "b", "c", write=write).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+        assert sum(k > len(rows) / 2 for k in sizes) <= 2
